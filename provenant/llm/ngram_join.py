@@ -14,7 +14,7 @@ partitions of the incidence rows), and adds up each pair's counts over the block
 A group of thousands of near copies would still be millions of pairs, of which a component needs few. So the
 product is done in two rounds: first each row only with the smallest row of each of its columns, which gives
 preliminary components; then all pairs of rows *from different components*. No pair of the second kind is
-skipped, so no link between components can be lost.
+skipped unless its rows have meanwhile been linked otherwise, so no link between components can be lost.
 """
 
 from __future__ import annotations
@@ -235,10 +235,24 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
             f" and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
         ),
     )
-    pair = joined.select(F.expr("least(x.doc_id, y.doc_id)").alias("a"), F.expr("greatest(x.doc_id, y.doc_id)").alias("b"), F.expr("x.n + y.n").alias("total"), F.expr("greatest(x.n - x.n div 4, y.n - y.n div 4) - 1").alias("rest"))
-    pair = pair.groupBy("a", "b", "total", "rest").agg(F.count(F.lit(1)).alias("c")).filter(f"(c + rest) * {100 + PERCENT} >= {PERCENT} * total").select("a", "b")
-    second = confirmed(reps, hold(pair, "op1-pairs"))
-    found = components(hold(first.union(second).union(same_id), "op1-links"))
+    pair = joined.select(F.col("x.doc_id").alias("x"), F.col("y.doc_id").alias("y"), F.col("y.comp").alias("comp"), F.expr("x.n + y.n").alias("total"), F.expr("greatest(x.n - x.n div 4, y.n - y.n div 4) - 1").alias("rest"))
+    pair = pair.groupBy("x", "y", "comp", "total", "rest").agg(F.count(F.lit(1)).alias("c")).filter(f"(c + rest) * {100 + PERCENT} >= {PERCENT} * total").select("x", "y", "comp", "c")
+
+    # checked in waves: of a row's pairs with one component the most promising first; once they are linked, the
+    # others of these pairs say nothing new. The last wave takes all that are still apart.
+    links = first.union(same_id)
+    best = Window.partitionBy("x", "comp").orderBy(F.desc("c"), "y")
+    pair = hold(pair.withColumn("rank", F.row_number().over(best)), "op1-pairs")
+    for most in (1, 8, None):
+        now = pair.filter(F.col("rank") <= most) if most else pair
+        links = hold(links.union(confirmed(reps, hold(now.select(F.col("y").alias("a"), F.col("x").alias("b")), "op1-wave"))), "op1-links")
+        found = components(links)
+        if most:
+            sides = [found.select(F.col("id").alias(k), F.col("component").alias(f"of_{k}")) for k in ("x", "y")]
+            apart = pair.filter(F.col("rank") > most).join(sides[0], "x", "left").join(sides[1], "y", "left")
+            pair = hold(apart.filter("coalesce(of_x, x) <> coalesce(of_y, y)").select("x", "y", "comp", "c", "rank"), "op1-pairs")
+            if pair.isEmpty():
+                break
 
     out = in_class.join(found, F.col("rep") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
