@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a one-column id table that may be broadcast: 16 bytes a row keep it under 16 MB.
 BROADCAST_ROWS = 1_000_000
@@ -49,6 +50,11 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return df.join(ids.hint("merge"), key, how)
 
 
+def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
+    """The schema of ``df`` with a further column."""
+    return T.StructType([*df.schema.fields, *T.StructType().add(name, kind).fields])
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -86,16 +92,19 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """All words of some texts: where each starts and ends, whose it is, and its 64-bit value."""
+    """All words of some texts, A-Z lower-cased: where each starts and ends, whose it is, and its 64-bit value.
+
+    ``separators`` tells for each byte whether it stands between words.
+    """
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = _SPACE):
         texts = texts.cast(pa.binary()).fill_null(b"")
         at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
         data = (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8))[at[0] : at[-1]]
         at = (at - at[0]).astype(np.int64)
         self.data = data
-        word = ~_SPACE[data]
+        word = ~separators[data]
         before, after = np.empty_like(word), np.empty_like(word)
         before[:1], before[1:] = False, word[:-1]
         after[-1:], after[:-1] = False, word[1:]
@@ -108,7 +117,7 @@ class Words:
         self.first = np.searchsorted(self.start, at)
         power, inverse = _power_tables(len(data) + 1)
         total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((_LOWER[data] if lower else data).astype(np.uint64) * power[: len(data)] + power[: len(data)], out=total[1:])
+        np.cumsum(_LOWER[data].astype(np.uint64) * power[: len(data)] + power[: len(data)], out=total[1:])
         self._total, self._inverse = total, inverse
         self.value = self.part(self.start, self.end)
 
