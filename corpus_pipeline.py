@@ -1,17 +1,60 @@
-"""Toxicity, line dedup, near copies, mixing and encoding, one after the other over a corpus."""
+"""Toxicity, line dedup, near copies, mixing and encoding, one after the other over a whole corpus.
+
+Each stage takes the documents that the one before it kept and returns a table with the same columns; the last
+returns the encoded documents. Between stages the documents are a Parquet table in the shared folder.
+"""
 
 from __future__ import annotations
 
-from provenant.llm import ngram_join
+from pyspark.sql import DataFrame, SparkSession
 
-STAGES = [("near_copies", lambda spark, docs, sf_dir: ngram_join.one_of_each(docs))]
+from provenant.llm import line_dedup, mixing, ngram_join, sentencepieces, toxicity
+from provenant.llm.shared import hold
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are predicted to be toxic go."""
+    return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line chunks that repeat go from the texts, but for their first occurrence; every document stays."""
+    return line_dedup.without_repeats(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest doc_id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source gives words by its weight; documents come as often as the mix takes them."""
+    return mixing.mixed(docs)
 
 
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row (doc_id, n_tokens, ids_sha256, decoded_sha256) for each document of the mix."""
+    import public_tokenizers
+
+    return sentencepieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("near_copies", drop_near_copies),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+
+#: Learned scores and merges can't be said in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = hold(docs, f"pipeline-{name}")
+    return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import ngram_join, sentencepieces, toxicity
+from provenant.llm import line_dedup, mixing, ngram_join, sentencepieces, toxicity
 from provenant.llm.shared import documents
 
 
@@ -26,10 +26,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.removals(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
     "op4_toxicity": op4_toxicity,
+    "op6_mixing": op6_mixing,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 SQL = {
@@ -49,5 +59,46 @@ links AS (
 )
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.r AS component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT id, min(r) AS r FROM reach GROUP BY id) c ON c.id = d.doc_id
+""",
+    "op6_mixing": r"""
+WITH rows AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5(concat(coalesce(doc_id::VARCHAR, '-'), ':', md5(coalesce(text, '')))) AS key FROM documents
+), each AS (
+  SELECT source, sum(size)::BIGINT AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w
+  FROM rows GROUP BY source
+), levels AS (
+  SELECT source, source_size, w, 3 * source_size AS bound, (3 * source_size)::DOUBLE / w AS ratio,
+    (sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (ORDER BY (3 * source_size)::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+      / sum(w) OVER (ORDER BY (3 * source_size)::DOUBLE / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::DOUBLE AS level
+  FROM each
+), target AS (
+  SELECT source, source_size, least(bound::DOUBLE, (SELECT level FROM levels WHERE level * w <= bound ORDER BY ratio, source NULLS LAST LIMIT 1) * w) AS target FROM levels
+), placed AS (
+  SELECT r.doc_id, r.size, t.source_size, t.target, sum(size) OVER (PARTITION BY r.source ORDER BY key)::BIGINT AS upto, sum(size) OVER (PARTITION BY r.source, key)::BIGINT AS peers,
+    CASE WHEN t.source_size > 0 THEN floor(t.target / t.source_size)::BIGINT ELSE 1 END AS turns
+  FROM rows r JOIN target t ON r.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target,
+  (size * (turns + CASE WHEN 2 * (upto - peers) + peers <= 2 * (target - turns * source_size) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM placed
+""",
+    "op8_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, i, x[i] AS line, length(x[i]) - length(translate(x[i], ' ', '')) + 1 >= 50 AS long, md5(x[i]) AS h
+  FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))
+), marked AS (
+  SELECT *, CASE WHEN i = 1 OR long OR lag(long) OVER w OR md5(lag(h, 2) OVER w || lag(h) OVER w) < '8' THEN 1 ELSE 0 END AS begins FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT *, sum(begins) OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM marked
+), chunks AS (
+  SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, any_value(long) AS long FROM numbered GROUP BY doc_id, pos
+), judged AS (
+  SELECT *, ((n > 1 AND length(chunk) - length(translate(chunk, ' ' || chr(10), '')) + 1 >= 20) OR (n = 1 AND long))
+    AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS gone FROM chunks
+), kept AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS removed, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS t FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(k.removed, 0)::INT AS removed, length(coalesce(k.t, ''))::BIGINT AS n_chars, md5(coalesce(k.t, '')) AS text_md5 FROM documents d LEFT JOIN kept k USING (doc_id)
 """,
 }
