@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import line_dedup, mixing, ngram_join, sentencepieces, toxicity
+from provenant.llm import exact_dedup, line_dedup, mixing, ngram_join, sentencepieces, sharding, toxicity
 from provenant.llm.shared import documents
 
 
@@ -30,6 +30,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removals(documents(spark, sf_dir))
 
@@ -39,7 +47,9 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op4_toxicity": op4_toxicity,
     "op6_mixing": op6_mixing,
+    "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
+    "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL = {
@@ -100,5 +110,9 @@ WITH lines AS (
   SELECT doc_id, count(*) FILTER (WHERE gone) AS removed, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS t FROM judged GROUP BY doc_id
 )
 SELECT d.doc_id, coalesce(k.removed, 0)::INT AS removed, length(coalesce(k.t, ''))::BIGINT AS n_chars, md5(coalesce(k.t, '')) AS text_md5 FROM documents d LEFT JOIN kept k USING (doc_id)
+""",
+    "op10_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """,
 }
