@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import exact_dedup, line_dedup, mixing, ngram_join, sentencepieces, sharding, toxicity
-from provenant.llm.shared import documents
+from provenant.llm import exact_dedup, line_dedup, mixing, ngram_join, sentencepieces, sharding, token_files, toxicity
+from provenant.llm.shared import documents, scratch_dir
 
 
 def tokenizer(name: str) -> str:
@@ -34,6 +36,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{scratch_dir(spark)}/op9-{uuid.uuid4().hex}"
+    return token_files.read(token_files.write(documents(spark, sf_dir), folder, tokenizer("word_bpe_49k.json"), end_id=2), digest=True)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(spark, f"{sf_dir}/documents.parquet")
 
@@ -49,6 +56,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
+    "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
