@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bit_sliced, exact_dedup, line_dedup, mixing, ngram_join, sentencepieces, sharding, token_files, toxicity
+from provenant.llm import bit_sliced, exact_dedup, line_dedup, mixing, ngram_join, pseudonyms, sentencepieces, sharding, token_files, toxicity
 from provenant.llm.shared import documents, scratch_dir
 
 
@@ -32,6 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op5_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymised(documents(spark, sf_dir), key="a key for tests; a real one is a secret of at least 128 bits")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_exact_top_k": op3_exact_top_k,
     "op4_toxicity": op4_toxicity,
+    "op5_pii_pseudonyms": op5_pii_pseudonyms,
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
