@@ -1,4 +1,6 @@
 """The queries over the driver's tables, by name, and the same in SQL."""
 
-QUERIES = {}
-SQL = {}
+from provenant.plans import runs
+
+QUERIES = dict(runs.QUERIES)
+SQL = dict(runs.SQL)
