@@ -15,6 +15,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Money symbols in the order in which they are looked for, and their currencies.
 SYMBOLS = (("£", "GBP"), ("€", "EUR"), ("$", "USD"), ("GBP", "GBP"), ("EUR", "EUR"), ("USD", "USD"), ("CHF", "CHF"))
@@ -24,7 +25,7 @@ SPACE_CLASS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 UNIT = "\x1f"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def strip_text(texts: pd.Series) -> pd.Series:
     """Entities resolved, NFKC, all runs of white space one space, trimmed; null if nothing is left."""
     special = str.maketrans(dict.fromkeys(NO_BREAK, " "))
@@ -37,7 +38,7 @@ def strip_text(texts: pd.Series) -> pd.Series:
     return texts.map(one, na_action=None)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t), na_action=None)
 

@@ -10,6 +10,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provenant.functions import markup
 from provenant.functions.scalars import UNIT, apply_transforms
@@ -132,7 +133,7 @@ def derived(parts: list[Column], transform: str) -> Column:
     return apply_transforms(parts[0] if len(parts) == 1 else F.concat_ws(UNIT, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), [transform])
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _links(url: pd.Series, html: pd.Series, selector: pd.Series) -> pd.Series:
     out = []
     for u, page, s in zip(url, html, selector, strict=True):

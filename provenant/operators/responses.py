@@ -8,6 +8,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from provenant.functions.scalars import domain_of, registrable_domain
@@ -59,7 +60,7 @@ def encoding(body: Column, content_type: Column) -> Column:
     return F.when(first == "EFBBBF", "utf-8").when(F.substring(first, 1, 4).isin("FFFE", "FEFF"), "utf-16").otherwise(F.coalesce(charset(content_type), in_meta, F.lit("utf-8")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(body: pd.Series, name: pd.Series) -> pd.Series:
     """Bytes as text; what an encoding lacks is replaced, an unknown encoding is utf-8."""
 
