@@ -13,8 +13,9 @@ partitions of the incidence rows), and adds up each pair's counts over the block
 
 A group of thousands of near copies would still be millions of pairs, of which a component needs few. So the
 product is done in two rounds: first each row only with the smallest row of each of its columns, which gives
-preliminary components; then all pairs of rows *from different components*. No pair of the second kind is
-skipped unless its rows have meanwhile been linked otherwise, so no link between components can be lost.
+preliminary components; then all pairs of rows *from different components*: of each row's pairs with one
+component the most promising is checked first, and then all pairs that are still apart. No pair is skipped
+unless its rows have been linked otherwise, so no link between components can be lost.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,6 +39,10 @@ PERCENT = 75
 #: The counters that tell frequent columns from others; a fixed number, so their size never grows.
 COUNTER_BITS = 18
 _SLICES = 64
+#: Hubs that a row is compared with in round 1. More of them leave fewer pairs to round 2, none changes the result.
+STARS = 6
+#: Rows that make a cluster worth dense products, and rows of a block of it.
+HEAVY, BLOCK = 32, 512
 
 
 def gram_sets(batch: pa.RecordBatch, size: int = SIZE) -> Iterator[tuple[int, np.ndarray]]:
@@ -186,6 +192,95 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_counted, "a long, b long")
 
 
+def _hubs(window):
+    """Some rows of a column that all its rows are compared with: those at the ends of two orders."""
+    mixed_id = F.xxhash64("doc_id")
+    ends = [F.min("doc_id"), F.max("doc_id"), F.min_by("doc_id", mixed_id), F.max_by("doc_id", mixed_id)]
+    return F.array(*[e.over(window) for e in ends])
+
+
+def _product(best_only: bool):
+    """Counts of a block of rows times another, added up over blocks of their common columns."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        sides = []
+        for second in (False, True):
+            t = blocks.filter(pc.equal(blocks.column("second"), second)).combine_chunks()
+            lists = t.column("grams").combine_chunks()
+            sides.append((t.column("doc_id").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("comp").to_numpy(), np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()))
+        (x, nx, cx, rx, gx), (y, ny, cy, ry, gy) = sides
+        counts = np.zeros((len(x), len(y)), np.float32)
+        common = np.intersect1d(gx, gy)
+        for at in range(0, len(common), 4096):
+            columns = common[at : at + 4096]
+            dense = []
+            for rows, grams, height in ((rx, gx, len(x)), (ry, gy, len(y))):
+                place = np.minimum(np.searchsorted(columns, grams), len(columns) - 1)
+                hit = columns[place] == grams
+                m = np.zeros((height, len(columns)), np.float32)
+                m[rows[hit], place[hit]] = 1
+                dense.append(m)
+            counts += dense[0] @ dense[1].T
+        total = nx[:, None] + ny[None, :]
+        rest = np.maximum((nx - nx // 4)[:, None], (ny - ny // 4)[None, :]) - 1
+        sizes = 100 * np.minimum(nx[:, None], ny[None, :]) >= PERCENT * np.maximum(nx[:, None], ny[None, :])
+        good = (counts > 0) & sizes & (cx[:, None] != cy[None, :]) & ((counts + rest) * (100 + PERCENT) >= PERCENT * total)
+        if blocks.column("b1")[0] == blocks.column("b2")[0]:
+            good &= x[:, None] < y[None, :]
+        i, j = np.nonzero(good)
+        c = counts[i, j].astype(np.int64)
+        if best_only and len(i):
+            order = np.lexsort((y[j], -c, cy[j], x[i]))
+            i, j, c = i[order], j[order], c[order]
+            first = np.append(True, (x[i][1:] != x[i][:-1]) | (cy[j][1:] != cy[j][:-1]))
+            i, j, c = i[first], j[first], c[first]
+        return pa.table([pa.array(x[i], pa.int64()), pa.array(y[j], pa.int64()), pa.array(cy[j], pa.int64()), pa.array(c, pa.int64())], names=["x", "y", "comp", "c"])
+
+    return run
+
+
+def cross_pairs(posts: DataFrame, found: DataFrame, hub_of: DataFrame, best_only: bool) -> DataFrame:
+    """Held pairs (a, b) from different components that may be similar by their first columns.
+
+    Rows of one component, or single ones with one best hub, are a cluster. Clusters of at least ``HEAVY`` rows
+    are cut into blocks, and blocks that share a column are multiplied as matrices, one pair of blocks at a time;
+    so a cluster of thousands, which would be millions of joined rows, is some dense products. Pairs with a row
+    of a smaller cluster are joined by column. ``best_only``: of a row's pairs with a component only the one with
+    the largest count.
+    """
+    comp = found.select(F.col("id").alias("doc_id"), F.col("component").alias("own"))
+    via = hub_of.join(found.select(F.col("id").alias("hub"), "component"), "hub", "left").select("doc_id", F.coalesce("component", "hub").alias("near"))
+    docs = posts.select("doc_id").distinct().join(comp, "doc_id", "left").join(via, "doc_id", "left")
+    docs = docs.select("doc_id", F.coalesce("own", "doc_id").alias("comp"), F.coalesce("own", "near", "doc_id").alias("cluster"))
+    large = docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= HEAVY)
+    docs = docs.join(large, "cluster", "left").withColumn("block", F.when(F.col("size").isNotNull(), F.concat_ws("/", "cluster", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))))
+    posts = posts.select("gram", "doc_id", "n").join(docs.select("doc_id", "comp", "block"), "doc_id")
+    posts = hold(posts, "op1-labelled")
+    several = posts.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("gram")
+    posts = hold(posts.join(several, "gram"), "op1-mixed")
+
+    x, y = posts.filter("block is null").alias("x"), posts.alias("y")
+    joined = x.join(
+        y,
+        F.expr(f"x.gram = y.gram and x.comp <> y.comp and (y.block is not null or x.doc_id < y.doc_id) and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"),
+    )
+    light = joined.select(F.col("x.doc_id").alias("x"), F.col("y.doc_id").alias("y"), F.col("y.comp").alias("comp"), F.expr("x.n + y.n").alias("total"), F.expr("greatest(x.n - x.n div 4, y.n - y.n div 4) - 1").alias("rest"))
+    light = light.groupBy("x", "y", "comp", "total", "rest").agg(F.count(F.lit(1)).alias("c")).filter(f"(c + rest) * {100 + PERCENT} >= {PERCENT} * total").select("x", "y", "comp", "c")
+
+    heavy = posts.filter("block is not null")
+    touching = heavy.select("gram", "block").distinct()
+    blocks = touching.select("gram", F.col("block").alias("b1")).join(touching.select("gram", F.col("block").alias("b2")), "gram").filter("b1 <= b2").select("b1", "b2").distinct()
+    blocks = hold(blocks, "op1-blocks")
+    # a row has at most a quarter of its own grams in its list
+    rows = hold(heavy.groupBy("block", "doc_id", "n", "comp").agg(F.collect_list("gram").alias("grams")), "op1-rows")
+    sides = [blocks.withColumn("block", F.col(b)).join(rows, "block").select("b1", "b2", "doc_id", "n", "comp", "grams", F.lit(b == "b2").alias("second")) for b in ("b1", "b2")]
+    dense = sides[0].union(sides[1]).groupBy("b1", "b2").applyInArrow(_product(best_only), "x long, y long, comp long, c long")
+    pairs = light.union(dense)
+    if best_only:
+        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("x", "comp").orderBy(F.desc("c"), "y"))).filter("rank = 1")
+    return hold(pairs.select(F.col("y").alias("a"), F.col("x").alias("b")), "op1-pairs")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text; other columns are ignored).
 
@@ -211,48 +306,25 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     # incidence rows of A, limited to the first columns; columns with one row only link nothing
     posts = reps.mapInArrow(_prefixes(levels), "gram long, salt int, doc_id long, n int")
     cell = Window.partitionBy("gram", "salt")
-    posts = posts.withColumn("hub", F.min("doc_id").over(cell)).withColumn("rows", F.count(F.lit(1)).over(cell))
-    posts = hold(posts.filter("rows > 1 or salt > 0").select("gram", "salt", "doc_id", "n", "hub"), "op1-postings")
-
-    # round 1: each row with the hub that it meets in most columns
-    heads = posts.filter("salt > 0").groupBy("gram", "salt").agg(F.min("doc_id").alias("doc_id"), F.min_by("n", "doc_id").alias("n"))
-    heads = heads.withColumn("hub", F.min("doc_id").over(Window.partitionBy("gram"))).select("doc_id", "n", "hub")
-    stars = posts.select("doc_id", "n", "hub").union(heads).filter("doc_id <> hub").groupBy("doc_id", "n", "hub").agg(F.count(F.lit(1)).alias("c"))
-    best = stars.filter("c * 8 >= n / 4").groupBy("doc_id").agg(F.max_by("hub", F.struct("c", -F.col("hub"))).alias("hub"))
+    posts = posts.withColumn("hubs", _hubs(cell)).withColumn("rows", F.count(F.lit(1)).over(cell))
+    posts = hold(posts.filter("rows > 1 or salt > 0").select("gram", "salt", "doc_id", "n", "hubs"), "op1-postings")
+
+    # round 1: each row with the hubs that it meets in most columns
+    heads = posts.filter("salt > 0").groupBy("gram", "salt").agg(F.min_by(F.struct("doc_id", "n"), "doc_id").alias("h")).select("gram", "h.*")
+    heads = heads.withColumn("hubs", _hubs(Window.partitionBy("gram"))).select("doc_id", "n", "hubs")
+    stars = posts.select("doc_id", "n", "hubs").union(heads).select("doc_id", "n", F.explode(F.array_distinct("hubs")).alias("hub")).filter("doc_id <> hub")
+    stars = stars.groupBy("doc_id", "n", "hub").agg(F.count(F.lit(1)).alias("c")).filter("c * 8 >= n / 4")
+    near = Window.partitionBy("doc_id").orderBy(F.desc("c"), "hub")
+    best = stars.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= STARS)
     first = hold(confirmed(reps, hold(best.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), "op1-stars")), "op1-links1")
-    found = components(first)
 
     # round 2: all pairs of rows from different components
-    posts = posts.select("gram", "doc_id", "n").join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("gram", "doc_id", "n", F.coalesce("component", "doc_id").alias("comp"))
-    posts = hold(posts, "op1-labelled")
-    top = posts.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("k", "comp")).alias("top")).filter("comps > 1")
-    mixed_columns = hold(posts.join(top.select("gram", "top"), "gram"), "op1-mixed")
-    x, y = mixed_columns.filter("comp <> top").alias("x"), mixed_columns.alias("y")
-    joined = x.join(
-        y,
-        F.expr(
-            "x.gram = y.gram and x.comp <> y.comp and (y.comp = y.top or x.doc_id < y.doc_id)"
-            f" and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"
-        ),
-    )
-    pair = joined.select(F.col("x.doc_id").alias("x"), F.col("y.doc_id").alias("y"), F.col("y.comp").alias("comp"), F.expr("x.n + y.n").alias("total"), F.expr("greatest(x.n - x.n div 4, y.n - y.n div 4) - 1").alias("rest"))
-    pair = pair.groupBy("x", "y", "comp", "total", "rest").agg(F.count(F.lit(1)).alias("c")).filter(f"(c + rest) * {100 + PERCENT} >= {PERCENT} * total").select("x", "y", "comp", "c")
-
-    # checked in waves: of a row's pairs with one component the most promising first; once they are linked, the
-    # others of these pairs say nothing new. The last wave takes all that are still apart.
     links = first.union(same_id)
-    best = Window.partitionBy("x", "comp").orderBy(F.desc("c"), "y")
-    pair = hold(pair.withColumn("rank", F.row_number().over(best)), "op1-pairs")
-    for most in (1, 8, None):
-        now = pair.filter(F.col("rank") <= most) if most else pair
-        links = hold(links.union(confirmed(reps, hold(now.select(F.col("y").alias("a"), F.col("x").alias("b")), "op1-wave"))), "op1-links")
-        found = components(links)
-        if most:
-            sides = [found.select(F.col("id").alias(k), F.col("component").alias(f"of_{k}")) for k in ("x", "y")]
-            apart = pair.filter(F.col("rank") > most).join(sides[0], "x", "left").join(sides[1], "y", "left")
-            pair = hold(apart.filter("coalesce(of_x, x) <> coalesce(of_y, y)").select("x", "y", "comp", "c", "rank"), "op1-pairs")
-            if pair.isEmpty():
-                break
+    for best_only in (True, False):
+        found = hold(components(links), "op1-found")
+        pairs = cross_pairs(posts, found, best.filter("rank = 1").select("doc_id", "hub"), best_only)
+        links = hold(links.union(confirmed(reps, pairs)), "op1-links")
+    found = components(links)
 
     out = in_class.join(found, F.col("rep") == F.col("id"), "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
