@@ -25,7 +25,13 @@ _SIGN = "\x01\x02\x01"
 
 def _words(text: Column) -> Column:
     """Blank-separated words of a line or chunk, about: its blanks and line feeds, and one."""
-    return F.length(text) - F.length(F.translate(text, " \n", "")) + 1
+    without = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
+    return F.octet_length(text) - F.octet_length(without) + 1
+
+
+def _has_words(text: Column, least: Column | int) -> Column:
+    """Whether there are so many words; short texts can't have them and aren't looked through."""
+    return (F.octet_length(text) >= 2 * F.lit(least) - 1) & (_words(text) >= least)
 
 
 def with_chunks(docs: DataFrame, to: str) -> DataFrame:
@@ -37,11 +43,12 @@ def with_chunks(docs: DataFrame, to: str) -> DataFrame:
     none = F.array(F.struct(F.lit(None).cast("string").alias("h"), F.lit(False).alias("long")))
     rolled = lambda z: F.coalesce(F.md5(F.concat(z["_c"]["h"], z["_b"]["h"])) < "8", F.lit(False))
     cut = docs.withColumn("_lines", F.split("text", "\n", -1))
-    cut = cut.withColumn("_a", F.transform("_lines", lambda x: F.struct(F.md5(x).alias("h"), (_words(x) >= LONG).alias("long"))))
+    cut = cut.withColumn("_a", F.transform("_lines", lambda x: F.struct(F.md5(x).alias("h"), _has_words(x, LONG).alias("long"))))
     cut = cut.withColumns({"_b": F.concat(none, "_a"), "_c": F.concat(none, none, "_a")})
     begins = F.transform(F.arrays_zip("_a", "_b", "_c"), lambda z: F.coalesce(z["_a"]["long"], F.lit(False)) | z["_b"]["long"] | rolled(z))
+    begins = F.concat(F.array(F.lit(False)), F.slice(begins, F.lit(2), F.size("_lines")))
     signed = F.zip_with("_lines", F.slice(begins, F.lit(1), F.size("_lines")), lambda x, b: F.when(b, F.concat(F.lit(_SIGN), x)).otherwise(x))
-    parts = F.split(F.regexp_replace(F.array_join(signed, "\n"), f"^{_SIGN}", ""), f"\n{_SIGN}", -1)
+    parts = F.split(F.array_join(signed, "\n"), f"\n{_SIGN}", -1)
     parts = F.when(F.contains("text", F.lit(_SIGN)), F.array("text")).otherwise(parts)
     return cut.withColumn(to, parts).drop("_lines", "_a", "_b", "_c")
 
@@ -49,9 +56,9 @@ def with_chunks(docs: DataFrame, to: str) -> DataFrame:
 def _parts(docs: DataFrame, columns: list[str]) -> DataFrame:
     """A row for each chunk that may be removed: ``columns``, its place, its hash and its text."""
     one = F.col("col")
-    several = F.contains(one, F.lit("\n")) & (_words(one) >= LEAST)
+    least = F.when(F.contains(one, F.lit("\n")), LEAST).otherwise(LONG)
     parts = with_chunks(docs.select(*columns, "text"), "parts").select(*columns, F.posexplode("parts"))
-    return parts.filter(several | (_words(one) >= LONG)).select(*columns, "pos", F.md5("col").alias("hash"), F.col("col").alias("chunk"))
+    return parts.filter(_has_words(one, least)).select(*columns, "pos", F.md5("col").alias("hash"), F.col("col").alias("chunk"))
 
 
 def repeated_chunks(docs: DataFrame) -> DataFrame:
