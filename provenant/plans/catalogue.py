@@ -1,6 +1,6 @@
 """The queries over the driver's tables, by name, and the same in SQL."""
 
-from provenant.plans import runs
+from provenant.plans import pages, records, runs
 
-QUERIES = dict(runs.QUERIES)
-SQL = dict(runs.SQL)
+QUERIES = runs.QUERIES | records.QUERIES | pages.QUERIES
+SQL = runs.SQL | records.SQL | pages.SQL
