@@ -1,10 +1,11 @@
 """Exact dedup as a stateful stream, with DataFrame functions only.
 
-Documents are read as a stream of files. The state, kept in RocksDB on the executors' disks and saved in the
-shared folder, has one entry for each distinct digest and never expires: the identifier that stays, where its
-content lies (file and row), and how many rows had the digest. A batch is reduced to one row for each digest and
-task before it is shuffled. Each batch's changes are a folder named by its number, written anew if a batch is
-run again, so a restart goes on where the stream stopped.
+Documents are read as a stream of files. The state is a table on disk, in the shared folder, keyed by digest; it
+never expires. An entry has the identifier that stays, where its content lies (file and row), and how many rows
+had the digest. It is a log: each batch looks up its digests and writes their new entries to a folder named by its
+number; the newest entry of a digest counts. A batch that is run again writes its folder anew, so a restart goes on
+where the stream stopped, and nothing of the state lives on an executor. A batch is reduced to one row for each
+digest and task before it is shuffled.
 
 Rows whose digest occurred before are hits; their whole texts are compared byte by byte before they count as
 equal. Texts of one digest that differ, should there ever be any, are grouped by text instead.
@@ -13,25 +14,13 @@ equal. Texts of one digest that differ, should there ever be any, are grouped by
 from __future__ import annotations
 
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.llm.shared import hold, keep_ids, scratch_dir
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+_ENTRY = "digest string, keep struct<doc_id:bigint,file:string,row:bigint>, n bigint"
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -40,25 +29,32 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
+def _state(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame:
+    """The newest entry of each digest, of batches before the given one."""
+    log = spark.read.schema(f"{_ENTRY}, batch bigint").parquet(f"{state_dir}/state")
+    log = log if before is None else log.filter(F.col("batch") < before)
+    return log.groupBy("digest").agg(F.max_by("keep", "batch").alias("keep"), F.max_by("n", "batch").alias("n"))
+
+
 def digest_state(spark: SparkSession, path: str, state_dir: str, per_batch: int = 64 << 30) -> DataFrame:
     """Runs the stream over all files there are, and returns its state: (digest, keep, n).
 
     ``keep`` is (doc_id, file, row) of the row that stays: the largest doc_id; of equal ones the last row. Run
     again with the same ``state_dir`` it takes in only new files. The schema is that of the files there are.
     """
-    # as a pattern, so that a single file is as good as a folder
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", str(per_batch)).parquet(f"{path[:-1]}[{path[-1]}]")
-    state = _rows(stream).groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    spark.createDataFrame([], _ENTRY).write.mode("overwrite").parquet(f"{state_dir}/state/batch=-1")
 
-    def save(changed: DataFrame, batch: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{state_dir}/changes/batch={batch}")
+    def save(batch: DataFrame, number: int) -> None:
+        new = batch.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
+        old = _state(spark, state_dir, number).select("digest", F.col("keep").alias("old"), F.col("n").alias("more"))
+        entries = new.join(old, "digest", "left").select("digest", F.greatest("keep", F.coalesce("old", "keep")).alias("keep"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
+        entries.write.mode("overwrite").parquet(f"{state_dir}/state/batch={number}")
 
-    with _setting(spark, _PROVIDER, _ROCKSDB):
-        run = state.writeStream.outputMode("update").option("checkpointLocation", f"{state_dir}/stream").trigger(availableNow=True).foreachBatch(save).start()
-        run.awaitTermination()
-    kind = "digest string, keep struct<doc_id:bigint,file:string,row:bigint>, n bigint, batch bigint"
-    changes = spark.read.schema(kind).parquet(f"{state_dir}/changes")
-    return changes.groupBy("digest").agg(F.max_by("keep", "batch").alias("keep"), F.max_by("n", "batch").alias("n"))
+    # as a pattern, so that a single file is as good as a folder
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", str(per_batch)).parquet(f"{path[:-1]}[{path[-1]}]")
+    run = _rows(stream).writeStream.option("checkpointLocation", f"{state_dir}/stream").trigger(availableNow=True).foreachBatch(save).start()
+    run.awaitTermination()
+    return _state(spark, state_dir)
 
 
 def exact_dedup(spark: SparkSession, path: str, state_dir: str | None = None) -> DataFrame:
@@ -67,11 +63,11 @@ def exact_dedup(spark: SparkSession, path: str, state_dir: str | None = None) ->
     Texts are equal if their bytes are; null counts as empty. Of equal texts the row with the largest doc_id is
     kept, a null doc_id being the smallest; of rows that repeat it, one. An empty table gives no rows.
     """
-    spark_dir = state_dir or f"{scratch_dir(spark)}/op10-{uuid.uuid4().hex}"
+    state_dir = state_dir or f"{scratch_dir(spark)}/op10-{uuid.uuid4().hex}"
     docs = spark.read.parquet(path)
     if docs.isEmpty():
         return spark.createDataFrame([], "doc_id long, keep_id long, group_size long, kept boolean, text_sha256 string")
-    state = hold(digest_state(spark, path, spark_dir), "op10-state")
+    state = hold(digest_state(spark, path, state_dir), "op10-state")
     hits = hold(state.filter("n > 1"), "op10-hits")
     rows = hold(_rows(docs), "op10-rows")
     repeated = hold(rows.join(hits.select("digest").hint("merge"), "digest", "left_semi"), "op10-repeated")
