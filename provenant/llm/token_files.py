@@ -41,7 +41,9 @@ PERCENTILE = 98
 #: Ids after which a segment ends; only a longer document makes a longer one.
 SEGMENT = 1 << 20
 #: Words that a worker's cache may hold before it starts anew.
-CACHE = 600_000
+CACHE = 250_000
+#: Words that go to the library at a time: its results are large until they are read.
+_AT_ONCE = 2_000
 _BLANK = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
@@ -126,7 +128,9 @@ class WordEncoder:
             known.clear()
             known[""] = b""
         new = list({w for ws in lists for w in ws if w not in known})
-        known.update(zip(new, self._ids(new), strict=True))
+        for i in range(0, len(new), _AT_ONCE):
+            some = new[i : i + _AT_ONCE]
+            known.update(zip(some, self._ids(some), strict=True))
         return [b"".join(map(known.__getitem__, ws)) for ws in lists]
 
 
@@ -176,7 +180,7 @@ def write(docs: DataFrame, uri: str, path: str, end_id: int) -> DataFrame:
                     doc_ids.clear(), sizes.clear(), parts.clear()
 
             for batch in batches:
-                for piece in pieces(batch, "text"):
+                for piece in pieces(batch, "text", 1 << 18):
                     for doc_id, raw in zip(piece.column("doc_id").to_pylist(), e.encode(piece.column("text").to_pylist()), strict=True):
                         doc_ids.append(doc_id)
                         parts.append(raw + last)
