@@ -52,7 +52,7 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
 
 def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
     """The schema of ``df`` with a further column."""
-    return T.StructType([*df.schema.fields, *T.StructType().add(name, kind).fields])
+    return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
