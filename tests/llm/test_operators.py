@@ -273,7 +273,8 @@ def test_passages_that_repeat_go(spark, docs, empty):
     assert kept[1][:2] == texts[1][:2] and len(set(kept[1]) & set(passage)) <= 8
     done = line_dedup.without_repeats(docs)
     assert done.columns == docs.columns and done.count() == docs.count()
-    assert {x.doc_id: x.text for x in done.collect()}[7] == ""
+    left = {x.doc_id: len(x.text or "") for x in done.collect()}
+    assert left[7] < left[6] / 2  # of a copy only short single lines stay
     assert line_dedup.removals(docs).count() == docs.count()
     assert line_dedup.without_repeats(empty).count() == 0
     assert line_dedup.removals(empty).count() == 0
