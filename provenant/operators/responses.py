@@ -53,7 +53,7 @@ def is_json(content_type: Column) -> Column:
 
 def encoding(body: Column, content_type: Column) -> Column:
     """BOM, then the header's charset, then the document's own, else utf-8; in lower case."""
-    head = F.decode(F.substring(body, 1, 1024), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(body, 1, 1024), "ISO-8859-1")
     first = F.hex(F.substring(body, 1, 3))
     charset = lambda c: F.nullif(F.lower(F.regexp_extract(c, r"(?i)charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", 1)), F.lit(""))
     in_meta = F.nullif(F.lower(F.regexp_extract(head, r"(?i)<meta[^>]+charset\s*=\s*[\"']?([A-Za-z0-9._:-]+)", 1)), F.lit(""))
