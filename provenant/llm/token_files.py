@@ -22,8 +22,10 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,9 +43,13 @@ PERCENTILE = 98
 #: Ids after which a segment ends; only a longer document makes a longer one.
 SEGMENT = 1 << 20
 #: Words that a worker's cache may hold before it starts anew.
-CACHE = 250_000
+CACHE = 1_000_000
 #: Words that go to the library at a time: its results are large until they are read.
 _AT_ONCE = 2_000
+#: Marks that no token has together with a letter or digit before them.
+_MARKS = ".,;:!?"
+#: White space to Python and not to the tokenizer.
+_NO_BLANK = re.compile("[\x1c-\x1f]")
 _BLANK = re.compile("[ \t\n\r\x0b\x0c]+")
 
 
@@ -53,7 +59,8 @@ _BLANK = re.compile("[ \t\n\r\x0b\x0c]+")
 def pack_block(values: np.ndarray) -> bytes:
     low = int(values.min())
     rest = (values - np.uint32(low)).astype(np.uint32)
-    width = int(np.percentile(rest, PERCENTILE, method="higher")).bit_length()
+    rank = -(-PERCENTILE * (len(rest) - 1) // 100)
+    width = int(np.partition(rest, rank)[rank]).bit_length()
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
     kept = rest.copy()
     kept[over] = 0
@@ -104,6 +111,10 @@ def unpack_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 # ---------------------------------------------------------------- encoding
 
 
+def _split(text: str) -> list[str]:
+    return _BLANK.split(text) if _NO_BLANK.search(text) else text.split()
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that lets no token cross white space: words are encoded once and remembered."""
 
@@ -112,25 +123,48 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        probe = ["Ab c's 12", "\tx\x0by\x0cz \r\n é "]
+        probe = ["Ab c's 12", "a\x85b\xa0c\u2009d\u3000e\x1cf", "\tx\x0by\x0cz \r\n é ", "a, b.. 7! c*. İx."]
         for t in probe:
-            if self._ids([t])[0] != b"".join(self._ids([w for w in _BLANK.split(t) if w])):
+            if self._ids([t])[0] != b"".join(self._ids([w for w in _split(t) if w])):
                 raise ValueError("this tokenizer has tokens across white space")
         self.known: dict[str, bytes] = {"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters only, encoded as one text: each is one run of tokens, the last of which ends a word."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(ends) != len(words):  # a letter came apart when it was lower-cased
+            return self._ids(words)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        lists = [_BLANK.split(t or "") for t in texts]
+        lists = [_split(t or "") for t in texts]
         known = self.known
         if len(known) > CACHE:
             known.clear()
             known[""] = b""
-        new = list({w for ws in lists for w in ws if w not in known})
-        for i in range(0, len(new), _AT_ONCE):
-            some = new[i : i + _AT_ONCE]
-            known.update(zip(some, self._ids(some), strict=True))
+        new = set(chain.from_iterable(lists)).difference(known)
+        # closing marks after a letter or digit are words of their own
+        ends = {w: w.rstrip(_MARKS) for w in new if w[-1] in _MARKS}
+        ends = {w: stem for w, stem in ends.items() if stem and stem[-1].lower()[-1].isalnum()}
+        parts = new.difference(ends)
+        for w, stem in ends.items():
+            parts.add(stem)
+            parts.add(w[len(stem) :])
+        parts.difference_update(known)
+        plain = [w for w in parts if w.isalpha()]
+        rest = [w for w in parts if not w.isalpha()]
+        for some, encode in [(plain[i : i + _AT_ONCE], self._letters) for i in range(0, len(plain), _AT_ONCE)] + [(rest[i : i + _AT_ONCE], self._ids) for i in range(0, len(rest), _AT_ONCE)]:
+            known.update(zip(some, encode(some), strict=True))
+        for w, stem in ends.items():
+            known[w] = known[stem] + known[w[len(stem) :]]
         return [b"".join(map(known.__getitem__, ws)) for ws in lists]
 
 
