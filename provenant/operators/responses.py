@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from provenant.functions.scalars import domain_of, registrable_domain
+from provenant.functions.scalars import registrable_domain
 
 MOST_WAIT = 300.0
 TRANSIENT = (502, 503, 504)
@@ -116,4 +116,4 @@ def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return j.groupBy("url").agg(F.coalesce(F.max_by("allow", F.struct(F.length("_rule"), "allow")), F.lit(True)).alias("allowed"))
 
 
-__all__ = ["allowed", "decoded", "domain_of", "encoding", "fetch_outcome", "is_json", "last_attempts", "media_type", "retry_after", "robots_rules", "schedule"]
+__all__ = ["allowed", "decoded", "encoding", "fetch_outcome", "is_json", "last_attempts", "media_type", "retry_after", "robots_rules", "schedule"]
