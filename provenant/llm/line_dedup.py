@@ -8,10 +8,18 @@ occur more than once in the whole corpus are removed but for their first occurre
 compared.
 
 Only hashes of chunks are shuffled for the count, and only texts in which something repeats are read again.
+
+Chunks miss most passages of few short lines, as their borders seldom fall together with the passage's.
+``passages`` and ``without_repeats`` have no chunks: they take every passage of at least two lines and ``LEAST``
+words, or of one line of ``LONG`` words, that stood somewhere before. It is enough to look up, for each line, the
+shortest such run that begins there and the shortest that ends there: both are inside any passage that has room
+for them, and together they cover it. A line is a word at least, so such a run has at most ``LEAST`` lines.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -79,6 +87,74 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     return again.filter("later").join(hold(equal, "op8-equal"), "hash").select("doc_id", "row", "pos")
 
 
+def _runs(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """A row for each shortest run of lines that may be removed: ``columns``, its first line, how many, its hash and text.
+
+    Lines stand side by side with those after and before them, as arrays shifted against each other: linear time.
+    """
+    none = F.lit(None).cast("struct<x:string,w:int>")
+    cut = docs.select(*columns, F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("x"), _words(x).cast("int").alias("w"))).alias("_0"))
+    after, before = [f"_a{k}" for k in range(1, LEAST)], [f"_b{k}" for k in range(1, LEAST)]
+    shifts = {c: F.slice("_0", F.lit(k), F.size("_0")) for k, c in enumerate(after, 2)} | {c: F.concat(F.array(*[none] * k), "_0") for k, c in enumerate(before, 1)}
+    cut = cut.select(*columns, "_0", *[v.alias(c) for c, v in shifts.items()])
+
+    def run(i: Column, lines: list[Column]) -> Column:
+        whole = F.concat_ws("\n", *[z["x"] for z in lines])
+        return F.struct(i.cast("int").alias("pos"), F.lit(len(lines)).alias("n"), whole.alias("text"))
+
+    def shortest(z: Column, i: Column) -> Column:
+        here = z["_0"]
+        down, up = [here, *[z[c] for c in after]], [here, *[z[c] for c in before]]
+        total = lambda lines: sum((x["w"] for x in lines[1:]), lines[0]["w"])
+        begins = F.when(F.lit(False), run(i, [here]))
+        # a run of two that ends here also begins where it begins, as does one too short without its last line
+        ends = F.when(total(up[:2]) >= LEAST, F.lit(None))
+        for k in range(2, LEAST + 1):
+            begins = begins.when(total(down[:k]) >= LEAST, run(i, down[:k]))
+            if k > 2:
+                ends = ends.when(total(up[:k]) >= LEAST, F.when(total(up[1:k]) >= LEAST, run(i - (k - 1), up[:k][::-1])))
+        alone = F.when(here["w"] >= LONG, run(i, [here]))
+        return F.array(alone, begins, ends)
+
+    runs = F.flatten(F.transform(F.arrays_zip("_0", *after, *before), shortest))
+    runs = cut.select(*columns, F.explode(runs).alias("r")).filter("r is not null")
+    return runs.select(*columns, "r.pos", "r.n", F.md5("r.text").alias("hash"), F.col("r.text").alias("run"))
+
+
+def passages(docs: DataFrame) -> DataFrame:
+    """(row, gone) for each row of ``docs`` (doc_id, row, text) that has lines to remove: their numbers, ascending.
+
+    A line goes if it is in a run that occurs before, as in ``repeated_chunks``, and doesn't overlap that occurrence.
+    So the first occurrence of whatever repeats stays whole unless it is itself made of earlier passages.
+    """
+    found = hold(_runs(docs, ["doc_id", "row"]).drop("run"), "op8-runs")
+    often = hold(found.groupBy("hash").count().filter("count > 1").select("hash"), "op8-often")
+    again = hold(keep_ids(found, often, "hash"), "op8-again")
+    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "row", "pos")
+
+    ids = hold(again.select("row").distinct(), "op8-rows")
+    same = keep_ids(_runs(keep_ids(docs, ids, "row"), ["row"]).select("hash", "run"), often, "hash")
+    equal = hold(same.groupBy("hash").agg(F.min("run").alias("low"), F.max("run").alias("high")).filter("low = high").select("hash"), "op8-equal")
+    first = again.groupBy("hash").agg(F.min(place).alias("first"))
+    over = (F.col("first.row") == F.col("row")) & (F.col("pos") < F.col("first.pos") + F.col("n"))
+    later = keep_ids(again, equal, "hash").join(first, "hash").filter((place != F.col("first")) & ~over)
+    lines = later.select("row", F.explode(F.sequence("pos", F.expr("pos + n - 1"))).alias("pos")).distinct()
+    return hold(lines.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "op8-lines")
+
+
+def passage_dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, removed, kept_text) for each row of ``docs`` that loses lines of repeated passages: how many, and what stays."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").filter("text is not null")
+    gone = passages(keyed)
+    touched = keep_ids(keyed, gone, "row").join(gone, "row")
+    # a mark for each line, made of the gaps between the numbers
+    before = F.concat(F.array(F.lit(-1)), F.slice("gone", F.lit(1), F.size("gone") - 1))
+    marks = F.array_join(F.zip_with("gone", before, lambda a, b: F.concat(F.repeat(F.lit("0"), a - b - 1), F.lit("1"))), "")
+    lines = F.zip_with(F.split("text", "\n", -1), F.split(marks, ""), lambda x, m: F.struct(x.alias("x"), m.alias("m")))
+    stays = F.filter(lines, lambda z: z["x"].isNotNull() & ~z["m"].eqNullSafe("1"))
+    return touched.select("doc_id", "row", F.size("gone").alias("removed"), F.array_join(F.transform(stays, lambda z: z["x"]), "\n").alias("kept_text"))
+
+
 def _row(text: str = "text"):
     """Names a row by doc_id and text; rows that agree in both are one occurrence."""
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
@@ -97,17 +173,17 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     return touched.select("doc_id", "row", F.size("gone").alias("removed"), F.array_join(stays, "\n").alias("kept_text"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, removed, n_chars, text_md5) for each row: chunks taken out, and length and digest of what stays."""
-    lost = line_dedup(docs).select("row", "removed", F.length("kept_text").cast("long").alias("n_left"), F.md5("kept_text").alias("md5_left")).dropDuplicates(["row"])
+def removals(docs: DataFrame, dedup: Callable[[DataFrame], DataFrame] = line_dedup) -> DataFrame:
+    """(doc_id, removed, n_chars, text_md5) for each row: chunks or lines taken out, and length and digest of what stays."""
+    lost = dedup(docs).select("row", "removed", F.length("kept_text").cast("long").alias("n_left"), F.md5("kept_text").alias("md5_left")).dropDuplicates(["row"])
     every = docs.select("doc_id", _row().alias("row"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
     every = every.join(lost, "row", "left")
     return every.select("doc_id", F.coalesce("removed", F.lit(0)).alias("removed"), F.coalesce("n_left", "n").alias("n_chars"), F.coalesce("md5_left", "md5").alias("text_md5"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated chunks taken out of ``text``; no row is dropped. ``n_chars``, if there, is renewed."""
-    lost = hold(line_dedup(docs).select(F.col("row").alias("_row"), F.col("kept_text").alias("_kept")).dropDuplicates(["_row"]), "op8-lost")
+    """``docs`` with repeated passages taken out of ``text``; no row is dropped. ``n_chars``, if there, is renewed."""
+    lost = hold(passage_dedup(docs).select(F.col("row").alias("_row"), F.col("kept_text").alias("_kept")).dropDuplicates(["_row"]), "op8-lost")
     keyed = docs.withColumn("_row", _row())
     same = keep_ids(keyed, lost, "_row", "left_anti").select(*docs.columns)
     less = keep_ids(keyed, lost, "_row").join(lost, "_row").withColumn("text", F.col("_kept"))

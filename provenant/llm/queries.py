@@ -57,6 +57,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removals(documents(spark, sf_dir))
 
 
+def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the pipeline's stage does; op8_line_dedup has the chunks of its SQL."""
+    return line_dedup.removals(documents(spark, sf_dir), line_dedup.passage_dedup)
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
@@ -66,6 +71,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_sharding": op7_sharding,
     "op8_line_dedup": op8_line_dedup,
+    "op8_passages": op8_passages,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
 }

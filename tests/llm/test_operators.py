@@ -282,6 +282,26 @@ def test_passages_that_repeat_go(spark, docs, empty):
     assert cut.filter("text is not null and array_join(parts, '\n') <> text").count() == 0
 
 
+def test_passages_of_short_lines_go_whole(spark):
+    r = random.Random(11)
+    line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    shapes = [(2, 45), (2, 10), (3, 40), (4, 30), (5, 11), (7, 9), (10, 27), (10, 6)]
+    first, later, stays = [], [], []
+    for n, each in shapes:
+        passage = [line(each) for _ in range(n)]
+        first.append([line(9), *passage, line(8)])
+        before, after, end = [line(5), line(7)], [line(3)], [line(3)]
+        later += [[*before, *passage, *after], passage, [*passage, *end]]
+        stays += [[*before, *after], [""], end]
+    few = ["no", "more", line(17)]  # 19 words repeat and stay
+    spam = ["one two three four"] * 40  # the first five are the first occurrence of 20 words
+    texts = [*first, *later, [line(4), *few], [*few, line(6)], spam]
+    want = [*first, *stays, *texts[-3:-1], spam[:5]]
+    t = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    kept = {x.doc_id: x.text for x in line_dedup.without_repeats(t).collect()}
+    assert kept == {i: "\n".join(x) for i, x in enumerate(want)}
+
+
 def test_token_files_come_back(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
