@@ -6,13 +6,14 @@ value. So equal values stay equal everywhere, different ones stay different, and
 no table of values is kept, nothing is shuffled.
 
 A value is an array of small numbers, each below its own radix: digits (10), letters (26), octets (256), or for a
-date the two digits of its day number. The array is cut in halves; in each round one half is shifted, place by
-place, by numbers from a SHA-512 over key, kind, round and the other half.
+date the two digits of its day number. Only characters that change are in it, so a value is the same in any format;
+one place alone is taken as two factors. The array is cut in halves; in each round one half is shifted, place by
+place, by numbers from a SHA-512 over key, kind, an address's domain or an account's country, length, round and the other half.
 
 =====  =======================================================  =============================================
 kind   what is taken                                            what changes
 =====  =======================================================  =============================================
-card   13 to 19 digits, also in groups of four, right by Luhn   all digits; the last one is the new check digit
+card   13 to 19 digits, in groups of four or 4-6-5, by Luhn      all digits; the last one is the new check digit
 iban   country, check digits, account; right modulo 97          the account; check digits are made anew
 ssn    ddd-dd-dddd with a possible area, group and serial       all digits
 phone  with + and country, with an area in brackets, ddd-ddd-dddd  all digits but the country's
@@ -43,9 +44,11 @@ PATTERN = "|".join(
         r"(?<![0-9])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])",
         r"(?<![0-9])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])",
         r"(?<![0-9-])[0-9]{3}([.-])[0-9]{3}\2[0-9]{4}(?![0-9-])",
-        r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4})(?![0-9])",
+        r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\3[0-9]{4}\3[0-9]{4}(?:\3[0-9]{3}(?![0-9]))?|[0-9]{4}([ -])[0-9]{6}\4[0-9]{5})(?![0-9])",
     ]
 )
+#: A country's calling code, at the start of a number's digits.
+_COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 _DAYS = (17, 4297)  # their product is the number of days from 1900-01-01 to 2099-12-31
 
 
@@ -92,9 +95,17 @@ def _kind(raw: Column) -> Column:
     )
 
 
+def _head(raw: Column) -> Column:
+    """A match without a last group of three digits that belongs to no card number."""
+    long = raw.rlike("^[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}\\1[0-9]{3}$")
+    return F.when(long & (_luhn_sum(F.regexp_replace(raw, "[^0-9]", "")) % 10 != 0), F.substring(raw, 1, 19)).otherwise(raw)
+
+
 def _span(raw: Column, kind: Column) -> Column:
     """First and last place (from 0) of the characters that change, for kinds that change characters."""
-    country = F.length(F.regexp_extract(raw, r"^(\+[0-9]{1,3}(?=[^0-9])|\+[0-9])?", 1))
+    n = F.length(F.regexp_extract(F.regexp_replace(raw, "[^0-9]", ""), _COUNTRY, 0))
+    upto = lambda k: F.length(F.regexp_extract(raw, r"^\+(?:[^0-9]*[0-9]){%d}" % k, 0))
+    country = F.when(~raw.startswith("+"), 0).when(n == 1, upto(1)).when(n == 2, upto(2)).otherwise(upto(3))
     last = F.length(raw) - 1
     return (
         F.when(kind == "email", F.array(F.lit(0), F.instr(raw, "@") - 2))
@@ -105,6 +116,11 @@ def _span(raw: Column, kind: Column) -> Column:
     )
 
 
+def _tweak(raw: Column, kind: Column) -> Column:
+    """What stays of a value and tells its permutation from others of its kind."""
+    return F.when(kind == "email", F.concat(F.lit("email:"), F.lower(F.substring_index(raw, "@", -1)))).when(kind == "iban", F.concat(F.lit("iban:"), F.substring(raw, 1, 2))).otherwise(kind)
+
+
 def _radix(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]$"), 10).when(c.rlike("^[A-Za-z]$"), 26).otherwise(1).cast("long")
 
@@ -113,12 +129,20 @@ def _base(c: Column) -> Column:
     return F.when(c.rlike("^[0-9]$"), 48).when(c.rlike("^[a-z]$"), 97).otherwise(65).cast("long")
 
 
+def _places(chars: Column, span: Column) -> Column:
+    """The places (from 0) of the characters that change."""
+    at = F.transform(chars, lambda c, i: F.when((i >= span[0]) & (i <= span[1]) & (_radix(c) > 1), i))
+    return F.filter(at, lambda i: i.isNotNull())
+
+
 def _numbers(s: Column) -> Column:
     """(values, radices) of a validated match."""
-    raw, kind, span = s["raw"], s["kind"], s["span"]
-    inside = lambda i: (i >= span[0]) & (i <= span[1])
-    radices = F.transform(s["chars"], lambda c, i: F.when(inside(i), _radix(c)).otherwise(F.lit(1).cast("long")))
-    values = F.transform(s["chars"], lambda c, i: F.when(inside(i) & (_radix(c) > 1), _ord(c) - _base(c)).otherwise(F.lit(0).cast("long")))
+    raw, kind, at = s["raw"], s["kind"], s["places"]
+    chars = lambda f: F.transform(at, lambda i: f(F.get(s["chars"], i)))
+    radices, values = chars(_radix), chars(lambda c: _ord(c) - _base(c))
+    one, part = F.size(at) == 1, F.floor(F.get(radices, F.lit(0)) / 2)
+    first, two = F.get(values, F.lit(0)), F.lit(2).cast("long")
+    radices, values = F.when(one, F.array(two, part)).otherwise(radices), F.when(one, F.array(F.floor(first / part), first % part)).otherwise(values)
     day = F.datediff(_iso(raw), F.lit("1900-01-01").cast("date")).cast("long")
     many = lambda *x: F.array(*[F.lit(v).cast("long") for v in x])
     return F.struct(
@@ -135,7 +159,7 @@ def feistel(values: Column, radices: Column, kind: Column, key: str, invert: boo
     q_low, q_high = cut(radices)
 
     def shifted(part: Column, other: Column, radix: Column, number: Column) -> Column:
-        seed = F.sha2(F.concat_ws(":", F.lit(key), kind, number.cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), 512)
+        seed = F.sha2(F.concat_ws(":", F.lit(key), kind, F.size(values).cast("string"), number.cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), 512)
         amount = lambda i: F.conv(F.substr(seed, 1 + 4 * (i % 32), F.lit(4)), 16, 10).cast("long")
         sign = -1 if invert else 1
         return F.transform(part, lambda v, i: F.pmod(v + sign * amount(i), F.get(radix, i)))
@@ -155,9 +179,10 @@ def feistel(values: Column, radices: Column, kind: Column, key: str, invert: boo
 
 def _written(s: Column) -> Column:
     """The permuted numbers in the format of the match."""
-    raw, kind, v, chars, span = s["raw"], s["kind"], s["values"], s["chars"], s["span"]
-    inside = lambda i: (i >= span[0]) & (i <= span[1])
-    text = F.array_join(F.transform(chars, lambda c, i: F.when(inside(i) & (_radix(c) > 1), F.char(_base(c) + F.get(v, i))).otherwise(c)), "")
+    raw, kind, v, chars, at = s["raw"], s["kind"], s["values"], s["chars"], s["places"]
+    alone = F.size(at) == 1
+    new = lambda c, i: F.when(alone, v[0] * F.floor(_radix(c) / 2) + v[1]).otherwise(F.get(v, (F.array_position(at, i) - 1).cast("int")))
+    text = F.array_join(F.transform(chars, lambda c, i: F.when(F.array_contains(at, i), F.char(_base(c) + new(c, i))).otherwise(c)), "")
     digits = F.regexp_replace(text, "[^0-9]", "")
     # the last digit is still the old one: replaced by 0, the sum tells the right one
     luhn = F.pmod(-_luhn_sum(F.concat(F.substr(digits, F.lit(1), F.length(digits) - 1), F.lit("0"))), F.lit(10))
@@ -191,24 +216,21 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text", found: str =
     may = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
     nothing = F.array().cast("array<string>")
     work = docs.select(*names, F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(nothing).alias("_raw"))
-    work = work.withColumn("_v", F.transform("_raw", lambda x: F.struct(x.alias("raw"), _kind(x).alias("kind"), F.split(x, "").alias("chars"))))
-    work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(s["raw"].alias("raw"), s["kind"].alias("kind"), s["chars"].alias("chars"), _span(s["raw"], s["kind"]).alias("span"))))
-    work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(s["raw"].alias("raw"), s["kind"].alias("kind"), s["chars"].alias("chars"), s["span"].alias("span"), _numbers(s).alias("n"))))
-    work = work.withColumn(
-        "_v",
-        F.transform(
-            "_v",
-            lambda s: F.struct(
-                s["raw"].alias("raw"), s["kind"].alias("kind"), s["chars"].alias("chars"), s["span"].alias("span"),
-                F.when(s["kind"].isNotNull(), feistel(s["n"]["values"], s["n"]["radices"], s["kind"], key)).alias("values"),
-            ),
-        ),
-    )
-    work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(s["raw"].alias("raw"), s["kind"].alias("kind"), F.when(s["kind"].isNotNull(), _written(s)).otherwise(s["raw"]).alias("pseudonym"))))
+    carried = lambda s, *names: [s[n].alias(n) for n in names]
+    work = work.withColumn("_v", F.transform("_raw", lambda x: F.struct(x.alias("whole"), _head(x).alias("raw"))))
+    work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, "whole", "raw"), _kind(s["raw"]).alias("kind"), F.split(s["raw"], "").alias("chars"))))
+    keep = ["whole", "raw", "kind", "chars"]
+    work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, *keep), _span(s["raw"], s["kind"]).alias("span"))))
+    work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, *keep), _places(s["chars"], s["span"]).alias("places"))))
+    keep.append("places")
+    work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, *keep), F.when(s["kind"].isNotNull(), _numbers(s)).alias("n"))))
+    dealt = lambda s: F.when(s["kind"].isNotNull(), feistel(s["n"]["values"], s["n"]["radices"], _tweak(s["raw"], s["kind"]), key))
+    work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, *keep), dealt(s).alias("values"))))
+    work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, "whole", "raw", "kind"), F.when(s["kind"].isNotNull(), _written(s)).otherwise(s["raw"]).alias("pseudonym"))))
     gaps = F.split(text, PATTERN, -1)
-    new = F.array_join(F.zip_with(gaps, F.concat(F.transform("_v", lambda s: s["pseudonym"]), F.array(F.lit(""))), lambda g, p: F.concat(g, p)), "")
+    new = F.array_join(F.zip_with(gaps, F.concat(F.transform("_v", lambda s: F.concat(s["pseudonym"], F.substr(s["whole"], F.length(s["raw"]) + 1))), F.array(F.lit(""))), lambda g, p: F.concat(g, p)), "")
     work = work.withColumn(text, F.when(F.size("_v") > 0, new).otherwise(F.col(text)))
-    return work.select(*names, F.filter("_v", lambda s: s["kind"].isNotNull()).alias(found))
+    return work.select(*names, F.transform(F.filter("_v", lambda s: s["kind"].isNotNull()), lambda s: F.struct(*carried(s, "raw", "kind", "pseudonym"))).alias(found))
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:

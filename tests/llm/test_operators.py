@@ -210,6 +210,27 @@ def test_pseudonyms_keep_format_and_link(spark, docs, empty):
     assert pseudonyms.pseudonymised(empty, "key").count() == 0
 
 
+def test_pseudonyms_link_formats_and_shift_apart(spark):
+    groups = [
+        ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111 1111 1111 1111 123"], ["378282246310005", "3782 822463 10005"], ["6304000000000000000", "6304 0000 0000 0000 000"],
+        ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"], ["+4915112345678", "+49 151 12345678", "+49 151 1234 5678"], ["+1 (988) 555-2485", "(988) 555-2485", "988-555-2485"],
+    ]
+    names = ["anna", "anne", "bbbb", "zoey", *"abcdefghijklmnopqrstuvwxyz", *[x + y for x in "abcdefghij" for y in "klmnopqrst"]]
+    texts = [t for g in groups for t in g] + [f"{n}@example.com" for n in names] + ["anna@example.org"]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {texts[r.doc_id]: r.text for r in pseudonyms.with_pseudonyms(t, "key").collect()}
+    plain = lambda x: re.sub(r"\W", "", x)
+    assert got["4111 1111 1111 1111 123"] == got["4111 1111 1111 1111"] + " 123"
+    for g in groups:
+        long = [x for x in g if not x.endswith(" 123")]
+        ends = {plain(got[x])[-10:] for x in long}
+        assert len(ends) == 1 and all(got[x] != x and re.sub("[A-Z0-9]", "0", got[x]) == re.sub("[A-Z0-9]", "0", x) for x in long), (g, [got[x] for x in g])
+    mail = lambda n: got[f"{n}@example.com"].split("@")[0]
+    shift = lambda n: tuple((ord(b) - ord(a)) % 26 for a, b in zip(n, mail(n), strict=True))
+    assert len({shift(n) for n in names[:4]}) == 4 and len({shift(n) for n in names[4:30]}) > 2 and len({shift(n) for n in names[30:]}) > 20
+    assert len({mail(n) for n in names}) == len(names) and got["anna@example.org"].split("@")[0] != mail("anna")
+
+
 def test_mix_comes_near_its_targets(docs, empty):
     got = mixing.mix(docs.join(docs.select("doc_id", "source").distinct().groupBy("doc_id").agg(F.first("source").alias("own")), "doc_id", "left").drop("own")).collect()
     assert len(got) == docs.count()
