@@ -21,6 +21,7 @@ from __future__ import annotations
 import os
 import re
 import struct
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -151,9 +152,9 @@ class WordEncoder:
             known.clear()
             known[""] = b""
         new = set(chain.from_iterable(lists)).difference(known)
-        # closing marks after a letter or digit are words of their own
+        # closing marks after a letter or digit are words of their own; some letters end in another mark after NFC
         ends = {w: w.rstrip(_MARKS) for w in new if w[-1] in _MARKS}
-        ends = {w: stem for w, stem in ends.items() if stem and stem[-1].lower()[-1].isalnum()}
+        ends = {w: stem for w, stem in ends.items() if stem and unicodedata.normalize("NFC", stem).lower()[-1].isalnum()}
         parts = new.difference(ends)
         for w, stem in ends.items():
             parts.add(stem)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from array import array
 from itertools import pairwise
@@ -342,6 +343,16 @@ def test_token_files_come_back(spark, docs, empty, tmp_path):
     assert token_files.read(token_files.write(empty, f"file://{tmp_path}/b", WORDS, end_id=2)).count() == 0
 
 
+def test_marks_after_letters_that_come_apart():
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    letters = [c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.normalize("NFC", c) != c]
+    assert "\u095d" in letters and "\ufb1d" in letters
+    texts = [f"{stem}{c}{mark}" for c in letters for mark in ".,;:!?" for stem in ("", "\u092a", "a")]
+    assert own.encode(texts) == [array("I", e.ids).tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_blocks_come_back(seed):
     r = np.random.default_rng(seed)
