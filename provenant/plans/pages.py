@@ -36,7 +36,7 @@ def css_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def extract_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fields from an advertisement, if a page has one, else from its heading; with what made them."""
-    pages = extract.css(table(spark, sf_dir, "pages").filter("page_id % 2 = 0"), {"text": "div.promo"}, to="promo")
+    pages = extract.css(table(spark, sf_dir, "pages"), {"text": "div.promo"}, to="promo")
     pages = extract.css(pages, {"text": "article h1", "lang": "html@lang"}, to="page")
     rows = extract.one_row_each(pages, ["promo", "page"], ["page_id"])
     return extract.chain(rows, ["promo", "page"], {"text": ["strip"], "lang": []}, ["page_id", "row_ix"])

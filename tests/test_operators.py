@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from provenant.operators import classify, detect, discovery, quality, replay, responses, scd2, tables, validate
 from provenant.operators.contract import Contract, Field
+from provenant.plans import pages as page_plans
 
 CURRENT = "entity string, natural_key string, payload_hash string, snapshot_id string, valid_from int, last_seen_at int"
 INCOMING = "entity string, natural_key string, seq int, payload_hash string, snapshot_id string"
@@ -122,3 +123,9 @@ def test_queries_against_sql(spark):
         names = sorted(got.columns)
         want = con.execute(f"SELECT {', '.join(chr(34) + n + chr(34) for n in names)} FROM ({sql})").fetchall()
         assert shown(got.select(*names).collect()) == shown(want), name
+
+
+def test_all_pages_are_extracted(spark, tmp_path):
+    html = '<html lang="en"><body><article><h1> Heading </h1></article></body></html>'
+    spark.createDataFrame([(i, f"http://a/{i}", html) for i in range(6)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert sorted((r.page_id, r.text) for r in page_plans.extract_chain(spark, str(tmp_path)).collect()) == [(i, "Heading") for i in range(6)]
