@@ -20,13 +20,13 @@ def seed_list(seeds: DataFrame, pattern: str, most: int | None = None) -> DataFr
     return _capped(seeds.filter(F.col("url").rlike(pattern)).select("url", "seq"), ["seq"], most)
 
 
-def paginate(index_pages: DataFrame, selector: str, pattern: str, most: int | None = None, last_page: int = 5000) -> DataFrame:
+def paginate(index_pages: DataFrame, selector: str, pattern: str, most: int | None = None, last_page: int | None = 5000) -> DataFrame:
     """(url, n, pos): links of ``index_pages`` (n, url, http_status, html), page by page.
 
     The walk ends before the first page that is no success or brings no new link. A link counts where it is first
     seen.
     """
-    pages = index_pages.filter(F.col("n") <= last_page)
+    pages = index_pages if last_page is None else index_pages.filter(F.col("n") <= last_page)
     good = pages.filter(F.col("http_status").between(200, 299))
     found = good.select("n", F.posexplode(links(F.col("url"), F.col("html"), selector)).alias("pos", "url")).filter(F.col("url").rlike(pattern))
     first = found.withColumn("_k", F.row_number().over(Window.partitionBy("url").orderBy("n", "pos"))).filter("_k = 1").drop("_k")

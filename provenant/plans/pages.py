@@ -18,8 +18,8 @@ def seed_list_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paginate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links in the navigation of the pages, walked by page id until a page brings nothing new."""
-    index = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), "url", F.when(F.col("page_id") == 200, 404).otherwise(200).alias("http_status"), "html")
-    return discovery.paginate(index, "nav li a", ".", most=500)
+    index = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), "url", F.lit(200).alias("http_status"), "html")
+    return discovery.paginate(index, "nav li a", ".", last_page=None)
 
 
 def css_fields(spark: SparkSession, sf_dir: str) -> DataFrame:

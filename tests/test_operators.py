@@ -129,3 +129,12 @@ def test_all_pages_are_extracted(spark, tmp_path):
     html = '<html lang="en"><body><article><h1> Heading </h1></article></body></html>'
     spark.createDataFrame([(i, f"http://a/{i}", html) for i in range(6)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert sorted((r.page_id, r.text) for r in page_plans.extract_chain(spark, str(tmp_path)).collect()) == [(i, "Heading") for i in range(6)]
+
+
+def test_links_are_walked_beyond_page_200(spark, tmp_path):
+    ids = [*range(1, 261), 5001]
+    html = "<html><body><nav><ul>{}</ul></nav></body></html>"
+    rows = [(i, f"http://a/{i}", html.format("".join(f'<li><a href="/{i}/{k}">x</a></li>' for k in range(3)))) for i in ids]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = [(r.n, r.url) for r in page_plans.paginate_links(spark, str(tmp_path)).collect()]
+    assert got == [(i, f"http://a/{i}/{k}") for i in ids for k in range(3)]
