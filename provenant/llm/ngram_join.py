@@ -9,10 +9,14 @@ partitions of the incidence rows), and adds up each pair's counts over the block
   that are similar enough share one of these, whatever the order is.
 * A pair with c shared columns there has at most ``c + max(n_a - p_a, n_b - p_b)`` in all, and needs
   ``75 (n_a + n_b) / 175``; pairs below that and pairs of too different sizes are dropped.
+* Each row has a sketch: the parities of its columns over at least n buckets. Where two sketches differ, the sets
+  do; so pairs with more differences than ``25 (n_a + n_b) / 175`` are dropped before any text is moved.
 * What is left is counted exactly on the whole texts.
 
+A word is its bytes, or a 128-bit digest if it is long, and a gram 128 bits made of its words (``shared.Words``).
+
 A group of thousands of near copies would still be millions of pairs, of which a component needs few. So the
-product is done in two rounds: first each row only with the smallest row of each of its columns, which gives
+product is done in two rounds: first each row only with some hubs of each of its columns, which gives
 preliminary components; then all pairs of rows *from different components*: of each row's pairs with one
 component the most promising is checked first, and then all pairs that are still apart. No pair is skipped
 unless its rows have been linked otherwise, so no link between components can be lost.
@@ -45,49 +49,122 @@ STARS = 6
 HEAVY, BLOCK = 32, 512
 
 
-def gram_sets(batch: pa.RecordBatch, size: int = SIZE) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row of (doc_id, text): its index in the batch and its distinct grams as sorted 64-bit values.
+#: For each lane and place in a gram, an odd factor.
+_FACTORS = mixed(np.arange(1, 2 * SIZE + 1, dtype=np.uint64)).reshape(2, SIZE) | np.uint64(1)
+
+
+def gram_sets(batch: pa.RecordBatch, both: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row of (doc_id, text): its index in the batch and its distinct grams, 128 bits in two arrays.
 
-    The values are hashes; two different grams of one comparison meet with odds of about 2**-64.
+    They are sorted by the first array, in which two grams of one set hardly ever agree; not ``both``: the second
+    array is left empty, and grams that agree in the first are one.
     """
     base = 0
     for part in pieces(batch, "text"):
         w = Words(part.column("text"))
-        v, first = w.value, w.first
-        if len(v) >= size:
-            g = mixed(v[: len(v) - size + 1])
-            for j in range(1, size):
-                g = mixed(g + v[j : len(v) - size + 1 + j])
-        else:
-            g = np.zeros(0, np.uint64)
+        lanes = []
+        for lane in range(1 + both):
+            v = w.values(lane)
+            n = max(0, len(v) - SIZE + 1)
+            g = np.zeros(n, np.uint64)
+            for j in range(SIZE):
+                g += v[j : j + n] * _FACTORS[lane, j]
+            lanes.append((v, mixed(g + np.uint64(SIZE))))
         for i in range(part.num_rows):
-            a, b = int(first[i]), int(first[i + 1])
-            if b - a >= size:
-                yield base + i, np.unique(g[a : b - size + 1])
+            a, b = int(w.first[i]), int(w.first[i + 1])
+            if b - a >= SIZE:
+                s = [g[a : b - SIZE + 1] for _, g in lanes]
             elif b > a:
-                h = np.uint64(b - a)
-                with np.errstate(over="ignore"):
-                    for x in v[a:b]:
-                        h = mixed(np.array([h + x], np.uint64))[0]
-                yield base + i, np.array([h], np.uint64)
+                s = [mixed((v[a:b] * _FACTORS[lane, : b - a]).sum(keepdims=True, dtype=np.uint64) + np.uint64(b - a)) for lane, (v, _) in enumerate(lanes)]
             else:
-                yield base + i, np.zeros(0, np.uint64)
+                s = [np.zeros(0, np.uint64)] * len(lanes)
+            if not both:
+                yield base + i, np.unique(s[0]), s[0][:0]
+                continue
+            order = np.argsort(s[0])
+            x, y = s[0][order], s[1][order]
+            new = np.append(True, x[1:] != x[:-1])[: len(x)]
+            if not (y[1:] == y[:-1])[~new[1:]].all():  # grams that agree in half their bits
+                order = np.lexsort((s[1], s[0]))
+                x, y = s[0][order], s[1][order]
+                new = np.append(True, (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+            yield base + i, x[new], y[new]
         base += part.num_rows
 
 
+def common(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
+    """The size of the intersection of two sets of ``gram_sets``."""
+    if len(a[0]) > len(b[0]):
+        a, b = b, a
+    at = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
+    hit = (b[0][at] == a[0]) & (b[1][at] == a[1])
+    n = int(hit.sum())
+    odd = (b[0][at] == a[0]) & ~hit
+    if odd.any():  # agreement in half the bits: told apart by all of them
+        n = len(set(zip(*map(np.ndarray.tolist, a), strict=True)) & set(zip(*map(np.ndarray.tolist, b), strict=True)))
+    return n
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """Parities of a set's grams over at least as many buckets as it has, a power of two from 64 on."""
+    buckets = max(64, 1 << (len(grams) - 1).bit_length())
+    odd = np.bincount((grams & np.uint64(buckets - 1)).astype(np.int64), minlength=buckets) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """Sketches of some sets; two of different sizes are compared at the smaller one, the larger being folded."""
+
+    def __init__(self, raw: pa.Array):
+        self.all = [np.frombuffer(x.as_buffer(), np.uint64) for x in raw]
+        self.size = np.array([len(x) for x in self.all], np.int64)
+        self.folded: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def at(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place of each set, or -1; matrix) of all sketches of this size and larger."""
+        if size not in self.folded:
+            place, rows = np.full(len(self.all), -1), []
+            for i in np.flatnonzero(self.size >= size):
+                place[i] = len(rows)
+                rows.append(np.bitwise_xor.reduce(self.all[i].reshape(-1, size), axis=0))
+            self.folded[size] = place, np.array(rows, np.uint64)
+        return self.folded[size]
+
+    def may_agree(self, i: np.ndarray, other: Sketches, j: np.ndarray, total: np.ndarray) -> np.ndarray:
+        """Which pairs (i, j of ``other``) differ in few enough places; ``total`` has the sums of their sets' sizes."""
+        out = np.zeros(len(i), bool)
+        both = np.minimum(self.size[i], other.size[j])
+        for size in np.unique(both):
+            (a, x), (b, y) = self.at(int(size)), other.at(int(size))
+            these = np.flatnonzero(both == size)
+            step = max(1, (1 << 20) // int(size))
+            for k in range(0, len(these), step):
+                t = these[k : k + step]
+                differ = np.bitwise_count(x[a[i[t]]] ^ y[b[j[t]]]).sum(axis=1, dtype=np.int64)
+                out[t] = differ * (100 + PERCENT) <= (100 - PERCENT) * total[t]
+        return out
+
+
+_SIGNATURE = "doc_id long, n int, digest binary, sketch binary, part int"
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, n, digest of the set) for each document; at the end the task's counters, in slices."""
+    """A row (doc_id, n, digest of the set, sketch) for each document; at the end the task's counters, in slices."""
+    names = [x.split()[0] for x in _SIGNATURE.split(", ")]
     counters = np.zeros(1 << COUNTER_BITS, np.int64)
     shift = np.uint64(64 - COUNTER_BITS)
     for batch in batches:
-        n, digest = [], []
-        for _, s in gram_sets(batch):
-            n.append(len(s))
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            np.add.at(counters, (s >> shift).astype(np.int64), 1)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.nulls(len(n), pa.int32())], ["doc_id", "n", "digest", "part"])
+        n, digest, sketches = [], [], []
+        for _, x, y in gram_sets(batch):
+            n.append(len(x))
+            digest.append(hashlib.blake2b(x.tobytes() + y.tobytes(), digest_size=16).digest())
+            sketches.append(sketch(y) if len(y) else None)
+            counters += np.bincount((x >> shift).astype(np.int64), minlength=len(counters)) if len(x) > 4096 else 0
+            if len(x) <= 4096:
+                np.add.at(counters, (x >> shift).astype(np.int64), 1)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(digest, pa.binary()), pa.array(sketches, pa.binary()), pa.nulls(len(n), pa.int32())], names)
     cut = np.split(counters, _SLICES)
-    yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary()), pa.array(range(_SLICES), pa.int32())], ["doc_id", "n", "digest", "part"])
+    yield pa.RecordBatch.from_arrays([pa.nulls(_SLICES, pa.int64()), pa.nulls(_SLICES, pa.int32()), pa.array([x.tobytes() for x in cut], pa.binary()), pa.nulls(_SLICES, pa.binary()), pa.array(range(_SLICES), pa.int32())], names)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +200,7 @@ def _prefixes(levels):
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             grams, salts, docs, sizes = [], [], [], []
-            for i, s in gram_sets(batch):
+            for i, s, _ in gram_sets(batch, both=False):
                 n = len(s)
                 if not n:
                     continue
@@ -160,36 +237,50 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, cell = batch.column("a").to_numpy(), batch.column("b").to_numpy(), batch.column("cell").to_numpy()
         is_hub = batch.column("is_hub").to_pylist()
         out_a, out_b = [], []
-        for i, s in gram_sets(batch):
+        for i, x, y in gram_sets(batch):
             key = (a[i], cell[i])
             if is_hub[i]:
                 hubs = hubs if key == hub_key else {}
-                hubs[s.tobytes()] = s  # more than one only if texts share a doc_id
+                hubs[x.tobytes()] = x, y  # more than one only if texts share a doc_id
                 hub_key = key
                 continue
             for hub in hubs.values() if key == hub_key else ():
-                both = len(np.intersect1d(hub, s, assume_unique=True))
-                if 100 * both >= PERCENT * (len(hub) + len(s) - both):
+                both = common(hub, (x, y))
+                if 100 * both >= PERCENT * (len(hub[0]) + len(x) - both):
                     out_a.append(a[i])
                     out_b.append(b[i])
         yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
 
+def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of ``pairs`` (a, b, ...) whose sketches (doc_id, n, sketch) differ in few enough places."""
+    names = pairs.columns
+    two = pairs.join(sketches.select(F.col("doc_id").alias("a"), F.col("n").alias("_na"), F.col("sketch").alias("_sa")), "a")
+    two = two.join(sketches.select(F.col("doc_id").alias("b"), F.col("n").alias("_nb"), F.col("sketch").alias("_sb")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            each = np.arange(batch.num_rows)
+            total = batch.column("_na").to_numpy().astype(np.int64) + batch.column("_nb").to_numpy()
+            good = Sketches(batch.column("_sa")).may_agree(each, Sketches(batch.column("_sb")), each, total)
+            yield batch.select(names).filter(pa.array(good))
+
+    return two.mapInArrow(run, pairs.schema)
+
+
 def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those of the held ``pairs`` (a, b) whose sets are similar enough, counted on the whole texts.
+    """Those of the held ``pairs`` (a, b) whose sets are similar enough, counted on the whole texts; held.
 
     Pairs are blocked by ``a``; a block is cut into cells of at most some thousand rows, each with its own
     copy of the text of ``a``, so that a hub of a third of all documents is many small cells.
     """
     blocks = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 2000).cast("int").alias("cells"))
-    pairs = pairs.join(blocks, "a").withColumn("cell", F.expr("cast(pmod(xxhash64(b), cells) as int)"))
-    pairs = hold(pairs, "op1-cells")
-    ids = hold(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "op1-ids")
-    texts = keep_ids(texts, ids, "doc_id")
-    hubs = texts.join(pairs.select(F.col("a").alias("doc_id"), "a", "cell").distinct(), "doc_id").select("a", F.col("a").alias("b"), "cell", F.lit(True).alias("is_hub"), "text")
-    rest = texts.join(pairs.withColumn("doc_id", F.col("b")), "doc_id").select("a", "b", "cell", F.lit(False).alias("is_hub"), "text")
-    rows = hubs.union(rest).repartition("a", "cell").sortWithinPartitions("a", "cell", F.desc("is_hub"))
-    return rows.mapInArrow(_counted, "a long, b long")
+    pairs = pairs.join(blocks, "a").select("a", "b", F.expr("cast(pmod(xxhash64(b), cells) as int)").alias("cell"))
+    hubs = pairs.select(F.col("a").alias("doc_id"), "a", F.col("a").alias("b"), "cell", F.lit(True).alias("is_hub")).distinct()
+    places = hold(hubs.union(pairs.select(F.col("b").alias("doc_id"), "a", "b", "cell", F.lit(False))), "op1-places")
+    rows = keep_ids(texts, hold(places.select("doc_id").distinct(), "op1-ids"), "doc_id").join(places, "doc_id")
+    rows = rows.select("a", "b", "cell", "is_hub", "text").repartition("a", "cell").sortWithinPartitions("a", "cell", F.desc("is_hub"))
+    return hold(rows.mapInArrow(_counted, "a long, b long"), "op1-links")
 
 
 def _hubs(window):
@@ -199,65 +290,63 @@ def _hubs(window):
     return F.array(*[e.over(window) for e in ends])
 
 
-def _product(best_only: bool):
-    """Counts of a block of rows times another, added up over blocks of their common columns."""
-
-    def run(blocks: pa.Table) -> pa.Table:
-        sides = []
-        for second in (False, True):
-            t = blocks.filter(pc.equal(blocks.column("second"), second)).combine_chunks()
-            lists = t.column("grams").combine_chunks()
-            sides.append((t.column("doc_id").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("comp").to_numpy(), np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy()))
-        (x, nx, cx, rx, gx), (y, ny, cy, ry, gy) = sides
-        counts = np.zeros((len(x), len(y)), np.float32)
-        common = np.intersect1d(gx, gy)
-        for at in range(0, len(common), 4096):
-            columns = common[at : at + 4096]
-            dense = []
-            for rows, grams, height in ((rx, gx, len(x)), (ry, gy, len(y))):
-                place = np.minimum(np.searchsorted(columns, grams), len(columns) - 1)
-                hit = columns[place] == grams
-                m = np.zeros((height, len(columns)), np.float32)
-                m[rows[hit], place[hit]] = 1
-                dense.append(m)
-            counts += dense[0] @ dense[1].T
-        total = nx[:, None] + ny[None, :]
-        rest = np.maximum((nx - nx // 4)[:, None], (ny - ny // 4)[None, :]) - 1
-        sizes = 100 * np.minimum(nx[:, None], ny[None, :]) >= PERCENT * np.maximum(nx[:, None], ny[None, :])
-        good = (counts > 0) & sizes & (cx[:, None] != cy[None, :]) & ((counts + rest) * (100 + PERCENT) >= PERCENT * total)
-        if blocks.column("b1")[0] == blocks.column("b2")[0]:
-            good &= x[:, None] < y[None, :]
-        i, j = np.nonzero(good)
-        c = counts[i, j].astype(np.int64)
-        if best_only and len(i):
-            order = np.lexsort((y[j], -c, cy[j], x[i]))
-            i, j, c = i[order], j[order], c[order]
-            first = np.append(True, (x[i][1:] != x[i][:-1]) | (cy[j][1:] != cy[j][:-1]))
-            i, j, c = i[first], j[first], c[first]
-        return pa.table([pa.array(x[i], pa.int64()), pa.array(y[j], pa.int64()), pa.array(cy[j], pa.int64()), pa.array(c, pa.int64())], names=["x", "y", "comp", "c"])
-
-    return run
-
-
-def cross_pairs(posts: DataFrame, found: DataFrame, hub_of: DataFrame, best_only: bool) -> DataFrame:
-    """Held pairs (a, b) from different components that may be similar by their first columns.
-
-    Rows of one component, or single ones with one best hub, are a cluster. Clusters of at least ``HEAVY`` rows
-    are cut into blocks, and blocks that share a column are multiplied as matrices, one pair of blocks at a time;
-    so a cluster of thousands, which would be millions of joined rows, is some dense products. Pairs with a row
-    of a smaller cluster are joined by column. ``best_only``: of a row's pairs with a component only the one with
-    the largest count.
+def _product(blocks: pa.Table) -> pa.Table:
+    """Counts of a block of rows times another, added up over blocks of their common columns; pairs that may be similar."""
+    sides = []
+    for second in (False, True):
+        t = blocks.filter(pc.equal(blocks.column("second"), second)).combine_chunks()
+        lists = t.column("grams").combine_chunks()
+        sides.append((t.column("doc_id").to_numpy(), t.column("n").to_numpy().astype(np.int64), t.column("comp").to_numpy(), np.repeat(np.arange(t.num_rows), np.diff(lists.offsets.to_numpy())), lists.flatten().to_numpy(), Sketches(t.column("sketch").combine_chunks())))
+    (x, nx, cx, rx, gx, sx), (y, ny, cy, ry, gy, sy) = sides
+    counts = np.zeros((len(x), len(y)), np.float32)
+    shared = np.intersect1d(gx, gy)
+    for at in range(0, len(shared), 4096):
+        columns = shared[at : at + 4096]
+        dense = []
+        for rows, grams, height in ((rx, gx, len(x)), (ry, gy, len(y))):
+            place = np.minimum(np.searchsorted(columns, grams), len(columns) - 1)
+            hit = columns[place] == grams
+            m = np.zeros((height, len(columns)), np.float32)
+            m[rows[hit], place[hit]] = 1
+            dense.append(m)
+        counts += dense[0] @ dense[1].T
+    total = nx[:, None] + ny[None, :]
+    rest = np.maximum((nx - nx // 4)[:, None], (ny - ny // 4)[None, :]) - 1
+    sizes = 100 * np.minimum(nx[:, None], ny[None, :]) >= PERCENT * np.maximum(nx[:, None], ny[None, :])
+    good = (counts > 0) & sizes & (cx[:, None] != cy[None, :]) & ((counts + rest) * (100 + PERCENT) >= PERCENT * total)
+    if blocks.column("b1")[0] == blocks.column("b2")[0]:
+        good &= x[:, None] < y[None, :]
+    i, j = np.nonzero(good)
+    may = sx.may_agree(i, sy, j, total[i, j])
+    i, j = i[may], j[may]
+    return pa.table([pa.array(x[i], pa.int64()), pa.array(y[j], pa.int64()), pa.array(cy[j], pa.int64()), pa.array(counts[i, j].astype(np.int64), pa.int64())], names=["x", "y", "comp", "c"])
+
+
+def cross_pairs(posts: DataFrame, sketches: DataFrame, found: DataFrame, hub_of: DataFrame) -> DataFrame:
+    """Held pairs (x, y, comp, c) from different components that may be similar by their first columns and sketches.
+
+    ``comp`` is the component of y, ``c`` the count of shared columns. Rows of one component, or single ones with one
+    best hub, are a cluster. Clusters of at least ``HEAVY`` rows are cut into blocks, those of its component apart
+    from the others, and blocks that share a column are multiplied as matrices, one pair of blocks at a time, but for
+    pairs of one component; so a cluster of thousands, which would be millions of joined rows, is some dense
+    products. Pairs with a row of a smaller cluster are joined by column; a column with very many rows is a skewed
+    key of a sort-merge join, which adaptive execution splits.
     """
     comp = found.select(F.col("id").alias("doc_id"), F.col("component").alias("own"))
     via = hub_of.join(found.select(F.col("id").alias("hub"), "component"), "hub", "left").select("doc_id", F.coalesce("component", "hub").alias("near"))
-    docs = posts.select("doc_id").distinct().join(comp, "doc_id", "left").join(via, "doc_id", "left")
+    docs = sketches.select("doc_id").distinct().join(comp, "doc_id", "left").join(via, "doc_id", "left")
     docs = docs.select("doc_id", F.coalesce("own", "doc_id").alias("comp"), F.coalesce("own", "near", "doc_id").alias("cluster"))
-    large = docs.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= HEAVY)
-    docs = docs.join(large, "cluster", "left").withColumn("block", F.when(F.col("size").isNotNull(), F.concat_ws("/", "cluster", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))))
-    posts = posts.select("gram", "doc_id", "n").join(docs.select("doc_id", "comp", "block"), "doc_id")
-    posts = hold(posts, "op1-labelled")
-    several = posts.groupBy("gram", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("gram").agg(F.count(F.lit(1)).alias("comps")).filter("comps > 1").select("gram")
-    posts = hold(posts.join(several, "gram"), "op1-mixed")
+    docs = docs.withColumn("inner", F.col("comp") == F.col("cluster"))
+    sides = docs.groupBy("cluster", "inner").agg(F.count(F.lit(1)).alias("side"))
+    sides = sides.join(sides.groupBy("cluster").agg(F.sum("side").alias("size")).filter(F.col("size") >= HEAVY), "cluster")
+    block = F.concat_ws("/", "cluster", F.when(F.col("inner"), "i").otherwise("o"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("side") / BLOCK)))
+    docs = hold(docs.join(sides, ["cluster", "inner"], "left").select("doc_id", "comp", F.when(F.col("size").isNotNull(), block).alias("block")), "op1-blocked")
+
+    # columns with rows of one component only go; those of very many rows (with a salt) are not gathered to see that
+    cell = Window.partitionBy("gram")
+    posts = posts.select("gram", "salt", "doc_id", "n").join(docs, "doc_id")
+    usual = posts.filter("salt = 0").withColumn("several", F.min("comp").over(cell) < F.max("comp").over(cell)).filter("several").drop("several")
+    posts = hold(usual.union(posts.filter("salt > 0")).drop("salt"), "op1-mixed")
 
     x, y = posts.filter("block is null").alias("x"), posts.alias("y")
     joined = x.join(
@@ -265,20 +354,20 @@ def cross_pairs(posts: DataFrame, found: DataFrame, hub_of: DataFrame, best_only
         F.expr(f"x.gram = y.gram and x.comp <> y.comp and (y.block is not null or x.doc_id < y.doc_id) and 100 * least(x.n, y.n) >= {PERCENT} * greatest(x.n, y.n)"),
     )
     light = joined.select(F.col("x.doc_id").alias("x"), F.col("y.doc_id").alias("y"), F.col("y.comp").alias("comp"), F.expr("x.n + y.n").alias("total"), F.expr("greatest(x.n - x.n div 4, y.n - y.n div 4) - 1").alias("rest"))
-    light = light.groupBy("x", "y", "comp", "total", "rest").agg(F.count(F.lit(1)).alias("c")).filter(f"(c + rest) * {100 + PERCENT} >= {PERCENT} * total").select("x", "y", "comp", "c")
+    light = light.groupBy("x", "y", "comp", "total", "rest").agg(F.count(F.lit(1)).alias("c")).filter(f"(c + rest) * {100 + PERCENT} >= {PERCENT} * total")
+    light = likely(light.select(F.col("x").alias("a"), F.col("y").alias("b"), "comp", "c"), sketches).toDF("x", "y", "comp", "c")
 
     heavy = posts.filter("block is not null")
     touching = heavy.select("gram", "block").distinct()
-    blocks = touching.select("gram", F.col("block").alias("b1")).join(touching.select("gram", F.col("block").alias("b2")), "gram").filter("b1 <= b2").select("b1", "b2").distinct()
-    blocks = hold(blocks, "op1-blocks")
+    inside = F.col("b1").contains("/i/") & F.col("b2").contains("/i/") & (F.substring_index("b1", "/", 1) == F.substring_index("b2", "/", 1))
+    blocks = touching.select("gram", F.col("block").alias("b1")).join(touching.select("gram", F.col("block").alias("b2")), "gram").filter(F.col("b1") <= F.col("b2")).select("b1", "b2").distinct()
+    blocks = hold(blocks.filter(~inside), "op1-blocks")
     # a row has at most a quarter of its own grams in its list
-    rows = hold(heavy.groupBy("block", "doc_id", "n", "comp").agg(F.collect_list("gram").alias("grams")), "op1-rows")
-    sides = [blocks.withColumn("block", F.col(b)).join(rows, "block").select("b1", "b2", "doc_id", "n", "comp", "grams", F.lit(b == "b2").alias("second")) for b in ("b1", "b2")]
-    dense = sides[0].union(sides[1]).groupBy("b1", "b2").applyInArrow(_product(best_only), "x long, y long, comp long, c long")
-    pairs = light.union(dense)
-    if best_only:
-        pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("x", "comp").orderBy(F.desc("c"), "y"))).filter("rank = 1")
-    return hold(pairs.select(F.col("y").alias("a"), F.col("x").alias("b")), "op1-pairs")
+    rows = heavy.groupBy("block", "doc_id", "n", "comp").agg(F.collect_list("gram").alias("grams"))
+    rows = hold(rows.join(sketches.select("doc_id", "n", "sketch"), ["doc_id", "n"]), "op1-rows")
+    pairs = [blocks.withColumn("block", F.col(b)).join(rows, "block").select("b1", "b2", "doc_id", "n", "comp", "grams", "sketch", F.lit(b == "b2").alias("second")) for b in ("b1", "b2")]
+    dense = pairs[0].union(pairs[1]).groupBy("b1", "b2").applyInArrow(_product, "x long, y long, comp long, c long")
+    return hold(light.union(dense), "op1-pairs")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -287,10 +376,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     Words are runs of non-white-space, A-Z lower-cased; a set is the distinct 5-word grams, or the whole
     sequence if there are fewer words. Null, empty and blank texts have an empty set and stand alone. A
     doc_id on several rows is one document: it is linked as any of its texts is, and has a row for each. A
-    null doc_id names no component: such rows belong to the documents with the same set, or to null.
+    null doc_id names no component: such rows belong to the documents with the same set, or to null. An empty
+    table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sign = hold(texts.mapInArrow(_signatures, "doc_id long, n int, digest binary, part int"), "op1-signatures")
+    sign = hold(texts.mapInArrow(_signatures, _SIGNATURE), "op1-signatures")
     members = sign.filter("part is null").select("doc_id", "n", "digest")
     levels = docs.sparkSession.sparkContext.broadcast(column_levels(sign.filter("part is not null")))
 
@@ -302,6 +392,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     copies = hold(spread.filter("lo = hi and lo <> doc_id").select("doc_id"), "op1-copies")
     same_id = in_class.join(spread.filter("lo < hi").select("doc_id"), "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     reps = keep_ids(texts.filter("doc_id is not null"), copies, "doc_id", "left_anti")
+    sketches = hold(keep_ids(sign.filter("part is null and n > 0 and doc_id is not null").select("doc_id", "n", "sketch"), copies, "doc_id", "left_anti"), "op1-sketches")
 
     # incidence rows of A, limited to the first columns; columns with one row only link nothing
     posts = reps.mapInArrow(_prefixes(levels), "gram long, salt int, doc_id long, n int")
@@ -315,15 +406,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stars = posts.select("doc_id", "n", "hubs").union(heads).select("doc_id", "n", F.explode(F.array_distinct("hubs")).alias("hub")).filter("doc_id <> hub")
     stars = stars.groupBy("doc_id", "n", "hub").agg(F.count(F.lit(1)).alias("c")).filter("c * 8 >= n / 4")
     near = Window.partitionBy("doc_id").orderBy(F.desc("c"), "hub")
-    best = stars.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= STARS)
-    first = hold(confirmed(reps, hold(best.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")), "op1-stars")), "op1-links1")
-
-    # round 2: all pairs of rows from different components
-    links = first.union(same_id)
-    for best_only in (True, False):
-        found = hold(components(links), "op1-found")
-        pairs = cross_pairs(posts, found, best.filter("rank = 1").select("doc_id", "hub"), best_only)
-        links = hold(links.union(confirmed(reps, pairs)), "op1-links")
+    best = hold(stars.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= STARS).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "rank"), "op1-best")
+    stars = hold(likely(best.select("a", "b").distinct(), sketches).distinct(), "op1-stars")
+    links = confirmed(reps, stars).union(same_id)
+
+    # round 2: all pairs of rows from different components; first the best of each row and component
+    found = hold(components(links), "op1-found")
+    pairs = cross_pairs(posts, sketches, found, best.filter("rank = 1").select(F.col("b").alias("doc_id"), F.col("a").alias("hub")))
+    top = Window.partitionBy("x", "comp").orderBy(F.desc("c"), "y")
+    first = pairs.withColumn("rank", F.row_number().over(top)).filter("rank = 1").select(F.col("y").alias("a"), F.col("x").alias("b"))
+    first = hold(first.join(stars, ["a", "b"], "left_anti").distinct(), "op1-first")
+    links = links.union(confirmed(reps, first))
+    found = hold(components(links), "op1-found")
+    own = lambda side, to: found.select(F.col("id").alias(side), F.col("component").alias(to))
+    rest = pairs.select(F.col("y").alias("a"), F.col("x").alias("b")).distinct().join(first.union(stars), ["a", "b"], "left_anti")
+    rest = rest.join(own("a", "_ca"), "a", "left").join(own("b", "_cb"), "b", "left").filter("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b")
+    links = hold(links.union(confirmed(reps, hold(rest, "op1-rest"))), "op1-links")
     found = components(links)
 
     out = in_class.join(found, F.col("rep") == F.col("id"), "left")
@@ -333,7 +431,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without near copies: of each component the row with the smallest doc_id stays, and rows without one.
 
-    Rows that repeat a doc_id that stays are kept, too.
+    Rows that repeat a doc_id that stays are kept, too; null, empty and blank texts are alone in their components
+    and stay. Other columns are kept as they are, and an empty table stays empty.
     """
     found = jaccard_components(docs)
     gone = hold(found.filter("component_id is not null and component_id <> doc_id").select("doc_id").distinct(), "op1-gone")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -11,17 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows of a one-column id table that may be broadcast: 16 bytes a row keep it under 16 MB.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a one-column table of keys that may be broadcast, 16 being counted for each row besides its text.
+BROADCAST_BYTES = 16 << 20
 
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a local one is named only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where it is unset a local master gets a folder of its own; a
+    cluster is an error, as its executors would not see each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file:///tmp/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -41,15 +45,23 @@ def hold(df: DataFrame, name: str) -> DataFrame:
 def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") -> DataFrame:
     """Semi or anti join of wide rows with a held one-column table.
 
-    The ids are counted first. Up to ``BROADCAST_ROWS`` of them are broadcast, so that the wide rows
+    The bytes of the ids are summed first. Up to ``BROADCAST_BYTES`` of them are broadcast, so that the wide rows
     need no shuffle; more are joined by a sort-merge join, with the same result.
     """
     ids = ids.select(key)
-    if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if ids.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + 16), F.lit(0))).first()[0] <= BROADCAST_BYTES:
         return df.join(F.broadcast(ids), key, how)
     return df.join(ids.hint("merge"), key, how)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it while ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_field(df: DataFrame, name: str, kind: str) -> T.StructType:
     """The schema of ``df`` with a further column."""
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(f"`{name}` {kind}").fields])
@@ -59,15 +71,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-# ---------------------------------------------------------------- words as 64-bit values, vectorised
+# ---------------------------------------------------------------- words as pairs of 64-bit values, vectorised
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_K = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_powers: tuple[np.ndarray, np.ndarray] = (np.ones(1, np.uint64), np.ones(1, np.uint64))
+#: Of eight bytes, the first 0 to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are digested one by one.
+_LONG = 64
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -77,24 +92,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, up to n."""
-    global _powers
-    if len(_powers[0]) <= n:
-        size = max(n + 1, 1 << 20)
-        both = []
-        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
-            steps = np.full(size, b, np.uint64)
-            steps[0] = 1
-            both.append(np.multiply.accumulate(steps))
-        _powers = (both[0], both[1])
-    return _powers
-
-
 class Words:
-    """All words of some texts, A-Z lower-cased: where each starts and ends, whose it is, and its 64-bit value.
+    """All words of some texts, A-Z lower-cased: where each starts and ends, whose it is, and its 128-bit value.
 
-    ``separators`` tells for each byte whether it stands between words.
+    ``separators`` tells for each byte whether it stands between words. A value is two 64-bit numbers, ``head`` and
+    ``tail``: of words up to 16 bytes the bytes themselves, of longer ones those of 16 bytes each put together by
+    scrambles, of words with a NUL or above ``_LONG`` bytes a BLAKE2 digest.
     """
 
     def __init__(self, texts: pa.Array, separators: np.ndarray = _SPACE):
@@ -103,7 +106,6 @@ class Words:
         raw = texts.buffers()[2]
         data = (np.frombuffer(raw, np.uint8) if raw is not None else np.zeros(0, np.uint8))[at[0] : at[-1]]
         at = (at - at[0]).astype(np.int64)
-        self.data = data
         word = ~separators[data]
         before, after = np.empty_like(word), np.empty_like(word)
         before[:1], before[1:] = False, word[:-1]
@@ -115,18 +117,47 @@ class Words:
         self.end = np.flatnonzero(word & ~after) + 1
         #: The words of text i are those from first[i] to first[i + 1].
         self.first = np.searchsorted(self.start, at)
-        power, inverse = _power_tables(len(data) + 1)
-        total = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_LOWER[data].astype(np.uint64) * power[: len(data)] + power[: len(data)], out=total[1:])
-        self._total, self._inverse = total, inverse
-        self.value = self.part(self.start, self.end)
-
-    def part(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64-bit values of the bytes from start to end, alike wherever they stand."""
-        return mixed((self._total[end] - self._total[start]) * self._inverse[start] + (end - start).astype(np.uint64) * _M2)
-
-
-def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+        low = np.zeros(len(data) + 8, np.uint8)
+        low[: len(data)] = _LOWER[data]
+        windows = np.lib.stride_tricks.sliding_window_view(low, 8)
+        size = self.end - self.start
+
+        def eight(which: np.ndarray | slice, skip: int) -> np.ndarray:
+            """Eight bytes of these words from a place on; zeros beyond a word's end."""
+            x = windows[self.start[which] + skip].view(np.uint64).ravel()
+            return x & _FIRST[np.minimum(size[which] - skip, 8)]
+
+        self._initial = eight(slice(None), 0)
+        head, tail = self._initial.copy(), np.zeros(len(size), np.uint64)
+        digested = size > _LONG
+        nul = np.flatnonzero(data == 0) if not separators[0] else ()
+        if len(nul):
+            digested[np.searchsorted(self.start, nul, "right") - 1] = True
+        more = np.flatnonzero((size > 8) & ~digested)
+        tail[more] = eight(more, 8)
+        for skip in range(16, _LONG, 16):
+            more = more[size[more] > skip]
+            if not len(more):
+                break
+            a, b = head[more], tail[more]
+            head[more] = mixed(a + mixed(b + _K)) + eight(more, skip)
+            tail[more] = mixed(b + mixed(a + _M1))
+            both = more[size[more] > skip + 8]
+            tail[both] += eight(both, skip + 8)
+        for i in np.flatnonzero(digested):
+            head[i], tail[i] = np.frombuffer(hashlib.blake2b(low[self.start[i] : self.end[i]].tobytes(), digest_size=16).digest(), np.uint64)
+        self.head, self.tail = head, tail
+
+    def values(self, lane: int = 0) -> np.ndarray:
+        """One of two independent 64-bit hashes of the words."""
+        return mixed(self.head + mixed(self.tail + _K)) if lane == 0 else mixed(self.tail + mixed(self.head + _M1))
+
+    def beginnings(self, which: np.ndarray, size: int) -> np.ndarray:
+        """What ``values`` has for words that are the first ``size`` bytes, up to 8, of these longer words."""
+        return mixed((self._initial[which] & _FIRST[size]) + mixed(np.array([_K])))
+
+
+def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Slices of a batch whose texts have about ``limit`` bytes together; a longer text is a slice by itself."""
     texts = batch.column(column)
     if not len(texts):

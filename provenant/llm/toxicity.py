@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.shared import Words, hold, pieces, with_field
+from provenant.llm.shared import Words, free_name, hold, pieces, with_field
 
 #: Bounds of the sample that the classifiers are fitted on, in texts.
 POSITIVE, UNLABELLED = 8_000, 12_000
@@ -63,11 +63,11 @@ def feature_values(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(text, value) of all features, with repeats."""
     w = Words(texts, separators=_SEPARATORS)
     owner = np.repeat(np.arange(len(texts)), np.diff(w.first))
-    docs, values = [owner], [w.value]
+    docs, values = [owner], [w.values()]
     for k in (3, 4, 5, 6):
-        longer = w.end - w.start > k
+        longer = np.flatnonzero(w.end - w.start > k)
         docs.append(owner[longer])
-        values.append(w.part(w.start[longer], w.start[longer] + k))
+        values.append(w.beginnings(longer, k))
     return np.concatenate(docs), np.concatenate(values)
 
 
@@ -89,7 +89,7 @@ def lookup(texts: pa.Array, features: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(feature, positive texts, unlabelled texts), added up over each piece of the sample."""
     for batch in batches:
-        for part in pieces(batch, "text", 1 << 22):
+        for part in pieces(batch, "text"):
             doc, value = feature_values(part.column("text"))
             values, inverse = np.unique(value, return_inverse=True)
             pairs = np.unique(doc * len(values) + inverse) if len(values) else np.zeros(0, np.int64)
@@ -167,8 +167,10 @@ def fit(docs: DataFrame, labels: DataFrame, classifiers: int = 3) -> Model:
     """Classifiers from the toxic rows of ``labels`` (doc_id, toxic) and unlabelled rows of ``docs``.
 
     Rows of ``held_out`` are left aside. At most ``POSITIVE`` confirmed toxic texts and ``UNLABELLED`` texts of
-    any kind, those with the smallest hashes, are learned from. The prior is the share of toxic rows among the
-    labelled ones. Without a confirmed toxic text nothing can be learned: every score is the prior.
+    any kind, those with the smallest hashes, are learned from; of rows that share a doc_id the one with the least
+    text. The prior is the share of toxic rows among the labelled ones; an id is toxic if any of its labels says so.
+    Null ids and labels teach nothing. Without a confirmed toxic text nothing can be learned: every score is the
+    prior.
     """
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").filter("doc_id is not null and toxic is not null").filter(~held_out())
     labels = labels.groupBy("doc_id").agg(F.max(F.expr("cast(toxic as int)")).alias("toxic"))
@@ -181,8 +183,9 @@ def fit(docs: DataFrame, labels: DataFrame, classifiers: int = 3) -> Model:
     prior = share if share and share < 0.9 else PRIOR
 
     # at most POSITIVE + UNLABELLED ids: safe to broadcast
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    sample = hold(sample, "op4-sample")
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    # one text for each id, so that the sample is bounded whatever repeats
+    sample = hold(sample.groupBy("doc_id").agg(F.min("text").alias("text")).join(F.broadcast(chosen), "doc_id"), "op4-sample")
     n_pos, n_unl = (sample.filter(c).count() for c in ("positive", "not positive"))
     flat = Model(np.zeros(0, np.uint64), np.zeros((1, 0)), np.array([np.log(prior / (1 - prior))]))
     if not n_pos or not n_unl:
@@ -209,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, classifiers: int = 3) -> Model:
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score") -> DataFrame:
-    """``docs`` with a score from 0 to 1 for each row's whole text; null texts score as empty ones.
+    """``docs`` with a score from 0 to 1 for each row's whole text; null and empty texts score as texts without features.
 
     A column that has the new one's name is replaced.
     """
@@ -223,12 +226,31 @@ def score(docs: DataFrame, model: Model, text: str = "text", to: str = "score")
     return docs.mapInArrow(run, with_field(docs, to, "double"))
 
 
+def scores(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score) for each row of ``docs`` (doc_id, text); texts stay where they are scored."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(shared.value.scores(batch), pa.float64())], ["doc_id", "score"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``."""
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    """(doc_id, held_out, score, predicted) for each row of ``docs``, repeated rows included.
+
+    Null and empty texts have no features and get the score of such a text. A null doc_id is never held out.
+    An empty table gives no rows; without labels every score is the prior and nothing is predicted.
+    """
+    return scores(docs, fit(docs, labels)).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that are predicted to be toxic."""
-    return score(docs, fit(docs, labels), to="_toxicity").filter(F.col("_toxicity") < THRESHOLD).drop("_toxicity")
+    """``docs`` without the rows that are predicted to be toxic.
+
+    Other columns are kept as they are, whatever their names. Null and empty texts, and rows without a doc_id, stay
+    unless a text without features scores as toxic; equal texts share their fate; an empty table stays empty.
+    """
+    own = free_name(docs, "_toxicity")
+    return score(docs, fit(docs, labels), to=own).filter(F.col(own) < THRESHOLD).drop(own)

@@ -99,6 +99,40 @@ def test_components_are_those_of_all_pairs(docs, empty):
     assert {r.doc_id for r in kept.collect()} == {None, *(top(d) for d, _ in some)}
 
 
+def test_words_are_told_apart_by_all_their_bytes(spark):
+    one, other = "a", "b"
+    for _ in range(10):  # Thue and Morse's word and its complement, of 1,024 letters
+        one, other = one + other, other + one
+    r = random.Random(9)
+    pairs = [(one, other), ("a" * 16 + "b", "a" * 16 + "c"), ("nul\x00", "nul"), ("a\x00" * 9, "a" * 18), ("x" * 70, "x" * 71)]
+    pairs += [(w, w[:k] + chr(ord(w[k]) ^ 1) + w[k + 1 :]) for n in range(1, 70) for w in ["".join(r.choice("bdfhjl") for _ in range(n))] for k in (0, n - 1)]
+    texts = [w for p in pairs for w in p]
+    t = spark.createDataFrame([(i, w) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = ngram_join.jaccard_components(t).collect()
+    first = {}
+    for i, w in enumerate(texts):
+        first.setdefault(w, i)
+    assert {r.doc_id: r.component_id for r in got} == {i: first[w] for i, w in enumerate(texts)}
+    assert all(r.n_shingles == 1 for r in got)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_sketches_drop_no_similar_pair(seed):
+    import pyarrow as pa
+
+    r = np.random.default_rng(seed)
+    for _ in range(60):
+        n = int(r.integers(1, 3000))
+        a = np.unique(r.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.append(a[r.random(len(a)) < r.random() * 0.3 + 0.7], r.integers(0, 2**64, int(n * r.random() * 0.3), dtype=np.uint64)))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        sides = [ngram_join.Sketches(pa.array([ngram_join.sketch(x)])) for x in (a, b)]
+        may = sides[0].may_agree(np.array([0]), sides[1], np.array([0]), np.array([len(a) + len(b)]))[0]
+        assert may or 100 * both < 75 * (len(a) + len(b) - both)
+
+
 def test_dense_blocks_find_the_same(spark, monkeypatch):
     r = random.Random(2)
     base = [f"w{i}" for i in range(60)]
