@@ -95,12 +95,13 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Words:
     """All words of some texts, A-Z lower-cased: where each starts and ends, whose it is, and its 128-bit value.
 
-    ``separators`` tells for each byte whether it stands between words. A value is two 64-bit numbers, ``head`` and
+    ``separators`` tells for each byte whether it stands between words; a word also ends between a byte of the first
+    and one of the second of two ``borders``. A value is two 64-bit numbers, ``head`` and
     ``tail``: of words up to 16 bytes the bytes themselves, of longer ones those of 16 bytes each put together by
     scrambles, of words with a NUL or above ``_LONG`` bytes a BLAKE2 digest.
     """
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray = _SPACE):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = _SPACE, borders: tuple[np.ndarray, np.ndarray] | None = None):
         texts = texts.cast(pa.binary()).fill_null(b"")
         at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
@@ -113,6 +114,9 @@ class Words:
         full = at[1:] > at[:-1]
         before[at[:-1][full]] = False
         after[at[1:][full] - 1] = False
+        if borders:
+            cut = np.flatnonzero(borders[0][data[:-1]] & borders[1][data[1:]])
+            after[cut] = before[cut + 1] = False
         self.start = np.flatnonzero(word & ~before)
         self.end = np.flatnonzero(word & ~after) + 1
         #: The words of text i are those from first[i] to first[i + 1].
@@ -127,6 +131,8 @@ class Words:
             x = windows[self.start[which] + skip].view(np.uint64).ravel()
             return x & _FIRST[np.minimum(size[which] - skip, 8)]
 
+        #: The bytes, lower-cased, and eight zeros.
+        self.low = low
         self._initial = eight(slice(None), 0)
         head, tail = self._initial.copy(), np.zeros(len(size), np.uint64)
         digested = size > _LONG

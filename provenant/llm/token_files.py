@@ -21,9 +21,7 @@ from __future__ import annotations
 import os
 import re
 import struct
-import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,22 +34,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provenant.llm.shared import hold, pieces
+from provenant.llm.shared import Words, hold, pieces
 
 MAGIC = b"PFB1"
 BLOCK = 4096
 PERCENTILE = 98
 #: Ids after which a segment ends; only a longer document makes a longer one.
 SEGMENT = 1 << 20
-#: Words that a worker's cache may hold before it starts anew.
-CACHE = 1_000_000
+#: Bytes of segments that a task reads, about.
+TASK = 16 << 20
+#: Words that a worker's table may hold (some 40 bytes each) before it starts anew.
+CACHE = 2_000_000
 #: Words that go to the library at a time: its results are large until they are read.
 _AT_ONCE = 2_000
-#: Marks that no token has together with a letter or digit before them.
-_MARKS = ".,;:!?"
-#: White space to Python and not to the tokenizer.
-_NO_BLANK = re.compile("[\x1c-\x1f]")
-_BLANK = re.compile("[ \t\n\r\x0b\x0c]+")
+#: The characters that stand for the bytes that are no printing Latin-1 characters, in a byte-level vocabulary.
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
 # ---------------------------------------------------------------- blocks
@@ -112,61 +109,128 @@ def unpack_segment(raw: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
 # ---------------------------------------------------------------- encoding
 
 
-def _split(text: str) -> list[str]:
-    return _BLANK.split(text) if _NO_BLANK.search(text) else text.split()
+#: Letters of which words are given to the library's merges alone.
+_PLAIN = "".join(c for c in map(chr, [*range(97, 123), *range(0xC0, 0x17F)]) if c.isalpha() and len(c.lower()) == 1)
+#: Marks that end a run of letters or digits. An apostrophe may belong to what follows it.
+_MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: A word of plain letters, and marks behind it.
+_STEM = re.compile(f"([{_PLAIN}]+)([{re.escape(_MARKS)}]*)")
+
+
+def _table(characters: str) -> np.ndarray:
+    found = np.zeros(256, bool)
+    found[list(characters.encode())] = True
+    return found
+
+
+_ALNUM = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+_BORDERS = (_table(_ALNUM), _table(_MARKS))
+_LETTER = _table(_ALNUM[:26])
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that lets no token cross white space: words are encoded once and remembered."""
+    """Ids of texts by a tokenizer that lets no token cross white space and lower-cases; words are encoded once and remembered.
+
+    Words of a piece are found side by side (``shared.Words``), each distinct one is looked up in a sorted table by its
+    128 bits, and the ids of the piece are gathered from the table. Where the tokenizer is seen to keep letters and
+    marks apart, words also end before a mark, and one of plain letters goes to the library's merge model directly,
+    its bytes written as the model's characters. Everything else goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        probe = ["Ab c's 12", "a\x85b\xa0c\u2009d\u3000e\x1cf", "\tx\x0by\x0cz \r\n é ", "a, b.. 7! c*. İx."]
+        probe = ["Ab c's 12", "a\x85b\xa0c\u2009d\u3000e\x1cf", "\tx\x0by\x0cz \r\n é ", "a, b.. 7! c*. İx.", "AB CD'S É"]
         for t in probe:
-            if self._ids([t])[0] != b"".join(self._ids([w for w in _split(t) if w])):
-                raise ValueError("this tokenizer has tokens across white space")
-        self.known: dict[str, bytes] = {"": b""}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-
-    def _ids(self, words: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _letters(self, words: list[str]) -> list[bytes]:
-        """Ids of words of letters only, encoded as one text: each is one run of tokens, the last of which ends a word."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends_word[ids]) + 1
-        if len(ends) != len(words):  # a letter came apart when it was lower-cased
+            words = [w for w in re.split("[ \t-\r]+", t) if w]
+            if not self._ids([t])[0] == [i for x in self._ids(words) for i in x] == self._ids([re.sub("[A-Z]", lambda m: m[0].lower(), t)])[0]:
+                raise ValueError("this tokenizer has tokens across white space, or tells capitals from small letters")
+        pairs = [(a, b) for a in _ALNUM for b in _MARKS]
+        alone = dict(zip(_ALNUM + _MARKS, self._ids([*_ALNUM, *_MARKS]), strict=True))
+        self.direct = self._ids([a + b for a, b in pairs]) == [alone[a] + alone[b] for a, b in pairs]
+        stems = [*_PLAIN, _PLAIN]
+        merged = [self._merged(w) for w in stems]
+        self.direct &= self._ids(stems) == merged and self._ids([f"{w}.{w}" for w in stems]) == [m + alone["."] + m for m in merged]
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Sorted values (lane 0) of the words, their other values, and where each one's ids begin and end.
+        self.keys, self.other = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids = np.zeros(0, np.uint32)
+        self.stems: dict[str, list[int]] = {}
+
+    def _ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _merged(self, word: str) -> list[int]:
+        """Ids of a word of plain letters."""
+        if not word.isascii():
+            word = word.lower().encode().decode("latin-1").translate(_BYTES)
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
+    def _encoded(self, words: list[str]) -> list[list[int]]:
+        """Ids of words that have no ASCII capitals."""
+        if not self.direct:
             return self._ids(words)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        lists = [_split(t or "") for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-            known[""] = b""
-        new = set(chain.from_iterable(lists)).difference(known)
-        # closing marks after a letter or digit are words of their own; some letters end in another mark after NFC
-        ends = {w: w.rstrip(_MARKS) for w in new if w[-1] in _MARKS}
-        ends = {w: stem for w, stem in ends.items() if stem and unicodedata.normalize("NFC", stem).lower()[-1].isalnum()}
-        parts = new.difference(ends)
-        for w, stem in ends.items():
-            parts.add(stem)
-            parts.add(w[len(stem) :])
-        parts.difference_update(known)
-        plain = [w for w in parts if w.isalpha()]
-        rest = [w for w in parts if not w.isalpha()]
-        for some, encode in [(plain[i : i + _AT_ONCE], self._letters) for i in range(0, len(plain), _AT_ONCE)] + [(rest[i : i + _AT_ONCE], self._ids) for i in range(0, len(rest), _AT_ONCE)]:
-            known.update(zip(some, encode(some), strict=True))
-        for w, stem in ends.items():
-            known[w] = known[stem] + known[w[len(stem) :]]
-        return [b"".join(map(known.__getitem__, ws)) for ws in lists]
+        out, rest, merged, stem_of = [], [], self._merged, _STEM.fullmatch
+        for w in words:
+            if w.isascii() and w.isalpha():
+                out.append(merged(w))
+            elif m := stem_of(w):
+                stem, marks = m.groups()
+                ids = merged(stem)
+                if marks:
+                    if marks not in self.stems:
+                        self.stems[marks] = self._ids([marks])[0]
+                    ids = ids + self.stems[marks]
+                out.append(ids)
+            else:
+                rest.append((len(out), w))
+                out.append([])
+        for i in range(0, len(rest), _AT_ONCE):
+            some = rest[i : i + _AT_ONCE]
+            for (at, _), ids in zip(some, self._ids([w for _, w in some]), strict=True):
+                out[at] = ids
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, how many each has); null counts as empty."""
+        w = Words(texts, borders=_BORDERS if self.direct else None)
+        value, other = w.values(), w.values(1)
+        distinct, sample, which = np.unique(value, return_index=True, return_inverse=True)
+        if (other[sample][which] != other).any():  # two words that agree in half their bits
+            each = self._ids([t or "" for t in texts.to_pylist()])
+            return np.array([i for x in each for i in x], np.uint32), np.array([len(x) for x in each], np.int64)
+        at = np.searchsorted(self.keys, distinct)
+        near = np.minimum(at, max(len(self.keys) - 1, 0))
+        known = self.keys[near] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        if len(self.keys) > CACHE or (known & (self.other[near] != other[sample])).any() if len(self.keys) else False:
+            self._forget()
+            return self.encode(texts)
+        new = np.flatnonzero(~known)
+        if len(new):
+            low, start, end = w.low, w.start[sample[new]].tolist(), w.end[sample[new]].tolist()
+            raw = low.tobytes()
+            lists = self._encoded([raw[a:b].decode() for a, b in zip(start, end, strict=True)])
+            size = np.fromiter(map(len, lists), np.int32, len(lists))
+            more = np.fromiter(chain.from_iterable(lists), np.uint32, int(size.sum()))
+            begin = len(self.ids) + np.cumsum(size, dtype=np.int64) - size
+            self.ids = np.concatenate([self.ids, more])
+            places = at[new]
+            self.keys = np.insert(self.keys, places, distinct[new])
+            self.other = np.insert(self.other, places, other[sample[new]])
+            self.begin = np.insert(self.begin, places, begin)
+            self.size = np.insert(self.size, places, size)
+            at = np.searchsorted(self.keys, distinct)
+        size = self.size[at][which].astype(np.int64)
+        ends = np.cumsum(size)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.ids[np.repeat(self.begin[at][which] - (ends - size), size) + np.arange(total)]
+        counts = np.append(0, ends)[w.first]
+        return ids, np.diff(counts)
 
 
 @lru_cache(maxsize=2)
@@ -198,7 +262,7 @@ def write(docs: DataFrame, uri: str, path: str, end_id: int) -> DataFrame:
         fs.create_dir(folder, recursive=True)
         final = f"{folder}/part-{number:06d}.pfb"
         draft = f"{final}.{TaskContext.get().taskAttemptId()}"
-        e, last = encoder(path), np.array([end_id], "<u4").tobytes()
+        e, last = encoder(path), np.array([end_id], np.uint32)
         directory: list[tuple[int, int, int, int]] = []
         at, before = len(MAGIC), 0
         doc_ids, sizes, parts, total = [], [], [], 0
@@ -208,18 +272,20 @@ def write(docs: DataFrame, uri: str, path: str, end_id: int) -> DataFrame:
             def flush():
                 nonlocal at, before, total
                 if doc_ids:
-                    raw = pack_segment(doc_ids, sizes, np.frombuffer(b"".join(parts), "<u4"))
+                    raw = pack_segment(doc_ids, sizes, np.concatenate(parts).astype("<u4", copy=False))
                     out.write(raw)
                     directory.append((at, len(raw), before, total))
                     at, before, total = at + len(raw), before + total, 0
                     doc_ids.clear(), sizes.clear(), parts.clear()
 
             for batch in batches:
-                for piece in pieces(batch, "text", 1 << 18):
-                    for doc_id, raw in zip(piece.column("doc_id").to_pylist(), e.encode(piece.column("text").to_pylist()), strict=True):
+                for piece in pieces(batch, "text", 1 << 21):
+                    ids, counts = e.encode(piece.column("text"))
+                    cuts = np.split(ids, np.cumsum(counts)[:-1])
+                    for doc_id, some in zip(piece.column("doc_id").to_pylist(), cuts, strict=True):
                         doc_ids.append(doc_id)
-                        parts.append(raw + last)
-                        sizes.append(len(raw) // 4 + 1)
+                        parts += some, last
+                        sizes.append(len(some) + 1)
                         total += sizes[-1]
                         if total >= SEGMENT:
                             flush()
@@ -262,10 +328,12 @@ def directory(spark: SparkSession, uri: str) -> DataFrame:
 
 
 def read(segments: DataFrame, digest: bool = False) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every document in the segments; ``digest``: ids_crc32 in place of the ids.
+    """(doc_id, start, n_tokens, ids) of every document in the held segments; ``digest``: ids_crc32 in place of the ids.
 
-    ``start`` counts the ids of all documents before it, over all files. Each segment is read alone.
+    ``start`` counts the ids of all documents before it, over all files. Each segment is read alone, in tasks of
+    about ``TASK`` bytes of segments. No segments give no rows.
     """
+    tasks = max(1, -(-(segments.agg(F.sum("bytes")).first()[0] or 0) // TASK))
     files = segments.groupBy("number").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("number").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     files = files.select("number", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
@@ -287,4 +355,5 @@ def read(segments: DataFrame, digest: bool = False) -> DataFrame:
                     what = pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(ids.view(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(starts + row["first"]), pa.array(sizes.astype(np.int64)), what], ["doc_id", "start", "n_tokens", last.split()[0]])
 
-    return rows.repartition(F.col("file"), F.col("start")).mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")
+    # as many tasks as the files ask for, not as the few rows do
+    return rows.repartition(tasks, "file", "start").mapInArrow(run, f"doc_id long, start long, n_tokens long, {last}")

@@ -10,6 +10,7 @@ from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -384,7 +385,46 @@ def test_marks_after_letters_that_come_apart():
     letters = [c for c in map(chr, range(0x110000)) if c.isalnum() and unicodedata.normalize("NFC", c) != c]
     assert "\u095d" in letters and "\ufb1d" in letters
     texts = [f"{stem}{c}{mark}" for c in letters for mark in ".,;:!?" for stem in ("", "\u092a", "a")]
-    assert own.encode(texts) == [array("I", e.ids).tobytes() for e in lib.encode_batch(texts, add_special_tokens=False)]
+    assert own.direct
+    r = random.Random(12)
+    marks = [chr(c) for c in range(33, 127) if not chr(c).isalnum()]
+    for _ in range(4000):  # letters of many scripts, digits and marks in any order
+        parts = [r.choice(["ab", "É", "ŉ", "İ", "ſ", "ß", "don't", "we'LL", "7", "½", "中", "Ж", "ﬁ", "e\u0301", "ǆ", "_", "\x00", *marks, chr(r.randrange(0xC0, 0x250))]) for _ in range(r.randint(1, 6))]
+        texts.append("".join(parts))
+    same_ids(lib, own, texts)
+    own.direct = False
+    own._forget()
+    same_ids(lib, own, texts)
+
+
+def same_ids(lib, own, texts):
+    ids, counts = own.encode(pa.array(texts, pa.string()))
+    want = [e.ids for e in lib.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert counts.tolist() == [len(x) for x in want]
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == want
+
+
+def test_words_that_agree_in_half_their_bits_are_encoded_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    texts = ["one two", None, "three, one", ""]
+    same_ids(lib, own, texts)
+    values = token_files.Words.values
+    monkeypatch.setattr(token_files.Words, "values", lambda w, lane=0: values(w, lane) >> np.uint64(63 - lane * 63))
+    own._forget()
+    for some in (["one two three four five"], ["six"], ["seven"], ["eight"]):
+        same_ids(lib, own, some)
+
+
+def test_words_of_the_documents_have_the_librarys_ids():
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(WORDS), token_files.WordEncoder(WORDS)
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column("text").to_pylist()
+    for i in range(0, len(texts), 100):
+        same_ids(lib, own, texts[i : i + 100])
 
 
 @pytest.mark.parametrize("seed", range(20))
