@@ -17,9 +17,9 @@ A word is its bytes, or a 128-bit digest if it is long, and a gram 128 bits made
 
 A group of thousands of near copies would still be millions of pairs, of which a component needs few. So the
 product is done in two rounds: first each row only with some hubs of each of its columns, which gives
-preliminary components; then all pairs of rows *from different components*: of each row's pairs with one
-component the most promising is checked first, and then all pairs that are still apart. No pair is skipped
-unless its rows have been linked otherwise, so no link between components can be lost.
+preliminary components; then all pairs of rows *from different components*: of each row's pairs the most
+promising are checked first, and then all pairs that are still apart. No pair is skipped unless its rows have
+been linked otherwise, so no link between components can be lost.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ COUNTER_BITS = 18
 _SLICES = 64
 #: Hubs that a row is compared with in round 1. More of them leave fewer pairs to round 2, none changes the result.
 STARS = 6
+#: Pairs of a row that are checked before all others that may be similar; this changes no result either.
+TOP = 4
 #: Rows that make a cluster worth dense products, and rows of a block of it.
 HEAVY, BLOCK = 32, 512
 
@@ -410,17 +412,17 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     stars = hold(likely(best.select("a", "b").distinct(), sketches).distinct(), "op1-stars")
     links = confirmed(reps, stars).union(same_id)
 
-    # round 2: all pairs of rows from different components; first the best of each row and component
+    # round 2: all pairs of rows from different components; first each row's best, which leaves few components apart
     found = hold(components(links), "op1-found")
     pairs = cross_pairs(posts, sketches, found, best.filter("rank = 1").select(F.col("b").alias("doc_id"), F.col("a").alias("hub")))
-    top = Window.partitionBy("x", "comp").orderBy(F.desc("c"), "y")
-    first = pairs.withColumn("rank", F.row_number().over(top)).filter("rank = 1").select(F.col("y").alias("a"), F.col("x").alias("b"))
+    of = lambda side, other: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("c"), other))
+    first = pairs.withColumns({"_x": of("x", "y"), "_y": of("y", "x")}).filter((F.col("_x") <= TOP) | (F.col("_y") <= TOP)).select(F.col("y").alias("a"), F.col("x").alias("b"))
     first = hold(first.join(stars, ["a", "b"], "left_anti").distinct(), "op1-first")
     links = links.union(confirmed(reps, first))
     found = hold(components(links), "op1-found")
     own = lambda side, to: found.select(F.col("id").alias(side), F.col("component").alias(to))
-    rest = pairs.select(F.col("y").alias("a"), F.col("x").alias("b")).distinct().join(first.union(stars), ["a", "b"], "left_anti")
-    rest = rest.join(own("a", "_ca"), "a", "left").join(own("b", "_cb"), "b", "left").filter("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b")
+    rest = pairs.select(F.col("y").alias("a"), F.col("x").alias("b")).join(own("a", "_ca"), "a", "left").join(own("b", "_cb"), "b", "left")
+    rest = rest.filter("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b").distinct().join(first.union(stars), ["a", "b"], "left_anti")
     links = hold(links.union(confirmed(reps, hold(rest, "op1-rest"))), "op1-links")
     found = components(links)
 
