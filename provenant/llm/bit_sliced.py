@@ -7,11 +7,15 @@ by full adders on bitmaps, carries go on to the next weight, and what comes out
 From the most significant of these downward the top rows are selected; rows that tie at the boundary are resolved
 by vec_id. A block's best rows for each query are few; the best of all blocks are ranked by a window.
 
+Integers that 64 bits can't hold are Python's own, as are their sums; a score beyond a long is ranked by its exact
+value and shown as the largest or smallest long.
+
 Queries are not broadcast: groups of queries meet groups of blocks by key, one pair of groups in a task at a time.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,40 +28,47 @@ from pyspark.sql.window import Window
 from provenant.llm.shared import hold
 
 SCALE = 256
-ROWS = 4096  # vectors in a block
-CELL = 64  # blocks in a group, at most
+ROWS, COMPONENTS = 4096, 1 << 20  # vectors in a block, and components, at most
+CELL_BYTES = 32 << 20  # of blocks in a group, about
 QUERIES = 4096  # queries in a group, at most
-#: Quantised components beyond this could overflow a 64-bit score.
-BOUND = 1 << 27
+#: Quantised components below this are 64-bit integers.
+_SMALL = 1 << 61
+_LONGEST = (1 << 63) - 1
+#: More than the bits of any score of doubles.
+_WIDE = 4096
 
 _INDEX = "block long, width int, n int, ids binary, low binary, bits int, slices binary"
 
 
 def _quantised(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-    """(row, integers) of those vectors that take part."""
+    """(row, integers) of those vectors that take part; integers are Python's own where one is large."""
     for i, v in enumerate(vectors):
         if v.is_valid and v.values.null_count == 0 and len(v.values):
-            x = np.floor(SCALE * v.values.to_numpy(zero_copy_only=False).astype(np.float64))
-            if np.isfinite(x).all() and (np.abs(x) < BOUND).all():
-                yield i, x.astype(np.int64)
+            x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+            if not np.isfinite(x).all():
+                continue
+            if (np.abs(x) < _SMALL // SCALE).all():
+                yield i, np.floor(SCALE * x).astype(np.int64)
+            else:  # a large double is a whole number
+                yield i, np.array([int(c) * SCALE if abs(c) >= 1 << 53 else math.floor(SCALE * c) for c in x.tolist()], object)
 
 
 def _block(number: int, ids: list[int], rows: list[np.ndarray]) -> list:
-    m = np.array(rows)
+    m = np.array(rows, object if any(r.dtype == object for r in rows) else np.int64)
     low = m.min(axis=0)
     u = (m - low).T  # attribute by row
     bits = max(1, int(u.max()).bit_length())
-    padded = np.zeros((u.shape[0], -(-len(ids) // 64) * 64), np.int64)
+    padded = np.zeros((u.shape[0], -(-len(ids) // 64) * 64), m.dtype)
     padded[:, : len(ids)] = u
-    planes = np.packbits(((padded[:, None, :] >> np.arange(bits)[None, :, None]) & 1).astype(np.uint8), axis=2, bitorder="little")
-    return [number, m.shape[1], len(ids), np.array(ids, np.int64).tobytes(), low.tobytes(), bits, planes.tobytes()]
+    planes = np.stack([np.packbits(((padded >> b) & 1).astype(np.uint8), axis=1, bitorder="little") for b in range(bits)], axis=1)
+    return [number, m.shape[1], len(ids), np.array(ids, np.int64).tobytes(), ",".join(map(str, low.tolist())).encode(), bits, planes.tobytes()]
 
 
 def build_index(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """The index of all vectors, held: a row for each block of up to ``ROWS`` vectors of one length.
 
-    Vectors that are null or empty, or hold null, non-finite or too large components, take no part; nor do rows
-    without an id.
+    Vectors that are null or empty, or hold null or non-finite components, take no part; nor do rows without an id.
+    Rows that repeat are each a row of the index; other columns are ignored; an empty table is an empty index.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +91,7 @@ def build_index(vectors: DataFrame, id_column: str = "vec_id", vector_column: st
                 block = open_blocks.setdefault(len(x), ([], []))
                 block[0].append(ids[i])
                 block[1].append(x)
-                if len(block[0]) == ROWS:
+                if len(block[0]) == max(64, min(ROWS, COMPONENTS // len(x))):
                     yield done(len(x))
         for width in list(open_blocks):
             yield done(width)
@@ -137,14 +148,21 @@ def _positions(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def search_block(query_id: int, q: np.ndarray, ids: np.ndarray, low: np.ndarray, planes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def _dot(a: np.ndarray, b: np.ndarray) -> int:
+    """Exactly."""
+    if a.dtype != object and b.dtype != object and int(np.abs(a).max()) * int(np.abs(b).max()) * len(a) < _SMALL:
+        return int(a @ b)
+    return sum(x * y for x, y in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def search_block(query_id: int, q: np.ndarray, ids: np.ndarray, low: np.ndarray, planes: np.ndarray, k: int) -> tuple[np.ndarray, list[int]]:
     """(vec_ids, scores) of the best k rows of a block, the query's own left out; ties go to smaller ids."""
     width, bits, words = planes.shape
     negative = q < 0
     # -|q| u = |q| (M - u) - |q| M: slices of negative components are complemented, so that all terms add up
     used = np.where(negative[:, None, None], ~planes, planes) if negative.any() else planes
     size = np.abs(q)
-    constant = int(q @ low) - int(size[negative].sum()) * ((1 << bits) - 1)
+    constant = _dot(q, low) - sum(size[negative.astype(bool)].tolist()) * ((1 << bits) - 1)
     by_weight: dict[int, list[np.ndarray]] = {}
     for a in range(int(size.max()).bit_length()):
         rows = used[((size >> a) & 1).astype(bool)]
@@ -161,49 +179,58 @@ def search_block(query_id: int, q: np.ndarray, ids: np.ndarray, low: np.ndarray,
         ties = _positions(edge)
         rows = np.append(rows, ties[np.argsort(ids[ties], kind="stable")[:more]])
     word, bit = rows >> 6, (rows & 63).astype(np.uint64)
-    scores = np.full(len(rows), constant, np.int64)
-    for w, s in enumerate(slices):
-        if len(s):
-            scores += ((s[word] >> bit) & np.uint64(1)).astype(np.int64) << w
-    return ids[rows], scores
+    digits = [((s[word] >> bit) & np.uint64(1)).tolist() if len(s) else [0] * len(rows) for s in slices]
+    return ids[rows], [constant + sum(d[i] << w for w, d in enumerate(digits)) for i in range(len(rows))]
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best vectors of ``index`` for each row of ``queries``, fewer if there are fewer.
 
     Vectors are compared with vectors of their own length. Rows of the index with the query's id are its own and
-    left out. Of queries that share an id the one with the least vector counts.
+    left out. Of queries that share an id the one with the least vector counts. Null and non-finite queries, and
+    those without an id, have no rows; no queries or an empty index give none.
     """
-    queries = queries.select(F.col(id_column).cast("long").alias("query_id"), vector_column).filter("query_id is not null")
-    queries = hold(queries.groupBy("query_id").agg(F.min(vector_column).alias("vector")), "op3-queries")
-    n_blocks, n_groups = index.count(), max(1, -(-queries.count() // QUERIES))
-    cells = max(1, min(n_blocks, CELL), -(-n_blocks // CELL))
-    numbers = index.select("block").withColumn("cell", ((F.row_number().over(Window.orderBy("block")) - 1) % cells).cast("int"))
-    left = index.join(numbers, "block").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(n_groups - 1))))
-    right = queries.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1))))
+    queries = queries.select(F.col(id_column).cast("long").alias("query_id"), F.col(vector_column).alias("vector")).filter("query_id is not null")
+    queries = hold(queries.groupBy("query_id").agg(F.min("vector").alias("vector")), "op3-queries")
+    n_blocks, size = index.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("slices")), F.lit(0))).first()
+    groups = max(1, -(-queries.count() // QUERIES))
+    cells = max(1, min(n_blocks, 64), -(-size // CELL_BYTES))
+    left = index.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells))).withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = queries.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int")).withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))))
+    # each pair of groups is much work on few bytes: as many tasks as pairs, whatever their bytes
+    tasks = min(cells * groups, 20_000)
 
     def run(blocks: pa.Table, asked: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
-        vectors = asked.column("vector").combine_chunks()
+        out: list[list] = [[], [], [], []]
         names = asked.column("query_id").to_pylist()
-        wanted = [(names[i], q) for i, q in _quantised(vectors)]
+        wanted = [(names[i], q) for i, q in _quantised(asked.column("vector").combine_chunks())]
         for b in blocks.to_batches(max_chunksize=1):
             row = b.to_pylist()[0]
             planes = np.frombuffer(row["slices"], np.uint64).reshape(row["width"], row["bits"], -1)
-            ids, low = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["low"], np.int64)
+            low = list(map(int, row["low"].split(b",")))
+            ids, low = np.frombuffer(row["ids"], np.int64), np.array(low, np.int64 if max(map(abs, low)) < 2 * _SMALL else object)
             for name, q in wanted:
                 if len(q) == row["width"]:
                     found, scores = search_block(name, q, ids, low, planes, k)
-                    for column, x in zip(out, (np.full(len(found), name), found, scores), strict=True):
-                        column.append(x)
-        arrays = [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in out]
-        return pa.table(arrays, names=["query_id", "vec_id", "score"])
-
-    found = left.groupBy("cell", "group").cogroup(right.groupBy("cell", "group")).applyInArrow(run, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+                    out[0] += [name] * len(found)
+                    out[1] += found.tolist()
+                    out[2] += [max(-_LONGEST - 1, min(_LONGEST, s)) for s in scores]
+                    # beyond a long the exact value, as bytes that sort as it does
+                    out[3] += [(s + (1 << _WIDE)).to_bytes(_WIDE // 8 + 1, "big") if abs(s) >= _LONGEST else b"" for s in scores]
+        return pa.table([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["query_id", "vec_id", "score", "beyond"])
+
+    left, right = (t.repartition(tasks, "cell", "group") for t in (left, right))
+    found = left.groupBy("cell", "group").cogroup(right.groupBy("cell", "group")).applyInArrow(run, "query_id long, vec_id long, score long, beyond binary")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """The k best of all ``vectors`` for each row whose vec_id is divisible by ``every``."""
+    """(query_id, rank, vec_id, score): the k best of all ``vectors`` (vec_id, embedding) for each row whose vec_id is
+    divisible by ``every``.
+
+    Ties go to the smaller vec_id. Vectors that are null, empty or hold null or non-finite components, and rows
+    without a vec_id, take no part, as queries or candidates; of queries with one vec_id the one with the least
+    vector counts, while each of their rows is a candidate for others. An empty table gives no rows.
+    """
     return search(build_index(vectors), vectors.filter(F.col("vec_id") % every == 0), k)
