@@ -18,12 +18,13 @@ iban   country, check digits, account; right modulo 97          the account; che
 ssn    ddd-dd-dddd with a possible area, group and serial       all digits
 phone  with + and country, with an area in brackets, ddd-ddd-dddd  all digits but the country's
 ip     four octets                                              the octets
-date   yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy,        the day, within the same two hundred years
-       1900 to 2099, existing
+date   yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy,        the day, within the same two hundred years;
+       1900 to 2099, existing                                   month first: among days that read so
 email  name@domain                                              letters and digits of the name
 =====  =======================================================  =============================================
 
-What fails its validation is left as it is.
+What fails its validation is left as it is. A date with slashes is read day first where that is a day. Those that
+are not are permuted among themselves: days up to the 28th, and the 29th, 30th, 31st and leap days each by itself.
 """
 
 from __future__ import annotations
@@ -31,12 +32,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenant.llm.shared import free_name
+
 ROUNDS = 8
 
 #: What is looked at, most specific first.
 PATTERN = "|".join(
     [
-        r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        # a repeated group costs the regular expression engine stack, so its repeats are bounded: names have at most 127 parts
+        r"(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,126}",
         r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])",
         r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}([./])[0-9]{2}\1[0-9]{4})(?![0-9-])",
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -77,6 +81,45 @@ def _iso(raw: Column) -> Column:
     return F.when((F.year(found) >= 1900) & (F.year(found) <= 2099), found)
 
 
+#: Months (from 1) that have a 31st, and that have a 29th and a 30th in any year.
+_LONG_MONTHS, _MONTHS = (1, 3, 5, 7, 8, 10, 12), (1, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12)
+
+
+def _month_first(raw: Column) -> Column:
+    """Whether a validated date can only be read month first."""
+    return raw.contains("/") & F.concat_ws("-", F.substring(raw, 7, 4), F.substring(raw, 4, 2), F.substring(raw, 1, 2)).try_cast("date").isNull()
+
+
+def _day_group(day: Column) -> Column:
+    """Days above the 12th in groups, each a rectangle of two numbers."""
+    d = F.dayofmonth(day)
+    return F.when(d <= 28, "28").when(d == 31, "31").when(d == 30, "30").when(F.month(day) == 2, "leap").otherwise("29")
+
+
+def _group_numbers(day: Column) -> tuple[Column, Column]:
+    """(values, radices) of a day in its group."""
+    year, month, d, group = F.year(day) - 1900, F.month(day), F.dayofmonth(day), _day_group(day)
+    longs = lambda *x: F.array(*[(v if isinstance(v, Column) else F.lit(v)).cast("long") for v in x])
+    at = lambda months: F.array_position(F.array(*[F.lit(m) for m in months]), month) - 1
+    leap = F.floor((year - 4) / 4)  # 1904 is the first leap year, and there are 49
+    values = F.when(group == "28", longs(year * 12 + month - 1, d - 13)).when(group == "31", longs(year, at(_LONG_MONTHS))).when(group == "leap", longs(F.floor(leap / 7), leap % 7)).otherwise(longs(year, at(_MONTHS)))
+    radices = F.when(group == "28", longs(2400, 16)).when(group == "31", longs(200, len(_LONG_MONTHS))).when(group == "leap", longs(7, 7)).otherwise(longs(200, len(_MONTHS)))
+    return values, radices
+
+
+def _group_day(group: Column, v: Column) -> Column:
+    """The day of a group that has these numbers."""
+    month = lambda months: F.get(F.array(*[F.lit(m) for m in months]), v[1].cast("int"))
+    date = lambda y, m, d: F.make_date(y.cast("int"), m.cast("int"), d.cast("int") if isinstance(d, Column) else F.lit(d))
+    return (
+        F.when(group == "28", date(1900 + F.floor(v[0] / 12), v[0] % 12 + 1, v[1] + 13))
+        .when(group == "31", date(1900 + v[0], month(_LONG_MONTHS), 31))
+        .when(group == "leap", date(1904 + 4 * (7 * v[0] + v[1]), F.lit(2), 29))
+        .when(group == "30", date(1900 + v[0], month(_MONTHS), 30))
+        .otherwise(date(1900 + v[0], month(_MONTHS), 29))
+    )
+
+
 def _kind(raw: Column) -> Column:
     """The kind of a match, null if its validation fails."""
     digits = F.regexp_replace(raw, "[^0-9]", "")
@@ -118,7 +161,7 @@ def _span(raw: Column, kind: Column) -> Column:
 
 def _tweak(raw: Column, kind: Column) -> Column:
     """What stays of a value and tells its permutation from others of its kind."""
-    return F.when(kind == "email", F.concat(F.lit("email:"), F.lower(F.substring_index(raw, "@", -1)))).when(kind == "iban", F.concat(F.lit("iban:"), F.substring(raw, 1, 2))).otherwise(kind)
+    return F.when(kind == "email", F.concat(F.lit("email:"), F.lower(F.substring_index(raw, "@", -1)))).when(kind == "iban", F.concat(F.lit("iban:"), F.substring(raw, 1, 2))).when((kind == "date") & _month_first(raw), F.concat(F.lit("date:"), _day_group(_iso(raw)))).otherwise(kind)
 
 
 def _radix(c: Column) -> Column:
@@ -145,21 +188,24 @@ def _numbers(s: Column) -> Column:
     radices, values = F.when(one, F.array(two, part)).otherwise(radices), F.when(one, F.array(F.floor(first / part), first % part)).otherwise(values)
     day = F.datediff(_iso(raw), F.lit("1900-01-01").cast("date")).cast("long")
     many = lambda *x: F.array(*[F.lit(v).cast("long") for v in x])
+    in_group = (kind == "date") & _month_first(raw)
+    group_values, group_radices = _group_numbers(_iso(raw))
     return F.struct(
-        F.when(kind == "date", F.array(F.floor(day / _DAYS[1]), day % _DAYS[1])).when(kind == "ip", F.transform(F.split(raw, r"\."), lambda o: o.cast("long"))).otherwise(values).alias("values"),
-        F.when(kind == "date", many(*_DAYS)).when(kind == "ip", many(256, 256, 256, 256)).otherwise(radices).alias("radices"),
+        F.when(in_group, group_values).when(kind == "date", F.array(F.floor(day / _DAYS[1]), day % _DAYS[1])).when(kind == "ip", F.transform(F.split(raw, r"\."), lambda o: o.cast("long"))).otherwise(values).alias("values"),
+        F.when(in_group, group_radices).when(kind == "date", many(*_DAYS)).when(kind == "ip", many(256, 256, 256, 256)).otherwise(radices).alias("radices"),
     )
 
 
-def feistel(values: Column, radices: Column, kind: Column, key: str, invert: bool = False) -> Column:
+def feistel(values: Column, radices: Column, kind: Column, key: Column | str, invert: bool = False) -> Column:
     """A keyed permutation of arrays of numbers below their radices; ``invert`` undoes it."""
+    key = F.lit(key) if isinstance(key, str) else key
     half = F.floor(F.size(values) / 2).cast("int")
     cut = lambda x: (F.slice(x, F.lit(1), half), F.slice(x, half + 1, F.size(x) - half))
     low, high = cut(values)
     q_low, q_high = cut(radices)
 
     def shifted(part: Column, other: Column, radix: Column, number: Column) -> Column:
-        seed = F.sha2(F.concat_ws(":", F.lit(key), kind, F.size(values).cast("string"), number.cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), 512)
+        seed = F.sha2(F.concat_ws(":", key, kind, F.size(values).cast("string"), number.cast("string"), F.array_join(F.transform(other, lambda v: v.cast("string")), ",")), 512)
         amount = lambda i: F.conv(F.substr(seed, 1 + 4 * (i % 32), F.lit(4)), 16, 10).cast("long")
         sign = -1 if invert else 1
         return F.transform(part, lambda v, i: F.pmod(v + sign * amount(i), F.get(radix, i)))
@@ -190,9 +236,9 @@ def _written(s: Column) -> Column:
     plain = F.regexp_replace(text, " ", "")
     check = 98 - _mod97(F.concat(F.substring(plain, 5, 40), F.substring(plain, 1, 2), F.lit("00")))
     iban = F.concat(F.substring(text, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(text, 5, 60))
-    day = F.date_add(F.lit("1900-01-01").cast("date"), (v[0] * _DAYS[1] + v[1]).cast("int"))
     mark = F.substring(raw, 3, 1)
-    day_first = F.concat_ws("-", F.substring(raw, 7, 4), F.substring(raw, 4, 2), F.substring(raw, 1, 2)).try_cast("date").isNotNull()
+    day_first = ~_month_first(raw)
+    day = F.when(day_first, F.date_add(F.lit("1900-01-01").cast("date"), (v[0] * _DAYS[1] + v[1]).cast("int"))).otherwise(_group_day(_day_group(_iso(raw)), v))
     date = (
         F.when(F.substring(raw, 5, 1) == "-", F.date_format(day, "yyyy-MM-dd"))
         .when(day_first, F.concat_ws("", F.date_format(day, "dd"), mark, F.date_format(day, "MM"), mark, F.date_format(day, "yyyy")))
@@ -205,17 +251,20 @@ def _written(s: Column) -> Column:
 def with_pseudonyms(docs: DataFrame, key: str, text: str = "text", found: str = "found") -> DataFrame:
     """``docs`` with pseudonyms in ``text``, and ``found``: (raw, kind, pseudonym) of each value, in order.
 
-    Null texts stay null and, like texts without such values, have an empty list. A column that has the new one's
-    name is replaced. ``found`` has the old values: drop it where the result leaves safe ground.
+    Null texts stay null and, like texts without such values, have an empty list. Equal values have one pseudonym in
+    all rows; repeated rows and other columns are kept as they are, an empty table stays empty. A column that has the
+    new one's name is replaced. ``found`` has the old values: drop it where the result leaves safe ground.
 
-    A date that is read month first may get a day below 13, whose pseudonym would be read day first: its order
-    in the text is kept, so the mapping from raw value to pseudonym is still one to one for a given order.
+    The key is the one row of a table that is joined to the rows, so that it stands in no plan, user interface or event log.
     """
-    names = [c for c in docs.columns if c != found]
+    own = free_name(docs, "_key")
+    secret = docs.sparkSession.createDataFrame([(key,)], f"`{own}` string")
+    docs = docs.join(F.broadcast(secret), how="cross")  # one row
+    names = [c for c in docs.columns if c not in (found, own)]
     # matches and what stands between them, by one pattern; most texts have no digit or sign that could begin one
     may = F.coalesce(F.col(text).rlike("[0-9@]"), F.lit(False))
     nothing = F.array().cast("array<string>")
-    work = docs.select(*names, F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(nothing).alias("_raw"))
+    work = docs.select(*names, own, F.when(may, F.regexp_extract_all(text, F.lit(PATTERN), 0)).otherwise(nothing).alias("_raw"))
     carried = lambda s, *names: [s[n].alias(n) for n in names]
     work = work.withColumn("_v", F.transform("_raw", lambda x: F.struct(x.alias("whole"), _head(x).alias("raw"))))
     work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, "whole", "raw"), _kind(s["raw"]).alias("kind"), F.split(s["raw"], "").alias("chars"))))
@@ -224,7 +273,7 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text", found: str =
     work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, *keep), _places(s["chars"], s["span"]).alias("places"))))
     keep.append("places")
     work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, *keep), F.when(s["kind"].isNotNull(), _numbers(s)).alias("n"))))
-    dealt = lambda s: F.when(s["kind"].isNotNull(), feistel(s["n"]["values"], s["n"]["radices"], _tweak(s["raw"], s["kind"]), key))
+    dealt = lambda s: F.when(s["kind"].isNotNull(), feistel(s["n"]["values"], s["n"]["radices"], _tweak(s["raw"], s["kind"]), F.col(own)))
     work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, *keep), dealt(s).alias("values"))))
     work = work.withColumn("_v", F.transform("_v", lambda s: F.struct(*carried(s, "whole", "raw", "kind"), F.when(s["kind"].isNotNull(), _written(s)).otherwise(s["raw"]).alias("pseudonym"))))
     gaps = F.split(text, PATTERN, -1)
@@ -234,6 +283,9 @@ def with_pseudonyms(docs: DataFrame, key: str, text: str = "text", found: str =
 
 
 def pseudonymised(docs: DataFrame, key: str) -> DataFrame:
-    """(doc_id, n_values, kinds, text) for each row: the text with pseudonyms, how many, and their kinds in order."""
+    """(doc_id, n_values, kinds, text) for each row: the text with pseudonyms, how many, and their kinds in order.
+
+    Nulls, empty texts, repeated rows and empty tables are as in ``with_pseudonyms``.
+    """
     done = with_pseudonyms(docs.select("doc_id", "text"), key)
     return done.select("doc_id", F.size("found").alias("n_values"), F.array_join(F.transform("found", lambda s: s["kind"]), ",").alias("kinds"), "text")
