@@ -23,7 +23,7 @@ from provenant.llm.shared import hold
 
 SHARDS = 8
 _DIGITS = 3  # of the first prefixes: 16**3
-_CELLS = 8  # cells that a prefix's rows are dealt over for numbering
+_CELL = 10_000  # rows of a cell in which slots are numbered, about
 
 
 def greedy(prefix: list[int], capacity: int, shards: int) -> list[int] | None:
@@ -109,7 +109,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     A size is the text's UTF-8 bytes and 1; null texts count as empty. Equal texts share a shard, so a shard can
     be no smaller than the largest group of copies, and some shards stay empty if one group is larger than a
-    shard's share. Slots number the rows of a shard without gaps, by digest and then doc_id in each of some
+    shard's share. Rows that repeat, and rows without a doc_id, have slots of their own; other columns are ignored;
+    an empty table gives no rows. Slots number the rows of a shard without gaps, by digest and then doc_id in each of some
     cells, so that neither a shard nor a group of copies has to be sorted in one task.
     """
     text = F.coalesce("text", F.lit(""))
@@ -118,7 +119,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     groups = hold(rows.groupBy("key").agg(F.sum("size").alias("weight")), "op7-groups")
     begins, _ = boundaries(groups, shards)
 
-    rows = rows.withColumn("shard", _shard(F.col("key"), begins)).withColumn("range", F.substring("key", 1, _DIGITS)).withColumn("cell", F.pmod(F.xxhash64("doc_id"), F.lit(_CELLS)))
+    # ranges of digests are cut into cells by their rows, so that a large group of copies is many of them
+    rows = rows.withColumn("shard", _shard(F.col("key"), begins)).withColumn("range", F.substring("key", 1, _DIGITS))
+    ranges = rows.groupBy("shard", "range").agg(F.ceil(F.count(F.lit(1)) / _CELL).alias("cells"))
+    ranges = hold(ranges, "op7-ranges")  # 16 ** _DIGITS + shards rows at most: safe to broadcast
+    rows = rows.join(F.broadcast(ranges), ["shard", "range"]).withColumn("cell", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("cells"))).drop("cells")
     cells = rows.groupBy("shard", "range", "cell").agg(F.count(F.lit(1)).alias("k"))
     before = Window.partitionBy("shard").orderBy("range", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = hold(cells.withColumn("offset", F.coalesce(F.sum("k").over(before), F.lit(0))).drop("k"), "op7-cells")
@@ -127,9 +132,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """Writes ``docs`` to folders shard=0, shard=1, ... of Parquet files. Rows go where their text's digest says."""
-    text = F.sha2(F.coalesce("text", F.lit("")), 256)
-    groups = hold(docs.select(text.alias("key"), (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size")).groupBy("key").agg(F.sum("size").alias("weight")), "op7-groups")
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 8) -> None:
+    """Writes ``docs`` to folders shard=0, shard=1, ... of up to ``files`` Parquet files each. Rows go where their text's digest says."""
+    text = F.coalesce("text", F.lit(""))
+    groups = hold(docs.select(F.sha2(text, 256).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size")).groupBy("key").agg(F.sum("size").alias("weight")), "op7-groups")
     begins, _ = boundaries(groups, shards)
-    docs.withColumn("shard", _shard(text, begins)).write.partitionBy("shard").parquet(path)
+    dealt = docs.withColumn("shard", _shard(F.sha2(text, 256), begins))
+    columns = [c for c in docs.columns if c != "shard"]
+    dealt.select(*columns, "shard").repartition(shards * files, "shard", F.pmod(F.xxhash64(*columns), F.lit(files))).write.partitionBy("shard").parquet(path)
