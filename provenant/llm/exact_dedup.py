@@ -1,19 +1,21 @@
 """Exact dedup as a stateful stream, with DataFrame functions only.
 
-Documents are read as a stream of files. The state is a table on disk, in the shared folder, keyed by digest; it
-never expires. An entry has the identifier that stays, where its content lies (file and row), and how many rows
-had the digest. It is a log: each batch looks up its digests and writes their new entries to a folder named by its
-number; the newest entry of a digest counts. A batch that is run again writes its folder anew, so a restart goes on
-where the stream stopped, and nothing of the state lives on an executor. A batch is reduced to one row for each
-digest and task before it is shuffled.
-
-Rows whose digest occurred before are hits; their whole texts are compared byte by byte before they count as
-equal. Texts of one digest that differ, should there ever be any, are grouped by text instead.
+Documents are read as a stream of files, in several batches. Spark's own keyed state holds, for each digest, the
+identifier that stays, where its content lies (file and row), and how many rows had the digest. The state is on disk
+(RocksDB), has no watermark and so never expires, and is kept in the shared folder: a lost executor's part is loaded
+again by another one, and a restarted stream takes in only new files. A batch is reduced to one row for each digest
+and task before it is shuffled to its state.
+
+Each batch hands on the digests that it changed. Those that have more than one row by then are hits: their whole
+texts are compared byte by byte before they count as equal. Texts of one digest that differ, should there ever be
+any, are grouped by text instead.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +23,30 @@ from pyspark.sql import functions as F
 from provenant.llm.shared import hold, keep_ids, scratch_dir
 
 _ENTRY = "digest string, keep struct<doc_id:bigint,file:string,row:bigint>, n bigint"
+#: Batches that the files there are make, at least; each looks up what those before it have left in the state.
+BATCHES = 4
+
+_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a store has few megabytes: none of them is to be set aside before, and all stores of an executor share one bound
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.minBatchesToRetain": "2",
+}
+
+
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -29,39 +55,36 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
 
 
-def _state(spark: SparkSession, state_dir: str, before: int | None = None) -> DataFrame:
-    """The newest entry of each digest, of batches before the given one."""
-    log = spark.read.schema(f"{_ENTRY}, batch bigint").parquet(f"{state_dir}/state")
-    log = log if before is None else log.filter(F.col("batch") < before)
-    return log.groupBy("digest").agg(F.max_by("keep", "batch").alias("keep"), F.max_by("n", "batch").alias("n"))
-
-
-def digest_state(spark: SparkSession, path: str, state_dir: str, per_batch: int = 64 << 30) -> DataFrame:
+def digest_state(spark: SparkSession, path: str, state_dir: str, per_batch: int | None = None) -> DataFrame:
     """Runs the stream over all files there are, and returns its state: (digest, keep, n).
 
     ``keep`` is (doc_id, file, row) of the row that stays: the largest doc_id; of equal ones the last row. Run
-    again with the same ``state_dir`` it takes in only new files. The schema is that of the files there are.
+    again with the same ``state_dir`` it takes in only new files. ``per_batch``: files that a batch takes; by itself
+    what makes ``BATCHES`` of them. The schema is that of the files there are. The state is what the batches
+    handed on, of each digest the newest.
     """
-    spark.createDataFrame([], _ENTRY).write.mode("overwrite").parquet(f"{state_dir}/state/batch=-1")
+    docs = spark.read.parquet(path)
+    per_batch = per_batch or max(1, -(-len(docs.inputFiles()) // BATCHES))
 
     def save(batch: DataFrame, number: int) -> None:
-        new = batch.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
-        old = _state(spark, state_dir, number).select("digest", F.col("keep").alias("old"), F.col("n").alias("more"))
-        entries = new.join(old, "digest", "left").select("digest", F.greatest("keep", F.coalesce("old", "keep")).alias("keep"), (F.col("n") + F.coalesce("more", F.lit(0))).alias("n"))
-        entries.write.mode("overwrite").parquet(f"{state_dir}/state/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{state_dir}/changed/batch={number}")  # anew, if the batch is run again
 
     # as a pattern, so that a single file is as good as a folder
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxBytesPerTrigger", str(per_batch)).parquet(f"{path[:-1]}[{path[-1]}]")
-    run = _rows(stream).writeStream.option("checkpointLocation", f"{state_dir}/stream").trigger(availableNow=True).foreachBatch(save).start()
-    run.awaitTermination()
-    return _state(spark, state_dir)
+    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", str(per_batch)).parquet(f"{path[:-1]}[{path[-1]}]")
+    state = _rows(stream).groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count(F.lit(1)).alias("n"))
+    with _settings(spark, _STORE):
+        run = state.writeStream.outputMode("update").option("checkpointLocation", f"{state_dir}/stream").trigger(availableNow=True).foreachBatch(save).start()
+        run.awaitTermination()
+    changed = spark.read.schema(f"{_ENTRY}, batch bigint").parquet(f"{state_dir}/changed")
+    return changed.groupBy("digest").agg(F.max_by("keep", "batch").alias("keep"), F.max("n").alias("n"))
 
 
 def exact_dedup(spark: SparkSession, path: str, state_dir: str | None = None) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for each row of the Parquet documents at ``path``.
 
     Texts are equal if their bytes are; null counts as empty. Of equal texts the row with the largest doc_id is
-    kept, a null doc_id being the smallest; of rows that repeat it, one. An empty table gives no rows.
+    kept, a null doc_id being the smallest; of rows that repeat it, one. Other columns are ignored. An empty table
+    gives no rows.
     """
     state_dir = state_dir or f"{scratch_dir(spark)}/op10-{uuid.uuid4().hex}"
     docs = spark.read.parquet(path)
