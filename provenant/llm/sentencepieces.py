@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from provenant.llm.shared import with_field
 
 MARK = "▁"
-#: Entries that a worker's cache of chunks, or of pairs, may hold (some 200 MB) before it starts anew.
-CACHE = 600_000
+#: Entries that a worker's cache of chunks, or of pairs, may hold (some 50 MB) before it starts anew.
+CACHE = 150_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
