@@ -23,12 +23,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.shared import hold, keep_ids
+from provenant.llm.shared import free_name, hold, keep_ids, with_values
 
 #: Words that a line must have to be a chunk by itself, and that a chunk of several lines must have.
 LONG, LEAST = 50, 20
-#: Put before a line that begins a chunk. A text that has it already is one chunk.
-_SIGN = "\x01\x02\x01"
+#: Put before a line that begins a chunk; texts have a third character after each first one of their own.
+_SIGN, _OWN, _WRITTEN = "\x01\x02", "\x01", "\x01\x03"
 
 
 def _words(text: Column) -> Column:
@@ -55,36 +55,39 @@ def with_chunks(docs: DataFrame, to: str) -> DataFrame:
     cut = cut.withColumns({"_b": F.concat(none, "_a"), "_c": F.concat(none, none, "_a")})
     begins = F.transform(F.arrays_zip("_a", "_b", "_c"), lambda z: F.coalesce(z["_a"]["long"], F.lit(False)) | z["_b"]["long"] | rolled(z))
     begins = F.concat(F.array(F.lit(False)), F.slice(begins, F.lit(2), F.size("_lines")))
-    signed = F.zip_with("_lines", F.slice(begins, F.lit(1), F.size("_lines")), lambda x, b: F.when(b, F.concat(F.lit(_SIGN), x)).otherwise(x))
+    written = lambda x: F.when(F.contains(x, F.lit(_OWN)), F.replace(x, F.lit(_OWN), F.lit(_WRITTEN))).otherwise(x)
+    signed = F.zip_with("_lines", F.slice(begins, F.lit(1), F.size("_lines")), lambda x, b: F.when(b, F.concat(F.lit(_SIGN), written(x))).otherwise(written(x)))
     parts = F.split(F.array_join(signed, "\n"), f"\n{_SIGN}", -1)
-    parts = F.when(F.contains("text", F.lit(_SIGN)), F.array("text")).otherwise(parts)
+    parts = F.when(F.contains("text", F.lit(_OWN)), F.transform(parts, lambda x: F.replace(x, F.lit(_WRITTEN), F.lit(_OWN)))).otherwise(parts)
     return cut.withColumn(to, parts).drop("_lines", "_a", "_b", "_c")
 
 
-def _parts(docs: DataFrame, columns: list[str]) -> DataFrame:
+def _parts(docs: DataFrame, columns: list[str], least: int) -> DataFrame:
     """A row for each chunk that may be removed: ``columns``, its place, its hash and its text."""
     one = F.col("col")
-    least = F.when(F.contains(one, F.lit("\n")), LEAST).otherwise(LONG)
+    words = F.when(F.contains(one, F.lit("\n")), least).otherwise(LONG)
     parts = with_chunks(docs.select(*columns, "text"), "parts").select(*columns, F.posexplode("parts"))
-    return parts.filter(_has_words(one, least)).select(*columns, "pos", F.md5("col").alias("hash"), F.col("col").alias("chunk"))
+    return parts.filter(_has_words(one, words)).select(*columns, "pos", F.md5("col").alias("hash"), F.col("col").alias("chunk"))
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+def repeated_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, row, pos) of every chunk to remove from ``docs`` (doc_id, row, text), by its number in its text.
 
     The first occurrence is the one with the smallest doc_id (null last), row and place. Chunks whose hashes
-    agree and whose bytes don't are not removed.
+    agree and whose bytes don't are not removed; nor are chunks of several lines with fewer than ``least`` words.
     """
-    found = hold(_parts(docs, ["doc_id", "row"]).select("doc_id", "row", "pos", "hash"), "op8-chunks")
+    found = hold(_parts(docs, ["doc_id", "row"], least).select("doc_id", "row", "pos", "hash"), "op8-chunks")
     place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("d"), "row", "pos")
     # partial sums: one row for each hash and task, however often a chunk occurs
     often = hold(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).filter("n > 1").drop("n"), "op8-repeated")
-    again = hold(found.join(often, "hash").select("doc_id", "row", "pos", "hash", (place != F.col("first")).alias("later")), "op8-again")
+    again = hold(with_values(found, often, "hash").select("doc_id", "row", "pos", "hash", (place != F.col("first")).alias("later")), "op8-again")
 
     ids = hold(again.select("row").distinct(), "op8-rows")
-    same = _parts(keep_ids(docs, ids, "row"), ["row"]).join(often.select("hash").hint("merge"), "hash", "left_semi")
-    equal = same.groupBy("hash").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).filter("low = high").select("hash")
-    return again.filter("later").join(hold(equal, "op8-equal"), "hash").select("doc_id", "row", "pos")
+    # what is read again is partitioned anew before it is grouped, so that a very common chunk is many partial rows
+    same = keep_ids(_parts(keep_ids(docs, ids, "row"), ["row"], least), often, "hash")
+    same = same.groupBy("hash", F.pmod(F.xxhash64("row"), F.lit(64)).alias("salt")).agg(F.min("chunk").alias("low"), F.max("chunk").alias("high"))
+    equal = same.groupBy("hash").agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low = high").select("hash")
+    return keep_ids(again.filter("later"), hold(equal, "op8-equal"), "hash").select("doc_id", "row", "pos")
 
 
 def _runs(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -135,24 +138,28 @@ def passages(docs: DataFrame) -> DataFrame:
     ids = hold(again.select("row").distinct(), "op8-rows")
     same = keep_ids(_runs(keep_ids(docs, ids, "row"), ["row"]).select("hash", "run"), often, "hash")
     equal = hold(same.groupBy("hash").agg(F.min("run").alias("low"), F.max("run").alias("high")).filter("low = high").select("hash"), "op8-equal")
-    first = again.groupBy("hash").agg(F.min(place).alias("first"))
+    first = hold(again.groupBy("hash").agg(F.min(place).alias("first")), "op8-first")
     over = (F.col("first.row") == F.col("row")) & (F.col("pos") < F.col("first.pos") + F.col("n"))
-    later = keep_ids(again, equal, "hash").join(first, "hash").filter((place != F.col("first")) & ~over)
+    later = with_values(keep_ids(again, equal, "hash"), first, "hash").filter((place != F.col("first")) & ~over)
     lines = later.select("row", F.explode(F.sequence("pos", F.expr("pos + n - 1"))).alias("pos")).distinct()
     return hold(lines.groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "op8-lines")
 
 
+def _without(parts: Column, gone: Column) -> Column:
+    """An array without the places (from 0) in another, ascending one; in linear time."""
+    # a mark for each place, made of the gaps between the numbers
+    before = F.concat(F.array(F.lit(-1)), F.slice(gone, F.lit(1), F.size(gone) - 1))
+    marks = F.array_join(F.zip_with(gone, before, lambda a, b: F.concat(F.repeat(F.lit("0"), a - b - 1), F.lit("1"))), "")
+    each = F.zip_with(parts, F.split(marks, ""), lambda x, m: F.struct(x.alias("x"), m.alias("m")))
+    return F.transform(F.filter(each, lambda z: z["x"].isNotNull() & ~z["m"].eqNullSafe("1")), lambda z: z["x"])
+
+
 def passage_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, row, removed, kept_text) for each row of ``docs`` that loses lines of repeated passages: how many, and what stays."""
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").filter("text is not null")
     gone = passages(keyed)
     touched = keep_ids(keyed, gone, "row").join(gone, "row")
-    # a mark for each line, made of the gaps between the numbers
-    before = F.concat(F.array(F.lit(-1)), F.slice("gone", F.lit(1), F.size("gone") - 1))
-    marks = F.array_join(F.zip_with("gone", before, lambda a, b: F.concat(F.repeat(F.lit("0"), a - b - 1), F.lit("1"))), "")
-    lines = F.zip_with(F.split("text", "\n", -1), F.split(marks, ""), lambda x, m: F.struct(x.alias("x"), m.alias("m")))
-    stays = F.filter(lines, lambda z: z["x"].isNotNull() & ~z["m"].eqNullSafe("1"))
-    return touched.select("doc_id", "row", F.size("gone").alias("removed"), F.array_join(F.transform(stays, lambda z: z["x"]), "\n").alias("kept_text"))
+    return touched.select("doc_id", "row", F.size("gone").alias("removed"), F.array_join(_without(F.split("text", "\n", -1), F.col("gone")), "\n").alias("kept_text"))
 
 
 def _row(text: str = "text"):
@@ -160,21 +167,26 @@ def _row(text: str = "text"):
     return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, row, removed, kept_text) for each row of ``docs`` that loses chunks: how many, and what stays.
 
-    Null and empty texts have nothing to lose.
+    Chunks of several lines go from ``least`` words on, single lines from ``LONG``. Null and empty texts have
+    nothing to lose.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), "text").filter("text is not null")
-    gone = hold(repeated_chunks(keyed).distinct().groupBy("row").agg(F.collect_list("pos").alias("gone")), "op8-gone")
     # a text has at most its own chunks in the list
+    gone = hold(repeated_chunks(keyed, least).distinct().groupBy("row").agg(F.sort_array(F.collect_list("pos")).alias("gone")), "op8-gone")
     touched = with_chunks(keep_ids(keyed, gone, "row").join(gone, "row"), "parts")
-    stays = F.filter("parts", lambda c, i: ~F.array_contains(F.col("gone"), i))
-    return touched.select("doc_id", "row", F.size("gone").alias("removed"), F.array_join(stays, "\n").alias("kept_text"))
+    return touched.select("doc_id", "row", F.size("gone").alias("removed"), F.array_join(_without(F.col("parts"), F.col("gone")), "\n").alias("kept_text"))
 
 
 def removals(docs: DataFrame, dedup: Callable[[DataFrame], DataFrame] = line_dedup) -> DataFrame:
-    """(doc_id, removed, n_chars, text_md5) for each row: chunks or lines taken out, and length and digest of what stays."""
+    """(doc_id, removed, n_chars, text_md5) for each row: chunks or lines taken out, and length and digest of what stays.
+
+    Null texts count as empty and lose nothing. Rows that agree in doc_id and text are one occurrence and lose
+    alike; equal texts of different doc_ids are several. Rows without a doc_id are later than all others. Other
+    columns are ignored; an empty table gives no rows.
+    """
     lost = dedup(docs).select("row", "removed", F.length("kept_text").cast("long").alias("n_left"), F.md5("kept_text").alias("md5_left")).dropDuplicates(["row"])
     every = docs.select("doc_id", _row().alias("row"), F.length(F.coalesce("text", F.lit(""))).cast("long").alias("n"), F.md5(F.coalesce("text", F.lit(""))).alias("md5"))
     every = every.join(lost, "row", "left")
@@ -182,11 +194,16 @@ def removals(docs: DataFrame, dedup: Callable[[DataFrame], DataFrame] = line_ded
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text``; no row is dropped. ``n_chars``, if there, is renewed."""
-    lost = hold(passage_dedup(docs).select(F.col("row").alias("_row"), F.col("kept_text").alias("_kept")).dropDuplicates(["_row"]), "op8-lost")
-    keyed = docs.withColumn("_row", _row())
-    same = keep_ids(keyed, lost, "_row", "left_anti").select(*docs.columns)
-    less = keep_ids(keyed, lost, "_row").join(lost, "_row").withColumn("text", F.col("_kept"))
+    """``docs`` with repeated passages taken out of ``text``; no row is dropped. ``n_chars``, if there, is renewed.
+
+    Nulls, empty texts and repeated rows are as in ``removals``; other columns are kept as they are, and an empty
+    table stays empty.
+    """
+    row, kept = free_name(docs, "_row"), free_name(docs, "_kept")
+    lost = hold(passage_dedup(docs).select(F.col("row").alias(row), F.col("kept_text").alias(kept)).dropDuplicates([row]), "op8-lost")
+    keyed = docs.withColumn(row, _row())
+    same = keep_ids(keyed, lost, row, "left_anti").select(*docs.columns)
+    less = keep_ids(keyed, lost, row).join(lost, row).withColumn("text", F.col(kept))
     if "n_chars" in docs.columns:
         less = less.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return same.unionByName(less.select(*docs.columns))

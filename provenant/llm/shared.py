@@ -54,6 +54,16 @@ def keep_ids(df: DataFrame, ids: DataFrame, key: str, how: str = "left_semi") ->
     return df.join(ids.hint("merge"), key, how)
 
 
+def with_values(df: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """Inner join of wide rows with a held table that has one row for each key and some values.
+
+    Up to ``BROADCAST_BYTES`` of it, counted as 96 bytes a row and its key, are broadcast; more is joined by a
+    sort-merge join, in which adaptive execution splits the rows of a very common key.
+    """
+    size = values.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(key).cast("string")), F.lit(0)) + 96), F.lit(0))).first()[0]
+    return df.join(F.broadcast(values) if size <= BROADCAST_BYTES else values.hint("merge"), key)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores after it while ``df`` has such a column."""
     taken = {c.lower() for c in df.columns}

@@ -1,11 +1,14 @@
 """Each operator on nasty rows and on an empty table, against brute force or the libraries."""
 
+import datetime as dt
 import hashlib
 import random
 import re
 import unicodedata
 import zlib
 from array import array
+from collections import Counter
+from fractions import Fraction
 from itertools import pairwise
 
 import numpy as np
@@ -197,6 +200,24 @@ def test_top_rows_are_exact(spark):
         assert [(i, -x) for x, i in order] == [got[q, k] for k in range(1, 6)]
     assert (450, 1) not in got
     assert bit_sliced.top_k(t.limit(0)).count() == 0
+    assert bit_sliced.search(bit_sliced.build_index(t.limit(0)), t, 5).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_large_components_are_ranked_exactly(spark, kind):
+    r = np.random.default_rng(7)
+    size = {"float": np.float32, "double": np.float64}[kind]
+    wide = [r.normal(size=6) * 10.0 ** r.integers(-3, 38 if kind == "float" else 307) for _ in range(60)]
+    wide += [[6e5, 1, 0, 0, 0, 0], [1e12, -1e12, 3, 0, 0, 1], [-6e5, 1e12, 0.001, -0.001, 0, 0], *r.normal(size=(30, 6))]
+    long = [r.normal(size=1024) * 3e6 for _ in range(20)]
+    rows = [(i, [float(size(x)) for x in v], "z") for i, v in enumerate([*wide, *long])]
+    t = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, score string")
+    exact = [[int(np.floor(Fraction(x) * 256)) for x in v] for _, v, _ in rows]
+    want = []
+    for q in range(0, len(rows), 5):
+        s = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=True)), i) for i, v in enumerate(exact) if i != q and len(v) == len(exact[q]))
+        want += [(q, k, i, max(-(2**63), min(2**63 - 1, -x))) for k, (x, i) in enumerate(s[:5], 1)]
+    assert sorted(tuple(r) for r in bit_sliced.top_k(t, every=5).collect()) == want
 
 
 def test_toxic_words_are_learned(spark, docs, empty, labels):
@@ -246,6 +267,38 @@ def test_pseudonyms_keep_format_and_link(spark, docs, empty):
     assert pseudonyms.pseudonymised(empty, "key").count() == 0
 
 
+def test_dates_are_permuted_in_each_format(spark):
+    days = [dt.date(1900, 1, 1) + dt.timedelta(i) for i in range(73049)]
+    forms = {"%Y-%m-%d": days, "%d.%m.%Y": days, "%d/%m/%Y": days, "%m/%d/%Y": [d for d in days if d.day > 12]}
+    texts = [d.strftime(f) for f, some in forms.items() for d in some]
+    t = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in sorted(pseudonyms.with_pseudonyms(t, "key").collect(), key=lambda r: r.doc_id)]
+    at = 0
+    for some in forms.values():
+        before, after = texts[at : at + len(some)], got[at : at + len(some)]
+        assert set(after) == set(before) and sum(a == b for a, b in zip(after, before, strict=True)) < 0.02 * len(some)
+        at += len(some)
+
+
+def test_long_texts_without_and_with_values(spark):
+    tail = "ab@example.com 4041894974608795"
+    long = ["x@" + "a." * 500_000 + "com", "a." * 500_000, "1." * 300_000, "1-" * 300_000, "+1 " * 300_000, "DE89 " * 200_000, "@" * 100_000, "a@b." * 200_000, "9" * 500_000, "12/" * 300_000]
+    t = spark.createDataFrame([(i, f"{x} {tail}") for i, x in enumerate(["", *long])], "doc_id long, text string")
+    got = {r.doc_id: r for r in pseudonyms.with_pseudonyms(t, "key").collect()}
+    end = got[0].text[1:]
+    assert tail.split()[0] not in end and all(r.text.endswith(end) and len(r.text) == len(long[i - 1]) + 1 + len(tail) for i, r in got.items() if i)
+
+
+def test_the_key_stands_in_no_plan(spark, docs):
+    import contextlib
+    import io
+
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        pseudonyms.pseudonymised(docs, "a very secret key").explain("extended")
+    assert "Project" in out.getvalue() and "very secret" not in out.getvalue()
+
+
 def test_pseudonyms_link_formats_and_shift_apart(spark):
     groups = [
         ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111", "4111 1111 1111 1111 123"], ["378282246310005", "3782 822463 10005"], ["6304000000000000000", "6304 0000 0000 0000 000"],
@@ -291,7 +344,27 @@ def test_mix_comes_near_its_targets(docs, empty):
     for size, goal in {(r.source_size, r.target) for r in got}:
         assert abs(sum(r.taken for r in got if (r.source_size, r.target) == (size, goal)) - goal) <= 2 * largest
     assert mixing.mix(empty).count() == 0
-    assert mixing.mixed(docs).columns == docs.columns
+    assert mixing.mixed(empty).count() == 0
+    given = docs.withColumns({"_copies": F.lit("x"), "_key": F.lit("y")})
+    done = mixing.mixed(given)
+    assert done.columns == given.columns
+    # of each row and source as many as the mix says
+    count = lambda rows: Counter((r.doc_id, r.text, r.source) for r in rows)
+    keyed = {(r.doc_id, r.key, r.src): r.copies for r in mixing.mix(docs).collect()}
+    want = Counter()
+    for r in docs.withColumns({"k": mixing.row_key(), "s": mixing.source_name()}).collect():
+        want[r.doc_id, r.text, r.source] += keyed[r.doc_id, r.k, r.s]
+    assert count(done.collect()) == +want
+
+
+def test_one_text_of_two_sources_is_mixed_by_each(spark):
+    rows = [(1, "a b c d", "s1"), (1, "a b c d", "s2"), *[(i, f"x{i} y z", "s2") for i in range(2, 40)]]
+    t = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = {}
+    for r in mixing.mix(t).collect():
+        taken[r.doc_id, r.src] = taken.get((r.doc_id, r.src), 0) + r.copies
+    done = Counter((r.doc_id, "0" + r.source) for r in mixing.mixed(t).collect())
+    assert done == +Counter(taken) and done[1, "0s1"] == 3 and done[1, "0s2"] < 3
 
 
 def test_shards_have_the_smallest_capacity(docs, empty):
@@ -319,6 +392,17 @@ def test_shards_have_the_smallest_capacity(docs, empty):
     assert sharding.shard(empty).count() == 0
 
 
+def test_shards_are_written(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "_CELL", 2)
+    place = {}
+    for r in sharding.shard(docs).collect():
+        place.setdefault(r.text_crc32, set()).add(r.shard)
+    sharding.write_shards(docs, f"{tmp_path}/shards")
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert sorted(map(str, back.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert all({r.shard} == place[zlib.crc32((r.text or "").encode())] for r in back.collect())
+
+
 def test_passages_that_repeat_go(spark, docs, empty):
     r = random.Random(8)
     line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(n))
@@ -339,6 +423,36 @@ def test_passages_that_repeat_go(spark, docs, empty):
     assert cut.filter("text is not null and array_join(parts, '\n') <> text").count() == 0
 
 
+def test_chunks_are_those_of_a_plain_loop(spark):
+    r = random.Random(21)
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    line = lambda n: " ".join(r.choice(["aa", "b", "\x01", "\x01\x02", "\x01\x03x", "dd"]) + str(r.randrange(9)) for _ in range(n))
+    passage = [line(r.choice([1, 12, 60])) for _ in range(25)]
+    texts = [[line(r.choice([0, 2, 9, 55])) for _ in range(r.randint(0, 5))] + passage[r.randrange(3) :] + [line(3)] for _ in range(12)]
+    t = spark.createDataFrame([(i, "\n".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    for least in (1, 20):
+        seen, want = set(), {}
+        for i, lines in enumerate(texts):
+            lines = "\n".join(lines).split("\n")
+            long = [x.count(" ") + 1 >= 50 for x in lines]
+            chunks = []
+            for k, x in enumerate(lines):
+                if k == 0 or long[k] or long[k - 1] or k > 1 and md5(md5(lines[k - 2]) + md5(lines[k - 1])) < "8":
+                    chunks.append([])
+                chunks[-1].append(x)
+            kept = []
+            for c in chunks:
+                whole = "\n".join(c)
+                counts = whole.count(" ") + whole.count("\n") + 1 >= (least if len(c) > 1 else 50)
+                if not (counts and whole in seen):
+                    kept.append(whole)
+                if counts:
+                    seen.add(whole)
+            want[i] = "\n".join(kept)
+        got = {x.doc_id: x.kept_text for x in line_dedup.line_dedup(t, least).collect()}
+        assert {i: got.get(i, "\n".join(x)) for i, x in enumerate(texts)} == want
+
+
 def test_passages_of_short_lines_go_whole(spark):
     r = random.Random(11)
     line = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
@@ -450,9 +564,19 @@ def test_equal_texts_have_one_keeper(spark, docs, empty):
     assert exact_dedup.exact_dedup(spark, PATHS["empty"]).count() == 0
 
 
+def test_texts_of_one_digest_are_compared(spark, tmp_path, monkeypatch):
+    texts = ["ab", "ac", "ab", "b", None, "", "ac", "ad", "b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/docs.parquet")
+    sha2 = F.sha2
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: sha2(F.substring(c, 1, 1), n))
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_dedup(spark, f"{tmp_path}/docs.parquet", f"{tmp_path}/state").collect()}
+    alike = [[j for j, y in enumerate(texts) if (y or "") == (x or "")] for x in texts]
+    assert got == {i: (max(a), len(a), i == max(a)) for i, a in enumerate(alike)}
+
+
 def test_a_stream_goes_on_with_its_state(spark, tmp_path):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id long, text string")
-    docs.write.parquet(f"{tmp_path}/in")
+    docs.repartition(3).write.parquet(f"{tmp_path}/in")
     assert {(r.keep.doc_id, r.n) for r in exact_dedup.digest_state(spark, f"{tmp_path}/in", f"{tmp_path}/s").collect()} == {(3, 2), (2, 1)}
     spark.createDataFrame([(9, "b"), (0, "a"), (4, "c")], docs.schema).write.mode("append").parquet(f"{tmp_path}/in")
     assert {(r.keep.doc_id, r.n) for r in exact_dedup.digest_state(spark, f"{tmp_path}/in", f"{tmp_path}/s").collect()} == {(3, 3), (9, 2), (4, 1)}
