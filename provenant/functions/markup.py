@@ -119,11 +119,16 @@ def script_json(root: Node, script_id: str) -> object:
 
 
 def variable_json(page: str, name: str) -> object:
-    """The array or object that a script assigns to a variable; ValueError if there is none or it isn't JSON."""
-    start = re.search(rf"(?:\b(?:var|let|const)\s+|\b(?:window|globalThis|self)\.){re.escape(name)}\s*=\s*(?=[\[{{])", page)
-    if not start:
-        raise ValueError(f"no variable {name}")
-    return json.JSONDecoder().raw_decode(page, start.end())[0]
+    """The array or object that the first script to do so assigns to a variable; ValueError if there is none or it isn't JSON.
+
+    Only the texts of scripts count, not comments, attributes or what a page shows.
+    """
+    assigned = re.compile(rf"(?:\b(?:var|let|const)\s+|\b(?:window|globalThis|self)\s*\.\s*){re.escape(name)}\s*=\s*(?=[\[{{])")
+    for script in select(parse(page), "script"):
+        text = "".join(script.texts())
+        if start := assigned.search(text):
+            return json.JSONDecoder().raw_decode(text, start.end())[0]
+    raise ValueError(f"no variable {name}")
 
 
 def linked_data(root: Node, kind: str) -> dict | None:

@@ -60,18 +60,23 @@ def incidents_of(signals: DataFrame) -> DataFrame:
 
 
 def classify(runs: DataFrame, signals: DataFrame, run: str, can_heal: bool = False) -> DataFrame:
-    """(run, outcome, kinds) for each row of ``runs`` (run, verdict); ``kinds`` are the incidents', in order of name.
+    """(run, outcome, kinds) for each row of ``runs`` (run, verdict); ``kinds`` are the incidents', each where it is first seen.
+
+    ``seq`` of the signals tells their order; without it they stand in the order in which triggers are checked.
 
     A verdict other than ok forces no_action with its own incident, but a missing natural key escalates beside
     it. Otherwise no signal, or only a row count anomaly, is no_action; the rest escalates, unless all of it can
     be healed.
     """
-    kinds = incidents_of(signals).groupBy(run).agg(F.array_sort(F.collect_set("kind")).alias("found"))
+    place = F.col("seq") if "seq" in signals.columns else F.array_position(F.array(*[F.lit(t) for t in INCIDENT]), F.col("trigger"))
+    # a row for each kind of a run, of which there are a few
+    kinds = incidents_of(signals).groupBy(run, "kind").agg(F.min(place).alias("at")).groupBy(run).agg(F.array_sort(F.collect_list(F.struct("at", "kind"))).alias("at"))
+    kinds = kinds.select(run, F.transform("at", lambda x: x["kind"]).alias("found"))
     j = runs.join(kinds, run, "left").withColumn("found", F.coalesce("found", F.array().cast("array<string>")))
     ok, broken = F.col("verdict") == "ok", F.array_contains("found", "natural_key_broken")
     grave = F.array_remove("found", "row_count_anomaly")
     heals = F.lit(can_heal) & ~F.arrays_overlap(grave, F.array(*[F.lit(k) for k in ESCALATE_ONLY]))
     own = F.array(_literal(F.col("verdict"), {k: v for k, v in INCIDENT.items()}))
     outcome = F.when(~ok, F.when(broken, "escalated").otherwise("no_action")).when(F.size(grave) == 0, "no_action").when(heals, "auto_healed").otherwise("escalated")
-    listed = F.when(ok, F.col("found")).when(broken, F.array_sort(F.concat(own, F.array(F.lit("natural_key_broken"))))).otherwise(own)
+    listed = F.when(ok, F.col("found")).when(broken, F.concat(own, F.array(F.lit("natural_key_broken")))).otherwise(own)
     return j.select(run, outcome.alias("outcome"), F.array_join(listed, ",").alias("kinds"))

@@ -20,18 +20,31 @@ def seed_list(seeds: DataFrame, pattern: str, most: int | None = None) -> DataFr
     return _capped(seeds.filter(F.col("url").rlike(pattern)).select("url", "seq"), ["seq"], most)
 
 
-def paginate(index_pages: DataFrame, selector: str, pattern: str, most: int | None = None, last_page: int | None = 5000) -> DataFrame:
+def paginate(index_pages: DataFrame, selector: str, pattern: str, most: int | None = None, pages_walked: int | None = 5000, start: int | None = None) -> DataFrame:
     """(url, n, pos): links of ``index_pages`` (n, url, http_status, html), page by page.
 
-    The walk ends before the first page that is no success or brings no new link. A link counts where it is first
-    seen.
+    The walk begins at page ``start``, the first there is by itself, and goes over at most ``pages_walked`` pages. It
+    ends before the first page that is missing, no success, refused by robots (``allowed`` is false, if there is
+    such a column) or brings no new link. A link counts where it is first seen.
     """
-    pages = index_pages if last_page is None else index_pages.filter(F.col("n") <= last_page)
+    if start is not None:
+        index_pages = index_pages.filter(F.col("n") >= start)
+    if "allowed" in index_pages.columns:
+        index_pages = index_pages.withColumn("http_status", F.when(F.coalesce("allowed", F.lit(True)), F.col("http_status")).otherwise(403))
+    first = F.lit(start) if start is not None else F.col("first")
+    begin = index_pages.agg(F.min("n").alias("first")).select(first.alias("first"))
+    pages = index_pages.crossJoin(F.broadcast(begin))  # one row: where the walk begins
+    if pages_walked is not None:
+        pages = pages.filter(F.col("n") < F.col("first") + pages_walked)
     good = pages.filter(F.col("http_status").between(200, 299))
     found = good.select("n", F.posexplode(links(F.col("url"), F.col("html"), selector)).alias("pos", "url")).filter(F.col("url").rlike(pattern))
     first = found.withColumn("_k", F.row_number().over(Window.partitionBy("url").orderBy("n", "pos"))).filter("_k = 1").drop("_k")
     new = first.groupBy("n").agg(F.count(F.lit(1)).alias("new"))
-    ends = pages.join(new, "n", "left").filter(~F.col("http_status").between(200, 299) | F.col("new").isNull()).agg(F.min("n").alias("stop"))
+    bad = pages.join(new, "n", "left").filter(~F.coalesce(F.col("http_status").between(200, 299), F.lit(False)) | F.col("new").isNull()).select(F.col("n").alias("stop"))
+    # a page whose next number is not there ends the walk, too
+    gap = pages.select((F.col("n") + 1).alias("n")).join(pages.select("n"), "n", "left_anti").select("n")
+    late = pages.select("first").distinct().join(pages.select(F.col("n").alias("first")), "first", "left_anti")
+    ends = bad.union(gap).union(late).agg(F.min("stop").alias("stop"))
     walked = first.crossJoin(F.broadcast(ends)).filter(F.col("stop").isNull() | (F.col("n") < F.col("stop")))  # one row: where the walk ends
     return _capped(walked, ["n", "pos"], most)
 

@@ -23,9 +23,10 @@ class Applied:
 def classified(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """``incoming`` (entity, natural_key, seq, payload_hash, ...) with ``change``: inserted, unchanged, versioned or duplicate.
 
-    Of rows with one key the first by ``seq`` counts; the others are duplicates, whatever they hold.
+    Of rows with one key the first by ``seq`` counts, of equal ones that with the least payload_hash; the others are
+    duplicates, whatever they hold.
     """
-    first = F.row_number().over(Window.partitionBy(*KEYS).orderBy("seq"))
+    first = F.row_number().over(Window.partitionBy(*KEYS).orderBy("seq", "payload_hash"))
     before = current.select(*KEYS, F.col("payload_hash").alias("_hash"), F.lit(True).alias("_known"))
     j = incoming.withColumn("_n", first).join(before, KEYS, "left")
     change = F.when(F.col("_n") > 1, "duplicate").when(F.col("_known").isNull(), "inserted").when(F.col("_hash").eqNullSafe(F.col("payload_hash")), "unchanged").otherwise("versioned")
@@ -55,8 +56,11 @@ def touch_last_seen(current: DataFrame, keys: DataFrame, at: Column) -> DataFram
 
 
 def build_history(observations: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
-    """The whole history from observations: (keys, value, valid_from, valid_to, last_seen_at), one row for each stretch of equal values."""
-    by_time = Window.partitionBy(*keys).orderBy(at)
+    """The whole history from observations: (keys, value, valid_from, valid_to, last_seen_at), one row for each stretch of equal values.
+
+    Observations of one key at one time stand in the order of their values, null first.
+    """
+    by_time = Window.partitionBy(*keys).orderBy(at, value)
     changed = observations.withColumn("_new", F.row_number().over(by_time).eqNullSafe(1) | ~F.lag(value).over(by_time).eqNullSafe(F.col(value)))
     numbered = changed.withColumn("_version", F.sum(F.col("_new").cast("int")).over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
     stretch = numbered.groupBy(*keys, "_version").agg(F.first(value).alias(value), F.min(at).alias("valid_from"), F.max(at).alias("last_seen_at"))

@@ -40,8 +40,8 @@ def upsert_incidents(open_incidents: DataFrame, reports: DataFrame) -> DataFrame
 
 
 def pack_versions(specs: DataFrame, keys: list[str], seq: str, spec: str) -> DataFrame:
-    """Specs as they were submitted, numbered: one equal to the one before it makes no version."""
-    order = Window.partitionBy(*keys).orderBy(seq)
+    """Specs as they were submitted, numbered: one equal to the one before it makes no version. Specs with one ``seq`` stand in their own order."""
+    order = Window.partitionBy(*keys).orderBy(seq, spec)
     changed = specs.filter(F.col(spec).isNotNull()).withColumn("_before", F.lag(spec).over(order)).filter(~F.col(spec).eqNullSafe(F.col("_before"))).drop("_before")
     return changed.withColumn("version", F.row_number().over(order))
 

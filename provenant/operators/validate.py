@@ -34,18 +34,18 @@ def lax_cast(c: Column, kind: str) -> Column:
 def validate(rows: DataFrame, contract: Contract) -> DataFrame:
     """``rows`` with ``accepted``, ``reasons`` and, for each field, a typed column ``<field>_typed``.
 
-    A missing natural key rejects at once; then every field that can't be cast or doesn't match its pattern does,
-    with a reason each. Values out of range or enum are reasons that don't reject. Patterns hold from the start
-    of a value.
+    A missing natural key rejects at once; then every field that can't be cast does, with a reason each. Where all
+    can be cast, the first text field, in the contract's order, whose pattern fails does, with the one reason. Values out
+    of range or enum are reasons that don't reject. Patterns hold from the start of a value.
     """
     missing = reduce(lambda a, b: a | b, [empty(F.col(k)) for k in contract.natural_key])
     typed = {f.name: F.when(~empty(F.col(f.name)), lax_cast(F.col(f.name), f.type)) for f in contract.fields}
 
     def bad(f: Field) -> Column:
-        wrong = ~empty(F.col(f.name)) & typed[f.name].isNull()
-        if f.pattern:
-            wrong = wrong | F.coalesce(~typed[f.name].cast("string").rlike(f"^(?:{f.pattern})"), F.lit(False))
-        return F.when(wrong, F.lit(f"type_error:{f.name}"))
+        return F.when(~empty(F.col(f.name)) & typed[f.name].isNull(), F.lit(f"type_error:{f.name}"))
+
+    def unlike(f: Field) -> Column:
+        return F.when(~typed[f.name].cast("string").rlike(f"^(?:{f.pattern})"), F.lit(f"type_error:{f.name}"))
 
     def soft(f: Field) -> list[Column]:
         out = []
@@ -55,7 +55,9 @@ def validate(rows: DataFrame, contract: Contract) -> DataFrame:
             out.append(F.when(~typed[f.name].isin(*f.enum), F.lit(f"enum_violation:{f.name}")))
         return out
 
-    hard = F.array_compact(F.array(*[bad(f) for f in contract.fields]))
+    casts = F.array_compact(F.array(*[bad(f) for f in contract.fields]))
+    pattern = F.coalesce(*[unlike(f) for f in contract.fields if f.pattern and f.type == "string"], F.lit(None).cast("string"))
+    hard = F.when(F.size(casts) > 0, casts).when(pattern.isNotNull(), F.array(pattern)).otherwise(F.array().cast("array<string>"))
     gentle = [c for f in contract.fields for c in soft(f)]
     gentle = F.array_compact(F.array(*gentle)) if gentle else F.array().cast("array<string>")
     reasons = F.when(missing, F.array(F.lit("natural_key_missing"))).when(F.size(hard) > 0, hard).otherwise(gentle)

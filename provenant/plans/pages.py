@@ -13,13 +13,13 @@ from provenant.plans.runs import table
 def seed_list_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page URLs without their query as seeds, so that some repeat."""
     seeds = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "[?#].*$", "").alias("url"), F.col("page_id").alias("seq"))
-    return discovery.seed_list(seeds, r"^https?://[^/]+/(en|fr)/", most=40)
+    return discovery.seed_list(seeds, r"^https?://[^/]+/(en|fr)/")
 
 
 def paginate_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links in the navigation of the pages, walked by page id until a page brings nothing new."""
     index = table(spark, sf_dir, "pages").select(F.col("page_id").alias("n"), "url", F.lit(200).alias("http_status"), "html")
-    return discovery.paginate(index, "nav li a", ".", last_page=None)
+    return discovery.paginate(index, "nav li a", ".", pages_walked=None)
 
 
 def css_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,7 +96,7 @@ def endpoint_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (seed_list_urls, paginate_links, css_fields, css_rows, extract_chain, inline_json_rows, jsonld_first, block_detect, soft_404, strip_text, fetch_outcome, retry_attempts, endpoint_urls)}
 
 SQL = {
-    "seed_list_urls": """SELECT url, min(page_id) AS seq FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages) WHERE regexp_matches(url, '^https?://[^/]+/(en|fr)/') GROUP BY url ORDER BY seq LIMIT 40""",
+    "seed_list_urls": """SELECT url, min(page_id) AS seq FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages) WHERE regexp_matches(url, '^https?://[^/]+/(en|fr)/') GROUP BY url""",
     "css_rows": """SELECT page_id, i - 1 AS pos, regexp_extract(m[i], 'href="([^"]*)"', 1) AS href, regexp_extract(m[i], '>([^<]*)</a>', 1) AS text
 FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a .*?</a></li>') AS m FROM pages))""",
     "inline_json_rows": """SELECT page_id, 0 AS pos, 'a; b ]' AS text, 'p' || page_id AS author, '["x", "y"]' AS tags FROM pages UNION ALL SELECT page_id, 1, 'c', 'z', NULL FROM pages""",

@@ -124,7 +124,7 @@ def pack_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def activate_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = pack_versions(spark, sf_dir).filter("version <= 4").withColumn("status", F.when(F.col("version") == 1, "active").otherwise("draft"))
+    v = pack_versions(spark, sf_dir).withColumn("status", F.when(F.col("version") == 1, "active").otherwise("draft"))
     return tables.activate(v, ["p_brand"], F.lit(3)).select("p_brand", "version", "status")
 
 
@@ -192,7 +192,7 @@ def natural_key_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def natural_key_16(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = F.concat_ws(scalars.UNIT, F.col("lang"), F.substring("text", 1, 200))
+    parts = F.concat_ws(scalars.UNIT, F.col("lang"), "text")
     return table(spark, sf_dir, "documents").select("doc_id", scalars.natural_key_16(parts).alias("key"))
 
 
@@ -262,7 +262,7 @@ SELECT coalesce(f.pack_id, o.pack_id) AS pack_id, coalesce(f.kind, o.kind) AS ki
 FROM fresh f FULL JOIN opened o ON f.pack_id = o.pack_id AND f.kind = o.kind AND f.field IS NOT DISTINCT FROM o.field""",
     "pack_versions": f"WITH {_VERSIONS} SELECT * FROM versions",
     "activate_pack": f"""WITH {_VERSIONS} SELECT p_brand, version, CASE WHEN version = 3 THEN 'active' WHEN version = 1 THEN CASE WHEN max(version) OVER (PARTITION BY p_brand) >= 3 THEN 'retired' ELSE 'active' END ELSE 'draft' END AS status
-FROM versions WHERE version <= 4""",
+FROM versions""",
     "gold_view": f"""WITH {_RECORDS} SELECT n_name AS domain, n_regionkey AS version, natural_key, s_name AS name, CASE WHEN regexp_matches(price, '^-?[0-9]+(\\.[0-9]+)?$') THEN price::DOUBLE END AS price, 1 AS valid_from
 FROM records JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 7 NOT IN (0, 1) AND s_suppkey % 10 <> 9""",
     "gold_quarantine": f"WITH {_RECORDS} SELECT natural_key, quality FROM records WHERE s_suppkey % 7 IN (0, 1)",
@@ -274,7 +274,7 @@ FROM records JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 7 NOT IN
   CASE p_partkey % 8 WHEN 0 THEN 'GBP' WHEN 1 THEN 'CHF' WHEN 2 THEN 'EUR' WHEN 3 THEN 'USD' WHEN 6 THEN 'EUR' END AS currency FROM part""",
     "int_from_text": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN -p_size END::BIGINT AS n FROM part",
     "natural_key_encode": "SELECT l_orderkey, l_linenumber, CASE l_linenumber WHEN 1 THEN l_orderkey || '|a\\|b\\\\c' WHEN 2 THEN NULL ELSE l_orderkey || '|' || l_linestatus END AS key FROM lineitem",
-    "natural_key_16": f"SELECT doc_id, substring(sha256(trim(regexp_replace(nfc_normalize(lang || chr(31) || substring(text, 1, 200)), '{_SPACE}+', ' ', 'g'))), 1, 16) AS key FROM documents",
+    "natural_key_16": f"SELECT doc_id, substring(sha256(trim(regexp_replace(nfc_normalize(lang || chr(31) || text), '{_SPACE}+', ' ', 'g'))), 1, 16) AS key FROM documents",
     "sha256_slug": "SELECT doc_id, sha256(nfc_normalize(text)) AS slug FROM documents",
     "canonical_payload_hash": """WITH c AS (SELECT p_partkey, '{"big":' || (p_size > 25)::VARCHAR || ',"name":"' || p_name || '\\"\\n\\\\","price":' || regexp_replace(p_retailprice::DECIMAL(12, 3)::VARCHAR, '\\.?0+$', '') || ',"size":' || p_size || '}' AS canonical FROM part)
 SELECT p_partkey, canonical, sha256(canonical) AS hash FROM c""",

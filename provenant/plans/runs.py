@@ -80,7 +80,7 @@ DAILY_PROFILE = f"""WITH {PROFILES}, kinds AS (
 )
 SELECT j.day, rows_considered, fill_rate_k, range_rate_value, enum_event_type, duplicate_rate, baseline_runs, median_14d, deviation,
   CASE WHEN (SELECT count(*) FROM kinds k WHERE k.day = j.day AND kind <> 'row_count_anomaly') = 0 THEN 'no_action' ELSE 'escalated' END AS outcome,
-  coalesce((SELECT string_agg(DISTINCT kind, ',' ORDER BY kind) FROM kinds k WHERE k.day = j.day), '') AS kinds
+  coalesce((SELECT string_agg(kind, ',' ORDER BY list_position(['fill_rate_drop', 'row_count_anomaly', 'range_violation', 'enum_violation', 'natural_key_broken', 'duplicate_rate_anomaly'], kind)) FROM (SELECT DISTINCT day, kind FROM kinds) k WHERE k.day = j.day), '') AS kinds
 FROM judged j"""
 
 
@@ -219,7 +219,7 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 VALIDATED = """texts AS (
   SELECT c_custkey, c_name, c_acctbal::DECIMAL(12, 2) AS c_acctbal, CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment ELSE '' END AS seg, CASE c_custkey % 7 WHEN 0 THEN 'n/a' WHEN 1 THEN c_custkey || '.0' WHEN 2 THEN '' ELSE c_custkey::VARCHAR END AS code FROM customer
 ), hard AS (
-  SELECT *, seg = '' AS missing, concat_ws(',', CASE WHEN NOT regexp_matches(c_name, '^Customer#0000[0-9]+$') THEN 'type_error:c_name' END, CASE WHEN code = 'n/a' THEN 'type_error:code' END) AS wrong,
+  SELECT *, seg = '' AS missing, CASE WHEN code = 'n/a' THEN 'type_error:code' WHEN NOT regexp_matches(c_name, '^Customer#0000[0-9]+$') THEN 'type_error:c_name' ELSE '' END AS wrong,
     concat_ws(',', CASE WHEN c_acctbal < 0 OR c_acctbal > 9000 THEN 'range_violation:c_acctbal' END, CASE WHEN seg NOT IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD') THEN 'enum_violation:c_mktsegment' END) AS soft FROM texts
 ), validated AS (
   SELECT c_custkey::VARCHAR AS c_custkey, NOT missing AND wrong = '' AS accepted, CASE WHEN missing THEN 'natural_key_missing' WHEN wrong <> '' THEN wrong ELSE soft END AS reasons, CASE WHEN code NOT IN ('n/a', '') THEN replace(code, '.0', '')::BIGINT END AS code FROM hard
@@ -282,8 +282,8 @@ UNION ALL SELECT 'range_rate', outside / n, outside / n <= 0.05 FROM one UNION A
     "classify_outcome": f"""WITH {USER_DAYS}, own AS (
   SELECT user_id || '/' || day AS run, verdict, CASE verdict WHEN 'soft_404' THEN 'unreachable' WHEN 'quota_exhausted' THEN 'healer_exhausted' ELSE verdict END AS mine, n403 > 0 AS broken, n429 > 0 AS dup, pages > 2 AS anomaly FROM verdicts
 ) SELECT run, CASE WHEN verdict <> 'ok' THEN CASE WHEN broken THEN 'escalated' ELSE 'no_action' END WHEN NOT broken AND NOT dup THEN 'no_action' WHEN NOT broken THEN 'auto_healed' ELSE 'escalated' END AS outcome,
-  CASE WHEN verdict <> 'ok' THEN CASE WHEN broken THEN array_to_string(list_sort([mine, 'natural_key_broken']), ',') ELSE mine END
-  ELSE concat_ws(',', CASE WHEN dup THEN 'duplicate_rate_anomaly' END, CASE WHEN broken THEN 'natural_key_broken' END, CASE WHEN anomaly THEN 'row_count_anomaly' END) END AS kinds FROM own""",
+  CASE WHEN verdict <> 'ok' THEN CASE WHEN broken THEN mine || ',natural_key_broken' ELSE mine END
+  ELSE concat_ws(',', CASE WHEN anomaly THEN 'row_count_anomaly' END, CASE WHEN broken THEN 'natural_key_broken' END, CASE WHEN dup THEN 'duplicate_rate_anomaly' END) END AS kinds FROM own""",
     "status_histogram": f"WITH {EVENT_ROWS} SELECT day, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS histogram FROM (SELECT day, event_type, count(*) AS n FROM rows GROUP BY 1, 2) GROUP BY day",
     "validate_rows": f"WITH {VALIDATED} SELECT c_custkey, accepted, reasons, CASE WHEN accepted THEN code END AS code FROM validated",
     "reject_histogram": f"WITH {VALIDATED} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM validated WHERE NOT accepted) GROUP BY reason",

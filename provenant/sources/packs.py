@@ -11,8 +11,8 @@ from provenant.functions.scalars import check_chain
 from provenant.operators.contract import Contract, Field
 
 # Sites that no pack may name, and keys that hold secrets.
-DENIED = frozenset({"amazon", "ebay", "facebook", "instagram", "linkedin", "tiktok", "twitter"})
-SECRET = re.compile(r"(?i)pass(word|wd)?|secret|token|api[_-]?key|credential|cookie|authorization")
+DENIED = frozenset({"amazon", "linkedin", "instagram", "facebook", "ticketmaster", "eventim", "stubhub"})
+SECRET = re.compile(r"authorization|auth(?![a-zA-Z])|login|password|cookie|session|credential|bearer|api_key", re.IGNORECASE)
 
 
 class PackError(ValueError):

@@ -68,7 +68,7 @@ def test_selectors():
 
 
 def test_json_in_pages():
-    page = 'x; const data = [{"a": "] }", "b": [1, 2]}]; more'
+    page = '<!-- var data = [1] --><p title="var data = [2]">let data = [3]</p><script>y</script><script>x; const data = [{"a": "] }", "b": [1, 2]}]; more</script><script>var data = [4]</script>'
     assert markup.variable_json(page, "data") == [{"a": "] }", "b": [1, 2]}]
     with pytest.raises(ValueError):
         markup.variable_json(page, "other")

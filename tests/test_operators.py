@@ -6,8 +6,9 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
-from provenant.operators import classify, detect, discovery, quality, replay, responses, scd2, tables, validate
+from provenant.operators import classify, detect, discovery, history, quality, replay, responses, scd2, tables, validate
 from provenant.operators.contract import Contract, Field
+from provenant.plans import histories
 from provenant.plans import pages as page_plans
 
 CURRENT = "entity string, natural_key string, payload_hash string, snapshot_id string, valid_from int, last_seen_at int"
@@ -38,7 +39,7 @@ def test_validation_reasons(spark):
     c = Contract((Field("id", pattern="[a-f0-9]{4}$"), Field("n", "integer", low=0, high=9), Field("b", "boolean"), Field("k", enum=("x", "y"))), ("id",))
     rows = [("ab12", "5.0", "yes", "x"), ("", "5", "yes", "x"), ("zz", "5.5", "2", "x"), ("ab12", "12", "TRUE", "z"), ("ab12", None, None, None)]
     got = validate.validate(spark.createDataFrame(rows, "id string, n string, b string, k string"), c).collect()
-    assert [(r.accepted, r.reasons) for r in got] == [(True, []), (False, ["natural_key_missing"]), (False, ["type_error:id", "type_error:n", "type_error:b"]), (True, ["range_violation:n", "enum_violation:k"]), (True, [])]
+    assert [(r.accepted, r.reasons) for r in got] == [(True, []), (False, ["natural_key_missing"]), (False, ["type_error:n", "type_error:b"]), (True, ["range_violation:n", "enum_violation:k"]), (True, [])]
     assert got[0].n_typed == 5 and got[0].b_typed is True
 
 
@@ -132,9 +133,51 @@ def test_all_pages_are_extracted(spark, tmp_path):
 
 
 def test_links_are_walked_beyond_page_200(spark, tmp_path):
-    ids = [*range(1, 261), 5001]
+    ids = range(1, 5003)  # without a gap, which would end the walk
     html = "<html><body><nav><ul>{}</ul></nav></body></html>"
     rows = [(i, f"http://a/{i}", html.format("".join(f'<li><a href="/{i}/{k}">x</a></li>' for k in range(3)))) for i in ids]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = [(r.n, r.url) for r in page_plans.paginate_links(spark, str(tmp_path)).collect()]
     assert got == [(i, f"http://a/{i}/{k}") for i in ids for k in range(3)]
+    spark.createDataFrame([*rows[:3], *rows[4:6]], "page_id long, url string, html string").write.parquet(f"{tmp_path}/gap/pages.parquet")
+    assert [r.n for r in page_plans.paginate_links(spark, f"{tmp_path}/gap").collect()] == [1, 1, 1, 2, 2, 2, 3, 3, 3]
+
+
+def test_casts_reject_before_patterns(spark):
+    fields = (Field("k", required=True, pattern="[a-z]+$"), Field("m", pattern="[0-9]+$"), Field("n", "integer"), Field("p", "integer", pattern="9"))
+    rows = [("a", "1", "2", "3"), ("A", "x", "y", "9"), ("A", "x", "1", "9"), ("a", "x", "1", None), ("", "x", "y", "z")]
+    got = validate.validate(spark.createDataFrame(rows, "k string, m string, n string, p string"), Contract(fields, ("k",))).select("accepted", "reasons").collect()
+    assert [tuple(r) for r in got] == [(True, []), (False, ["type_error:n"]), (False, ["type_error:k"]), (False, ["type_error:m"]), (False, ["natural_key_missing"])]
+
+
+def test_kinds_stand_where_they_are_first_seen(spark):
+    runs = spark.createDataFrame([("r", "ok"), ("s", "blocked")], "run string, verdict string")
+    signals = spark.createDataFrame([("r", "duplicate_rate"), ("r", "row_count_anomaly"), ("r", "fill_rate_below_declared"), ("s", "natural_key_missing"), ("s", "duplicate_rate")], "run string, trigger string")
+    got = {r.run: (r.outcome, r.kinds) for r in classify.classify(runs, signals, "run").collect()}
+    assert got == {"r": ("escalated", "fill_rate_drop,row_count_anomaly,duplicate_rate_anomaly"), "s": ("escalated", "blocked,natural_key_broken")}
+
+
+def test_a_walk_ends_where_a_page_is_missing(spark):
+    page = lambda n: f'<a href="/x{n}">x</a>'
+    t = spark.createDataFrame([(n, "http://a/", 200, page(n)) for n in (1, 2, 4)], "n int, url string, http_status int, html string")
+    urls = lambda **k: [r.url[-1] for r in discovery.paginate(t, "a", ".", **k).collect()]
+    assert urls() == ["1", "2"] and urls(start=2) == ["2"] and urls(start=4) == ["4"] and urls(start=3) == [] and urls(pages_walked=1) == ["1"]
+    assert urls(start=0) == []
+    refused = t.withColumn("allowed", F.col("n") < 2)
+    assert [r.url[-1] for r in discovery.paginate(refused, "a", ".").collect()] == ["1"]
+
+
+def test_windows_are_days():
+    assert [history.window_days(x) for x in ("7d", "30d", "x", "3w", "d", "1_0d")] == [7, 30, 7, 7, 7, 10]
+
+
+@pytest.mark.parametrize("name", sorted(histories.QUERIES))
+def test_histories_agree_with_their_sql(spark, name):
+    import duckdb
+
+    con, home = duckdb.connect(), "/root/testdata/sf0.001"
+    for t in ("orders", "customer", "lineitem", "part", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{home}/{t}.parquet')")
+    got = histories.QUERIES[name](spark, home)
+    want = con.sql(f"SELECT {', '.join(got.columns)} FROM ({histories.SQL[name]})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
