@@ -1,4 +1,8 @@
-"""The queries of this subpackage, by name, and their SQL."""
+"""The queries of this subpackage, by name, and their SQL.
+
+Each reads its whole table. What nulls, empty and very long texts, ties, repeated rows, empty tables and further columns
+give stands at the operator that the query calls.
+"""
 
 from __future__ import annotations
 
