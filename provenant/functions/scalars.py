@@ -120,6 +120,27 @@ def payload_hash(canonical: Column) -> Column:
     return F.sha2(canonical, 256)
 
 
+def round6(x: Column) -> Column:
+    """Six decimals, half to even."""
+    return F.bround(x, 6)
+
+
+def json_value(x: Column, kind: str) -> Column:
+    """A value as JSON text: numbers that are whole, booleans and texts as they are, all else (decimals, times) as a text; null for null."""
+    if kind in ("integer", "boolean"):
+        return x.cast("string")
+    text = F.date_format(x, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") if kind == "datetime" else x.cast("string")
+    if kind == "datetime":
+        text = F.regexp_replace(text, r"\.000000$", "")
+    return json_string(text)
+
+
+def json_safe(fields: dict[str, Column], kinds: dict[str, str]) -> Column:
+    """A JSON object in the order of ``fields``, without those that are null."""
+    members = [F.concat(json_string(F.lit(name)), F.lit(":"), json_value(c, kinds[name])) for name, c in fields.items()]
+    return F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*members)), ","), F.lit("}"))
+
+
 def domain_of(url: Column) -> Column:
     """Lower-case host without port and user; null if there is none."""
     return F.lower(F.try_parse_url(url, F.lit("HOST")))

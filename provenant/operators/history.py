@@ -103,6 +103,12 @@ def blob_bodies(hashes: DataFrame, blobs: DataFrame) -> DataFrame:
     return found.select("content_hash", "body", (F.sha2(F.col("body").cast("binary"), 256) == F.col("content_hash")).alias("intact"))
 
 
+def golden_snapshots(golden: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Of ``golden`` (content_hash, ...) what is no golden row of ``snapshots`` (content_hash, is_golden) yet, each hash once, as golden rows of a replay."""
+    have = snapshots.filter("is_golden").select("content_hash")
+    return golden.dropDuplicates(["content_hash"]).join(have, "content_hash", "left_anti").withColumns({"is_golden": F.lit(True), "trigger": F.lit("replay")})
+
+
 def metric_families(runs: DataFrame) -> DataFrame:
     """(run_id, name, label, value) of runs: rows extracted, duration in seconds, and pages by status (``pages``: a map)."""
     one = lambda name, label, value: F.struct(F.lit(name).alias("name"), label.cast("string").alias("label"), value.cast("double").alias("value"))

@@ -10,8 +10,10 @@ def replay(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(fixture, compared, differing, passed) for each fixture of ``expected`` (fixture, row_ix, field, value, required).
 
     ``actual`` has (fixture, row_ix, field, value). Every required value must be the same, nulls included, and
-    there must be as many rows. A fixture whose one expected row has no field (all nulls) expects no rows.
+    there must be as many rows. A fixture whose one expected row has no field (all nulls) expects no rows: rows that
+    validation rejects (``valid`` is false, if there is such a column) don't count there.
     """
+    counts = F.col("valid") if "valid" in actual.columns else F.lit(True)
     keys = ["fixture", "row_ix", "field"]
     j = expected.join(actual.select(*keys, F.col("value").alias("_got")), keys, "left")
     fields = j.groupBy("fixture").agg(
@@ -19,9 +21,9 @@ def replay(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.count_if(F.col("required") & ~F.col("value").eqNullSafe(F.col("_got"))).alias("differing"),
         F.count_distinct(F.when(F.col("field").isNotNull(), F.col("row_ix"))).alias("_rows"),
     )
-    rows = actual.groupBy("fixture").agg(F.count_distinct("row_ix").alias("_got_rows"))
+    rows = actual.groupBy("fixture").agg(F.count_distinct("row_ix").alias("_got_rows"), F.count_distinct(F.when(counts, F.col("row_ix"))).alias("_valid_rows"))
     out = fields.join(rows, "fixture", "left")
-    same = F.col("_rows") == F.coalesce("_got_rows", F.lit(0))
+    same = F.col("_rows") == F.coalesce(F.when(F.col("_rows") == 0, F.col("_valid_rows")).otherwise(F.col("_got_rows")), F.lit(0))
     return out.select("fixture", "compared", "differing", ((F.col("differing") == 0) & same).alias("passed"))
 
 

@@ -1,6 +1,6 @@
 """The queries over the driver's tables, by name, and the same in SQL."""
 
-from provenant.plans import histories, pages, records, runs
+from provenant.plans import checks, histories, pages, records, runs
 
-QUERIES = runs.QUERIES | records.QUERIES | pages.QUERIES | histories.QUERIES
-SQL = runs.SQL | records.SQL | pages.SQL | histories.SQL
+QUERIES = runs.QUERIES | records.QUERIES | pages.QUERIES | histories.QUERIES | checks.QUERIES
+SQL = runs.SQL | records.SQL | pages.SQL | histories.SQL | checks.SQL

@@ -14,6 +14,10 @@ from provenant.operators.contract import Contract, Field
 DENIED = frozenset({"amazon", "linkedin", "instagram", "facebook", "ticketmaster", "eventim", "stubhub"})
 SECRET = re.compile(r"authorization|auth(?![a-zA-Z])|login|password|cookie|session|credential|bearer|api_key", re.IGNORECASE)
 
+# What a pack must answer before its source is read, and the terms that allow it.
+ANSWERS = ("tos_url", "tos_verdict", "tos_reviewed_at", "reviewed_by", "robots_checked_at", "public_content", "personal_data")
+VERDICTS = ("permits", "silent")
+
 
 class PackError(ValueError):
     """A pack that can't be used, and why."""
@@ -44,9 +48,28 @@ def _secrets(value: Any, where: str = "") -> list[str]:
     return [x for v in value for x in _secrets(v, where)] if isinstance(value, list) else []
 
 
+def _compliance(answers: Any) -> list[str]:
+    """What is wrong with a pack's answers on terms, robots and personal data; a pack without them is not admitted."""
+    if not isinstance(answers, dict):
+        return ["compliance"]
+    wrong = [f"compliance:{name}" for name in ANSWERS if answers.get(name) in (None, "")]
+    if answers.get("tos_verdict") not in VERDICTS and "compliance:tos_verdict" not in wrong:
+        wrong.append("compliance:tos_verdict")
+    if answers.get("personal_data") and not str(answers.get("legal_basis") or "").strip():
+        wrong.append("compliance:legal_basis")
+    return wrong
+
+
+def css_fields(document: dict[str, Any]) -> set[str]:
+    """Names of all fields that any css source of a pack document has."""
+    return {name for s in document.get("extract", {}).get("sources", []) if s.get("kind") == "css" for name in s.get("fields", {})}
+
+
 def check(document: dict[str, Any]) -> list[str]:
     """What is wrong with a pack document, all of it."""
-    wrong = _secrets(document)
+    wrong = _secrets(document) + _compliance(document.get("compliance"))
+    if "respect_robots" in document.get("fetch", {}):
+        wrong.append("fetch:respect_robots")  # robots can't be switched off
     labels = str(document.get("domain", "")).lower().encode("idna").decode().split(".")
     wrong += [f"denied:{x}" for x in labels if x in DENIED]
     found = document.get("discovery", {})

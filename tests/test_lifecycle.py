@@ -17,6 +17,7 @@ BOOK = {
         "fields": {"title": {"type": "string", "required": True}, "price": {"type": "decimal", "required": True, "sane_range": [0.01, 100]}, "currency": {"type": "string", "enum": ["GBP"], "derived_from": {"source": "price", "transform": "currency_from_symbol"}}, "upc": {"type": "string", "required": True, "pattern": "^[a-f0-9]{4}$"}},
     },
     "quality": {"min_rows_per_run": 5},
+    "compliance": {"tos_url": "https://books.example/terms", "tos_verdict": "silent", "tos_reviewed_at": "2026-01-01", "reviewed_by": "us", "robots_checked_at": "2026-01-01", "public_content": True, "personal_data": False},
 }
 RECORDS = "entity string, natural_key string, payload_hash string, snapshot_id string, valid_from int, last_seen_at int"
 
