@@ -62,8 +62,9 @@ def parse_currency(x: Column) -> Column:
     currency = reduce(lambda c, s: c.when(x.contains(s[0]), s[1]), SYMBOLS[1:], F.when(x.contains(SYMBOLS[0][0]), SYMBOLS[0][1]))
     bare = reduce(lambda c, s: F.replace(c, F.lit(s[0]), F.lit("")), SYMBOLS, x)
     bare = F.translate(bare, NO_BREAK + " '", "")
-    number = _separated(bare)
-    amount = F.when(number.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), number.try_cast("decimal(38,18)"))
+    # arrays of one, so that each step is computed once and generated code stays small
+    number = F.transform(F.array(bare), _separated)
+    amount = F.transform(number, lambda n: F.when(n.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"), n.try_cast("decimal(38,18)")))[0]
     return F.when(currency.isNotNull() & amount.isNotNull(), F.struct(amount.alias("amount"), currency.alias("currency")))
 
 

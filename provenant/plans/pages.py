@@ -97,6 +97,14 @@ QUERIES = {f.__name__: f for f in (seed_list_urls, paginate_links, css_fields, c
 
 SQL = {
     "seed_list_urls": """SELECT url, min(page_id) AS seq FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages) WHERE regexp_matches(url, '^https?://[^/]+/(en|fr)/') GROUP BY url""",
+    "paginate_links": """WITH m AS (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="([^"]+)"', 1) AS x FROM pages),
+l AS (SELECT page_id AS n, i - 1 AS pos, regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || x[i] AS url FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM m)),
+first AS (SELECT url, n, pos FROM l QUALIFY row_number() OVER (PARTITION BY url ORDER BY n, pos) = 1),
+ends AS (SELECT min(n) AS stop FROM (SELECT page_id AS n FROM pages WHERE page_id NOT IN (SELECT n FROM first) UNION ALL SELECT page_id + 1 FROM pages WHERE page_id + 1 NOT IN (SELECT page_id FROM pages)))
+SELECT url, n, pos::INT AS pos FROM first, ends WHERE n < stop""",
+    "css_fields": """SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS title, trim(regexp_replace(regexp_replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""",
+    "extract_chain": """SELECT page_id, 0 AS row_ix, nullif(h1, '') AS text, CASE WHEN h1 <> '' THEN 'page' END AS text_source, nullif(lang, '') AS lang, CASE WHEN lang <> '' THEN 'page' END AS lang_source
+FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages)""",
     "css_rows": """SELECT page_id, i - 1 AS pos, regexp_extract(m[i], 'href="([^"]*)"', 1) AS href, regexp_extract(m[i], '>([^<]*)</a>', 1) AS text
 FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a .*?</a></li>') AS m FROM pages))""",
     "inline_json_rows": """SELECT page_id, 0 AS pos, 'a; b ]' AS text, 'p' || page_id AS author, '["x", "y"]' AS tags FROM pages UNION ALL SELECT page_id, 1, 'c', 'z', NULL FROM pages""",
