@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bit_sliced, exact_dedup, line_dedup, mixing, ngram_join, pseudonyms, sentencepieces, sharding, token_files, toxicity
+from provenant.llm import bit_sliced, divergence, exact_dedup, filter_audit, line_dedup, main_text, mixing, ngram_join, pseudonyms, sentencepieces, sharding, token_files, toxicity
 from provenant.llm.shared import documents, scratch_dir
 
 
@@ -66,6 +66,18 @@ def op8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.removals(documents(spark, sf_dir), line_dedup.passage_dedup)
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+
+
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_sentencepiece": op2_sentencepiece,
@@ -78,6 +90,9 @@ QUERIES = {
     "op8_passages": op8_passages,
     "op9_token_files": op9_token_files,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_main_text": op12_main_text,
+    "op13_divergence": op13_divergence,
 }
 
 SQL = {
@@ -154,5 +169,58 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM (
   SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM scored
 ) WHERE rank <= 5
+""",
+    "op11_filter_audit": r"""
+WITH RECURSIVE orders AS (
+  SELECT '' AS o UNION ALL SELECT o || l.c FROM orders, (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c) l WHERE NOT contains(o, l.c)
+), w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), flags AS (
+  SELECT part, len(ws) < 200 AS a, 100 * len(list_distinct(ws)) < 50 * len(ws) AS b, 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * len(t) AS c,
+    regexp_matches(t, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e,
+    coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1), false) AS good, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS toxic
+  FROM w
+), masks AS (
+  SELECT part, concat(CASE WHEN a THEN 'A' ELSE '' END, CASE WHEN b THEN 'B' ELSE '' END, CASE WHEN c THEN 'C' ELSE '' END, CASE WHEN d THEN 'D' ELSE '' END, CASE WHEN e THEN 'E' ELSE '' END) AS mask,
+    count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM flags GROUP BY ALL
+), steps AS (
+  SELECT o, s, o[s] AS f, o[1:s - 1] AS earlier FROM orders, range(1, 6) t(s) WHERE len(o) = 5
+), seen AS (
+  SELECT part, o, s, f, mask, n, good, toxic, contains(mask, f) AS fails, mask <> translate(mask, earlier, '') AS gone FROM steps, masks
+), each AS (
+  SELECT part, o AS filter_order, s::INT AS step, f, sum(n) FILTER (WHERE NOT fails AND NOT gone) AS kept, sum(n) FILTER (WHERE fails AND NOT gone) AS removed, sum(n) FILTER (WHERE fails AND gone) AS redundant,
+    sum(n) FILTER (WHERE mask = f) AS unique_fails, sum(good) FILTER (WHERE fails AND NOT gone) AS good_lost, sum(toxic) FILTER (WHERE fails AND NOT gone) AS toxic_lost FROM seen GROUP BY ALL
+)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, (sum(coalesce(removed, 0)) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM each
+""",
+    "op13_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents
+), words AS (
+  SELECT r, lang, source, unnest(ts) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT r) >= 10
+), sizes AS (
+  SELECT lang, count(*) AS v, sum(total)::HUGEINT AS n FROM kept GROUP BY lang
+), groups AS (SELECT DISTINCT lang, source FROM d),
+counts AS (
+  SELECT lang, source, term, count(*) AS c FROM words JOIN kept USING (lang, term) GROUP BY ALL
+), dense AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, k.total, s.v, s.n AS all_n, sum(coalesce(c.c, 0)) OVER (PARTITION BY g.lang, g.source) AS n
+  FROM groups g JOIN kept k USING (lang) JOIN sizes s USING (lang) LEFT JOIN counts c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), p AS (
+  SELECT lang, source, term, c, (1 + (1000000000::HUGEINT * (c + 2)) // (n + 2 * v)::HUGEINT) AS p, (1 + (1000000000::HUGEINT * (total + 2)) // (all_n + 2 * v)) AS q FROM dense
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL) x
+    ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+), terms AS (
+  SELECT lang, source, term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p WHERE c > 0 AND p > q
+), parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', item, value FROM terms)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item COLLATE "binary") AS rank FROM parts
+) WHERE part = 'pair' OR rank <= 10
 """,
 }
