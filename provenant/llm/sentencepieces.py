@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from provenant.llm.shared import with_field
 
 MARK = "▁"
-#: Entries that a worker's cache of chunks, or of pairs, may hold (some 50 MB) before it starts anew.
-CACHE = 150_000
+#: Entries of a generation of a worker's cache of chunks, or of pairs (some 25 MB). When it is full, it becomes the
+#: old one and the old one goes; what is found in the old one moves to the young one, so frequent chunks stay.
+CACHE = 120_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
@@ -75,7 +76,8 @@ class PieceModel:
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.ids), None) for p in self.ids}
         self.chunked = not any("\n" in p and len(p) > 1 or re.search(f"[^{MARK}]{MARK}", p) for p in self.ids)
         self._pairs: dict[tuple[str, str], bool] = {}
-        self._known = _Chunks(self)
+        self._old_pairs: dict[tuple[str, str], bool] = {}
+        self._known = _Chunks(self, {})
 
     # ------------------------------------------------------------ encoding
 
@@ -95,9 +97,9 @@ class PieceModel:
 
     def compatible(self, left: str, right: str) -> bool:
         """Whether two pieces stay as they are when their characters are merged anew."""
-        fits = self.merged(left + right) == ([left, right] if left else [right])
-        if len(self._pairs) >= CACHE // 2:
-            self._pairs.clear()
+        fits = self._old_pairs.get((left, right))
+        if fits is None:
+            fits = self.merged(left + right) == ([left, right] if left else [right])
         self._pairs[left, right] = fits
         return fits
 
@@ -150,7 +152,10 @@ class PieceModel:
         text = MARK + text.replace(" ", MARK)
         known = self._known
         if len(known) >= CACHE:
-            known.clear()
+            known.old = {}  # two generations at most
+            known = self._known = _Chunks(self, known)
+        if len(self._pairs) >= CACHE:
+            self._old_pairs, self._pairs = self._pairs, {}
         return b"".join(map(known.__getitem__, _CHUNK.findall(text) if self.chunked else [text]))
 
     # ------------------------------------------------------------ decoding
@@ -198,12 +203,16 @@ class PieceModel:
 
 
 class _Chunks(dict):
-    def __init__(self, model: PieceModel):
+    """Ids of chunks: a young generation, and the one before it."""
+
+    def __init__(self, model: PieceModel, old: dict[str, bytes]):
         super().__init__()
-        self.model = model
+        self.model, self.old = model, old
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = self.model.chunk_ids(chunk)
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self.model.chunk_ids(chunk)
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
