@@ -13,7 +13,9 @@ partitions of the incidence rows), and adds up each pair's counts over the block
   do; so pairs with more differences than ``25 (n_a + n_b) / 175`` are dropped before any text is moved.
 * What is left is counted exactly on the whole texts.
 
-A word is its bytes, or a 128-bit digest if it is long, and a gram 128 bits made of its words (``shared.Words``).
+A word is its bytes, or a 128-bit digest if it is long, and a gram 128 bits made of its words (``shared.Words``): a
+hash, too. Both depend on a random key that a run draws, so unlike grams that agree can't be constructed, and by
+chance two of n agree with a probability of n^2 / 2^129.
 
 A group of thousands of near copies would still be millions of pairs, of which a component needs few. So the
 product is done in two rounds: first each row only with some hubs of each of its columns, which gives
@@ -25,7 +27,9 @@ been linked otherwise, so no link between components can be lost.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -49,21 +53,23 @@ STARS = 6
 TOP = 4
 #: Rows that make a cluster worth dense products, and rows of a block of it.
 HEAVY, BLOCK = 32, 512
+#: Grams of all sets of a block, about: longer texts make smaller blocks.
+GRAMS = 1 << 21
 
 
 #: For each lane and place in a gram, an odd factor.
 _FACTORS = mixed(np.arange(1, 2 * SIZE + 1, dtype=np.uint64)).reshape(2, SIZE) | np.uint64(1)
 
 
-def gram_sets(batch: pa.RecordBatch, both: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def gram_sets(batch: pa.RecordBatch, both: bool = True, key: bytes = b"") -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each row of (doc_id, text): its index in the batch and its distinct grams, 128 bits in two arrays.
 
     They are sorted by the first array, in which two grams of one set hardly ever agree; not ``both``: the second
-    array is left empty, and grams that agree in the first are one.
+    array is left empty, and grams that agree in the first are one. Sets compare only under the same ``key``.
     """
     base = 0
     for part in pieces(batch, "text"):
-        w = Words(part.column("text"))
+        w = Words(part.column("text"), key=key)
         lanes = []
         for lane in range(1 + both):
             v = w.values(lane)
@@ -150,14 +156,14 @@ class Sketches:
 _SIGNATURE = "doc_id long, n int, digest binary, sketch binary, part int"
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signatures(key: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (doc_id, n, digest of the set, sketch) for each document; at the end the task's counters, in slices."""
     names = [x.split()[0] for x in _SIGNATURE.split(", ")]
     counters = np.zeros(1 << COUNTER_BITS, np.int64)
     shift = np.uint64(64 - COUNTER_BITS)
     for batch in batches:
         n, digest, sketches = [], [], []
-        for _, x, y in gram_sets(batch):
+        for _, x, y in gram_sets(batch, key=key):
             n.append(len(x))
             digest.append(hashlib.blake2b(x.tobytes() + y.tobytes(), digest_size=16).digest())
             sketches.append(sketch(y) if len(y) else None)
@@ -195,14 +201,14 @@ def column_levels(counter_rows: DataFrame) -> bytes:
     return np.where(excess > 0, np.floor(np.log2(np.maximum(excess, 1))) + 1, 0).astype(np.uint8).tobytes()
 
 
-def _prefixes(levels):
+def _prefixes(levels, key: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(levels.value, np.uint8)
         shift = np.uint64(64 - COUNTER_BITS)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             grams, salts, docs, sizes = [], [], [], []
-            for i, s, _ in gram_sets(batch, both=False):
+            for i, s, _ in gram_sets(batch, both=False, key=key):
                 n = len(s)
                 if not n:
                     continue
@@ -229,24 +235,24 @@ def _posting_batch(grams, salts, docs, sizes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(np.concatenate(salts).astype(np.int32)), pa.array(np.concatenate(docs)), pa.array(np.concatenate(sizes))], ["gram", "salt", "doc_id", "n"])
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(key: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact check of pairs. Rows come sorted: the text of a block's first document, then those to compare with it.
 
     One set is held at a time, so memory does not grow with a block.
     """
-    hub_key, hubs = None, {}
+    hub_block, hubs = None, {}
     for batch in batches:
         a, b, cell = batch.column("a").to_numpy(), batch.column("b").to_numpy(), batch.column("cell").to_numpy()
         is_hub = batch.column("is_hub").to_pylist()
         out_a, out_b = [], []
-        for i, x, y in gram_sets(batch):
-            key = (a[i], cell[i])
+        for i, x, y in gram_sets(batch, key=key):
+            block = (a[i], cell[i])
             if is_hub[i]:
-                hubs = hubs if key == hub_key else {}
+                hubs = hubs if block == hub_block else {}
                 hubs[x.tobytes()] = x, y  # more than one only if texts share a doc_id
-                hub_key = key
+                hub_block = block
                 continue
-            for hub in hubs.values() if key == hub_key else ():
+            for hub in hubs.values() if block == hub_block else ():
                 both = common(hub, (x, y))
                 if 100 * both >= PERCENT * (len(hub[0]) + len(x) - both):
                     out_a.append(a[i])
@@ -270,7 +276,7 @@ def likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return two.mapInArrow(run, pairs.schema)
 
 
-def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+def confirmed(texts: DataFrame, pairs: DataFrame, key: bytes = b"") -> DataFrame:
     """Those of the held ``pairs`` (a, b) whose sets are similar enough, counted on the whole texts; held.
 
     Pairs are blocked by ``a``; a block is cut into cells of at most some thousand rows, each with its own
@@ -282,7 +288,7 @@ def confirmed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     places = hold(hubs.union(pairs.select(F.col("b").alias("doc_id"), "a", "b", "cell", F.lit(False))), "op1-places")
     rows = keep_ids(texts, hold(places.select("doc_id").distinct(), "op1-ids"), "doc_id").join(places, "doc_id")
     rows = rows.select("a", "b", "cell", "is_hub", "text").repartition("a", "cell").sortWithinPartitions("a", "cell", F.desc("is_hub"))
-    return hold(rows.mapInArrow(_counted, "a long, b long"), "op1-links")
+    return hold(rows.mapInArrow(partial(_counted, key), "a long, b long"), "op1-links")
 
 
 def _hubs(window):
@@ -336,12 +342,12 @@ def cross_pairs(posts: DataFrame, sketches: DataFrame, found: DataFrame, hub_of:
     """
     comp = found.select(F.col("id").alias("doc_id"), F.col("component").alias("own"))
     via = hub_of.join(found.select(F.col("id").alias("hub"), "component"), "hub", "left").select("doc_id", F.coalesce("component", "hub").alias("near"))
-    docs = sketches.select("doc_id").distinct().join(comp, "doc_id", "left").join(via, "doc_id", "left")
-    docs = docs.select("doc_id", F.coalesce("own", "doc_id").alias("comp"), F.coalesce("own", "near", "doc_id").alias("cluster"))
+    docs = sketches.groupBy("doc_id").agg(F.max("n").alias("n")).join(comp, "doc_id", "left").join(via, "doc_id", "left")
+    docs = docs.select("doc_id", "n", F.coalesce("own", "doc_id").alias("comp"), F.coalesce("own", "near", "doc_id").alias("cluster"))
     docs = docs.withColumn("inner", F.col("comp") == F.col("cluster"))
-    sides = docs.groupBy("cluster", "inner").agg(F.count(F.lit(1)).alias("side"))
+    sides = docs.groupBy("cluster", "inner").agg(F.count(F.lit(1)).alias("side"), F.sum(F.col("n").cast("long")).alias("grams"))
     sides = sides.join(sides.groupBy("cluster").agg(F.sum("side").alias("size")).filter(F.col("size") >= HEAVY), "cluster")
-    block = F.concat_ws("/", "cluster", F.when(F.col("inner"), "i").otherwise("o"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("side") / BLOCK)))
+    block = F.concat_ws("/", "cluster", F.when(F.col("inner"), "i").otherwise("o"), F.pmod(F.xxhash64("doc_id"), F.ceil(F.greatest(F.col("side") / BLOCK, F.col("grams") / GRAMS))))
     docs = hold(docs.join(sides, ["cluster", "inner"], "left").select("doc_id", "comp", F.when(F.col("size").isNotNull(), block).alias("block")), "op1-blocked")
 
     # columns with rows of one component only go; those of very many rows (with a salt) are not gathered to see that
@@ -366,7 +372,7 @@ def cross_pairs(posts: DataFrame, sketches: DataFrame, found: DataFrame, hub_of:
     blocks = hold(blocks.filter(~inside), "op1-blocks")
     # a row has at most a quarter of its own grams in its list
     rows = heavy.groupBy("block", "doc_id", "n", "comp").agg(F.collect_list("gram").alias("grams"))
-    rows = hold(rows.join(sketches.select("doc_id", "n", "sketch"), ["doc_id", "n"]), "op1-rows")
+    rows = hold(rows.join(sketches.select("doc_id", "sketch"), "doc_id"), "op1-rows")
     pairs = [blocks.withColumn("block", F.col(b)).join(rows, "block").select("b1", "b2", "doc_id", "n", "comp", "grams", "sketch", F.lit(b == "b2").alias("second")) for b in ("b1", "b2")]
     dense = pairs[0].union(pairs[1]).groupBy("b1", "b2").applyInArrow(_product, "x long, y long, comp long, c long")
     return hold(light.union(dense), "op1-pairs")
@@ -382,7 +388,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    sign = hold(texts.mapInArrow(_signatures, _SIGNATURE), "op1-signatures")
+    key = os.urandom(16)
+    sign = hold(texts.mapInArrow(partial(_signatures, key), _SIGNATURE), "op1-signatures")
     members = sign.filter("part is null").select("doc_id", "n", "digest")
     levels = docs.sparkSession.sparkContext.broadcast(column_levels(sign.filter("part is not null")))
 
@@ -397,7 +404,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     sketches = hold(keep_ids(sign.filter("part is null and n > 0 and doc_id is not null").select("doc_id", "n", "sketch"), copies, "doc_id", "left_anti"), "op1-sketches")
 
     # incidence rows of A, limited to the first columns; columns with one row only link nothing
-    posts = reps.mapInArrow(_prefixes(levels), "gram long, salt int, doc_id long, n int")
+    posts = reps.mapInArrow(_prefixes(levels, key), "gram long, salt int, doc_id long, n int")
     cell = Window.partitionBy("gram", "salt")
     posts = posts.withColumn("hubs", _hubs(cell)).withColumn("rows", F.count(F.lit(1)).over(cell))
     posts = hold(posts.filter("rows > 1 or salt > 0").select("gram", "salt", "doc_id", "n", "hubs"), "op1-postings")
@@ -410,7 +417,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     near = Window.partitionBy("doc_id").orderBy(F.desc("c"), "hub")
     best = hold(stars.withColumn("rank", F.row_number().over(near)).filter(F.col("rank") <= STARS).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), "rank"), "op1-best")
     stars = hold(likely(best.select("a", "b").distinct(), sketches).distinct(), "op1-stars")
-    links = confirmed(reps, stars).union(same_id)
+    links = confirmed(reps, stars, key).union(same_id)
 
     # round 2: all pairs of rows from different components; first each row's best, which leaves few components apart
     found = hold(components(links), "op1-found")
@@ -418,12 +425,12 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of = lambda side, other: F.row_number().over(Window.partitionBy(side).orderBy(F.desc("c"), other))
     first = pairs.withColumns({"_x": of("x", "y"), "_y": of("y", "x")}).filter((F.col("_x") <= TOP) | (F.col("_y") <= TOP)).select(F.col("y").alias("a"), F.col("x").alias("b"))
     first = hold(first.join(stars, ["a", "b"], "left_anti").distinct(), "op1-first")
-    links = links.union(confirmed(reps, first))
+    links = links.union(confirmed(reps, first, key))
     found = hold(components(links), "op1-found")
     own = lambda side, to: found.select(F.col("id").alias(side), F.col("component").alias(to))
     rest = pairs.select(F.col("y").alias("a"), F.col("x").alias("b")).join(own("a", "_ca"), "a", "left").join(own("b", "_cb"), "b", "left")
     rest = rest.filter("coalesce(_ca, a) <> coalesce(_cb, b)").select("a", "b").distinct().join(first.union(stars), ["a", "b"], "left_anti")
-    links = hold(links.union(confirmed(reps, hold(rest, "op1-rest"))), "op1-links")
+    links = hold(links.union(confirmed(reps, hold(rest, "op1-rest"), key)), "op1-links")
     found = components(links)
 
     out = in_class.join(found, F.col("rep") == F.col("id"), "left")

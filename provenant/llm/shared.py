@@ -91,10 +91,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Of eight bytes, the first 0 to 8.
 _FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-#: Longer words are digested one by one.
-_LONG = 64
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -106,12 +102,13 @@ class Words:
     """All words of some texts, A-Z lower-cased: where each starts and ends, whose it is, and its 128-bit value.
 
     ``separators`` tells for each byte whether it stands between words; a word also ends between a byte of the first
-    and one of the second of two ``borders``. A value is two 64-bit numbers, ``head`` and
-    ``tail``: of words up to 16 bytes the bytes themselves, of longer ones those of 16 bytes each put together by
-    scrambles, of words with a NUL or above ``_LONG`` bytes a BLAKE2 digest.
+    and one of the second of two ``borders``. A value is two 64-bit numbers, ``head`` and ``tail``: the bytes themselves
+    of a word of up to 16 bytes without NUL, else a BLAKE2 digest. With a secret ``key``, the digests and ``values`` depend
+    on it, so that nobody can make texts whose words agree; values compare only under the same key.
     """
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray = _SPACE, borders: tuple[np.ndarray, np.ndarray] | None = None):
+    def __init__(self, texts: pa.Array, separators: np.ndarray = _SPACE, borders: tuple[np.ndarray, np.ndarray] | None = None, key: bytes = b""):
+        self._k, self._l = np.frombuffer(hashlib.blake2b(b"lanes", digest_size=16, key=key).digest(), np.uint64) if key else (_K, _M1)
         texts = texts.cast(pa.binary()).fill_null(b"")
         at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
@@ -145,32 +142,26 @@ class Words:
         self.low = low
         self._initial = eight(slice(None), 0)
         head, tail = self._initial.copy(), np.zeros(len(size), np.uint64)
-        digested = size > _LONG
+        digested = size > 16
         nul = np.flatnonzero(data == 0) if not separators[0] else ()
         if len(nul):
             digested[np.searchsorted(self.start, nul, "right") - 1] = True
         more = np.flatnonzero((size > 8) & ~digested)
         tail[more] = eight(more, 8)
-        for skip in range(16, _LONG, 16):
-            more = more[size[more] > skip]
-            if not len(more):
-                break
-            a, b = head[more], tail[more]
-            head[more] = mixed(a + mixed(b + _K)) + eight(more, skip)
-            tail[more] = mixed(b + mixed(a + _M1))
-            both = more[size[more] > skip + 8]
-            tail[both] += eight(both, skip + 8)
-        for i in np.flatnonzero(digested):
-            head[i], tail[i] = np.frombuffer(hashlib.blake2b(low[self.start[i] : self.end[i]].tobytes(), digest_size=16).digest(), np.uint64)
+        digested = np.flatnonzero(digested)
+        if len(digested):
+            raw, digest = low.tobytes(), hashlib.blake2b
+            each = [digest(raw[a:b], digest_size=16, key=key).digest() for a, b in zip(self.start[digested].tolist(), self.end[digested].tolist(), strict=True)]
+            head[digested], tail[digested] = np.frombuffer(b"".join(each), np.uint64).reshape(-1, 2).T
         self.head, self.tail = head, tail
 
     def values(self, lane: int = 0) -> np.ndarray:
         """One of two independent 64-bit hashes of the words."""
-        return mixed(self.head + mixed(self.tail + _K)) if lane == 0 else mixed(self.tail + mixed(self.head + _M1))
+        return mixed(self.head + mixed(self.tail + self._k)) if lane == 0 else mixed(self.tail + mixed(self.head + self._l))
 
     def beginnings(self, which: np.ndarray, size: int) -> np.ndarray:
         """What ``values`` has for words that are the first ``size`` bytes, up to 8, of these longer words."""
-        return mixed((self._initial[which] & _FIRST[size]) + mixed(np.array([_K])))
+        return mixed((self._initial[which] & _FIRST[size]) + mixed(np.array([self._k])))
 
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:

@@ -156,6 +156,8 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
+        #: Values of words are a worker's own, so no text can be made whose words it takes for others.
+        self.key = os.urandom(16)
         #: Sorted values (lane 0) of the words, their other values, and where each one's ids begin and end.
         self.keys, self.other = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.begin, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
@@ -198,7 +200,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, how many each has); null counts as empty."""
-        w = Words(texts, borders=_BORDERS if self.direct else None)
+        w = Words(texts, borders=_BORDERS if self.direct else None, key=self.key)
         value, other = w.values(), w.values(1)
         distinct, sample, which = np.unique(value, return_index=True, return_inverse=True)
         if (other[sample][which] != other).any():  # two words that agree in half their bits

@@ -120,6 +120,28 @@ def test_words_are_told_apart_by_all_their_bytes(spark):
     assert all(r.n_shingles == 1 for r in got)
 
 
+#: Two words of 32 bytes that an invertible scramble of eight bytes at a time takes for one.
+ALIKE = ("?<$!{]`<_,:^%+%:|,~~~)|(/.|?.^]}", "};@(*~#(,+:]!^))@@,{?@~/`&~~@//!")
+
+
+def test_words_that_were_made_to_agree_stay_apart(spark):
+    r = random.Random(4)
+    mine = [*ALIKE, *("".join(r.choice("{}@#~!^,.;:ab") for _ in range(r.choice([16, 17, 24, 32, 33, 64, 65]))) for _ in range(1000))]
+    t = spark.createDataFrame(list(enumerate(mine)), "doc_id long, text string")
+    assert all(x.component_id == x.doc_id for x in ngram_join.jaccard_components(t).collect())
+    e = token_files.WordEncoder(WORDS)
+    ids, counts = e.encode(pa.array(mine))
+    got = [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [x.ids for x in e.tokenizer.encode_batch(mine, add_special_tokens=False)]
+
+
+def test_keys_change_values_but_no_set():
+    texts = pa.array(["one two three four five six", "a-very-long-word-of-more-than-sixteen-bytes b", "a\x00b c", ""])
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    one, other = ([(len(x), x.tolist()) for _, x, _ in ngram_join.gram_sets(batch, key=k)] for k in (b"k" * 16, b"l" * 16))
+    assert [n for n, _ in one] == [n for n, _ in other] == [2, 1, 1, 0] and one[0] != other[0]
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_sketches_drop_no_similar_pair(seed):
     import pyarrow as pa
