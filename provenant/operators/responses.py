@@ -1,10 +1,7 @@
-"""Decisions over a table of web responses: outcome, retries, throttling, schedule, robots, encoding."""
+"""Decisions over a table of web responses: outcome, retries, throttling, schedule, encoding."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import unquote
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,45 +72,4 @@ def decoded(body: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([one(b, n) for b, n in zip(body, name, strict=True)])
 
 
-def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
-    """(origin, allow, path) of the rules for an agent from ``robots`` (origin, http_status, body).
-
-    No file allows all, a refused or any other odd one forbids all. Sections of the agent's name go before ``*``.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for origin, status, body in zip(frame.origin, frame.http_status, frame.body, strict=True):
-                if status in (404, 410):
-                    rows.append((origin, True, "/"))
-                    continue
-                if not 200 <= status < 300:
-                    rows.append((origin, False, "/"))
-                    continue
-                own, every, names, in_rules = [], [], [], False
-                for line in (body or "").splitlines():
-                    name, _, value = (x.strip() for x in line.split("#")[0].partition(":"))
-                    if name.lower() == "user-agent":
-                        names = [value.lower()] if in_rules else [*names, value.lower()]
-                        in_rules = False
-                    elif name.lower() in ("allow", "disallow"):
-                        in_rules = True
-                        if value:
-                            rule = (origin, name.lower() == "allow", unquote(value))
-                            own += [rule] * any(n != "*" and n and n in agent.lower() for n in names)
-                            every += [rule] * ("*" in names)
-                rows += own or every or [(origin, True, "/")]
-            yield pd.DataFrame(rows, columns=["origin", "allow", "path"])
-
-    return robots.mapInPandas(run, "origin string, allow boolean, path string")
-
-
-def allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``urls`` (url) with ``allowed``: the longest path that fits decides, allowing ones before others of its length."""
-    keyed = urls.withColumn("_origin", F.lower(F.regexp_extract("url", r"^([A-Za-z]+://[^/?#]+)", 1))).withColumn("_path", F.coalesce(F.nullif(F.regexp_extract("url", r"^[A-Za-z]+://[^/?#]+([^#]*)", 1), F.lit("")), F.lit("/")))
-    j = keyed.join(rules.withColumnRenamed("path", "_rule"), (F.col("_origin") == F.col("origin")) & F.expr("startswith(_path, _rule)"), "left")
-    return j.groupBy("url").agg(F.coalesce(F.max_by("allow", F.struct(F.length("_rule"), "allow")), F.lit(True)).alias("allowed"))
-
-
-__all__ = ["allowed", "decoded", "encoding", "fetch_outcome", "is_json", "last_attempts", "media_type", "retry_after", "robots_rules", "schedule"]
+__all__ = ["decoded", "encoding", "fetch_outcome", "is_json", "last_attempts", "media_type", "retry_after", "schedule"]

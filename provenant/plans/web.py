@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenant.functions import scalars
-from provenant.operators import detect, extract, replay, responses, tables
+from provenant.operators import detect, extract, replay, responses, robots, tables
 from provenant.plans.runs import table
 
 _NOW = "2024-02-01 00:00:00"
@@ -22,20 +22,38 @@ def _pick(key: Column, *values: object) -> Column:
     return out
 
 
+#: Robots files of five kinds of hosts; of the last one no status came.
+_ROBOTS = (
+    (200, "User-agent: *\nDisallow: /*/1*5$\nDisallow: /fr/\nAllow: /fr/*page=\nDisallow: /*caf%C3%A9\nDisallow: /e%6E/9*?*utm\nAllow: /en/9*?*ut*\nCrawl-delay: 1.5\n\nUser-agent: other\nDisallow: /"),
+    (404, "ignored"),
+    (403, "ignored"),
+    (200, "User-agent: *\nDisallow: /\n\nUser-agent: PROVENANT/2 # ours\nUser-agent: third\nDisallow: /de/2 # note\nDisallow:\nDisallow: /*/*7*7\nAllow: /*/*7*7?*\nDisallow: /*%24x\nDisallow: /es/$\nDisallow: /de$x\n\nUser-agent: provenantbot\nDisallow: /"),
+    (503, "ignored"),
+)
+
+
+def _robots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages' URLs, some with escapes, non-ASCII and characters of patterns behind them; a robots file for each host."""
+    k = F.col("page_id")
+    head, tail = F.substring_index("url", "?", 1), F.regexp_extract("url", "[?#].*$", 0)
+    url = F.concat(F.substring_index(head, "#", 1), _pick(k, "", "/caf\u00e9", "/caf%c3%A9", "/$x", "/a%24x", "/%7e", "*7", "", "", "", ""), tail)
+    pages = table(spark, sf_dir, "pages").select(k, url.alias("url"))
+    where = robots.origin(F.col("url"))
+    kind = F.length("origin") % 5
+    files = pages.select(where.alias("origin")).distinct().select("origin", _pick(kind, *[x[0] for x in _ROBOTS]).alias("http_status"), _pick(kind, *[x[1] for x in _ROBOTS]).alias("body"))
+    return pages, robots.policies(files, "Provenant/1.0")
+
+
 def robots_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages of hosts whose robots file is missing, refused, for all agents, or has a section of our own."""
-    pages = table(spark, sf_dir, "pages")
-    origin = F.lower(F.regexp_extract("url", "^([a-z]+://[^/?#]+)", 1))
-    kind = F.length("origin") % 4
-    body = _pick(
-        kind,
-        "User-agent: *\nDisallow: /fr/\nAllow: /fr/1\nDisallow: /en/%39\n\nUser-agent: other\nDisallow: /",
-        "ignored",
-        "ignored",
-        "User-agent: *\nDisallow: /\n\nUser-agent: Provenant # ours\nUser-agent: third\nDisallow: /de/2 # note\nDisallow:\nDisallow: /es/",
-    )
-    robots = pages.select(origin.alias("origin")).distinct().select("origin", _pick(kind, 200, 404, 403, 200).alias("http_status"), body.alias("body"))
-    return responses.allowed(pages.select("url"), responses.robots_rules(robots, "Provenant/1.0"))
+    """Which pages may be fetched, by which rule."""
+    pages, policy = _robots(spark, sf_dir)
+    return robots.decisions(pages, policy)
+
+
+def source_admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts as sources whose entry URLs are their pages."""
+    pages, policy = _robots(spark, sf_dir)
+    return robots.admissions(pages.select(robots.origin(F.col("url")).alias("label"), F.col("page_id").alias("seq"), "url"), policy)
 
 
 def retry_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,12 +175,30 @@ def safe_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", scalars.safe_key(key).alias("safe"))
 
 
-QUERIES = {f.__name__: f for f in (robots_allowed, retry_waits, charsets, json_kinds, script_rows, json_answers, snapshot_plan, page_verdicts, source_chain, optional_counts, gate_verdict, labels_missing, safe_keys)}
+QUERIES = {f.__name__: f for f in (robots_allowed, source_admissions, retry_waits, charsets, json_kinds, script_rows, json_answers, snapshot_plan, page_verdicts, source_chain, optional_counts, gate_verdict, labels_missing, safe_keys)}
 
 _PARTS = "p AS (SELECT *, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS first, p_partkey % 5 AS five FROM part)"
+#: The rule itself: each pattern as a regular expression over the unescaped path; the longest that matches decides.
+_DECIDED = """u AS (
+  SELECT page_id, regexp_replace(url, '[?#].*$', '') || ['', '/caf\u00e9', '/caf%c3%A9', '/$x', '/a%24x', '/%7e', '*7', '', '', '', ''][(page_id % 11)::INT + 1] || regexp_extract(url, '[?#].*$') AS url,
+    length(lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1))) % 5 AS kind FROM pages
+), r(kind, allow, line, pattern) AS (
+  VALUES (0, false, 'Disallow: /*/1*5$', '/*/1*5$'), (0, false, 'Disallow: /fr/', '/fr/'), (0, true, 'Allow: /fr/*page=', '/fr/*page='), (0, false, 'Disallow: /*caf%C3%A9', '/*caf%C3%A9'),
+    (0, false, 'Disallow: /e%6E/9*?*utm', '/en/9*?*utm'), (0, true, 'Allow: /en/9*?*ut*', '/en/9*?*ut*'), (3, false, 'Disallow: /de/2 # note', '/de/2'), (3, false, 'Disallow: /*/*7*7', '/*/*7*7'),
+    (3, true, 'Allow: /*/*7*7?*', '/*/*7*7?*'), (3, false, 'Disallow: /*%24x', '/*%24x'), (3, false, 'Disallow: /es/$', '/es/$'), (3, false, 'Disallow: /de$x', '/de%24x')
+), hits AS (
+  SELECT url, allow, line, length(pattern) AS size FROM u JOIN r ON u.kind = r.kind
+    AND regexp_matches(url_decode(regexp_extract(url, '^[a-z]+://[^/?#]+([^#]*)', 1)), '^' || replace(regexp_escape(url_decode(rtrim(pattern, '$'))), '\\*', '.*') || CASE WHEN ends_with(pattern, '$') THEN '$' ELSE '' END)
+), best AS (SELECT url, arg_max(allow, (size, allow, line)) AS allow, arg_max(line, (size, allow, line)) AS line FROM hits GROUP BY url),
+decided AS (
+  SELECT DISTINCT u.url, u.kind, b.line, CASE kind WHEN 1 THEN 'allowed' WHEN 2 THEN 'disallowed' WHEN 4 THEN 'unavailable' ELSE CASE WHEN coalesce(b.allow, true) THEN 'allowed' ELSE 'disallowed' END END AS decision FROM u LEFT JOIN best b ON b.url = u.url
+)"""
 SQL = {
-    "robots_allowed": """WITH u AS (SELECT url, length(lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1))) % 4 AS kind, regexp_extract(url, '^[a-z]+://[^/?#]+([^#]*)', 1) AS path FROM pages)
-SELECT url, CASE kind WHEN 0 THEN starts_with(path, '/fr/1') OR NOT (starts_with(path, '/fr/') OR starts_with(path, '/en/9')) WHEN 1 THEN true WHEN 2 THEN false ELSE NOT (starts_with(path, '/de/2') OR starts_with(path, '/es/')) END AS allowed FROM u""",
+    "robots_allowed": f"WITH {_DECIDED} SELECT url, decision, decision = 'allowed' AS allowed, line, CASE kind WHEN 0 THEN 1.5 END::DOUBLE AS crawl_delay FROM decided",
+    "source_admissions": f"""WITH {_DECIDED}, v AS (
+  SELECT lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) AS label, url, page_id, kind, decision, line, row_number() OVER (PARTITION BY lower(regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)) ORDER BY decision = 'allowed', page_id, url) AS n FROM decided JOIN u USING (url, kind)
+)
+SELECT label, url, decision = 'allowed' AS admitted, CASE WHEN decision = 'disallowed' THEN concat_ws(': ', 'disallowed', line) WHEN decision = 'allowed' AND kind = 1 THEN 'allowed (no robots file)' ELSE decision END AS reason FROM v WHERE n = 1""",
     "retry_waits": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN least(300, o_orderkey % 500) WHEN 1 THEN greatest(0, least(300, o_orderkey % 700 - 200)) ELSE 1 END::DOUBLE AS seconds FROM orders""",
     "charsets": """SELECT page_id, ['utf-8', 'utf-16', 'iso-8859-1', 'windows-1252', 'utf-8', 'x-none'][(page_id % 6)::INT + 1] AS encoding, md5(CASE WHEN page_id % 6 = 3 THEN '<META charset=''Windows-1252''>' ELSE '' END || '<p>é ' || url) AS digest FROM pages""",
     "json_kinds": """SELECT o_orderkey, ['application/json', 'text/json', 'application/ld+json', 'text/html', 'application/jsonp', NULL][(o_orderkey % 6)::INT + 1] AS kind, o_orderkey % 6 < 3 AS is_json FROM orders""",
