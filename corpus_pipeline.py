@@ -12,14 +12,8 @@ from provenant.llm import line_dedup, mixing, ngram_join, sentencepieces, toxici
 from provenant.llm.shared import hold
 
 
-def _small_batches(spark: SparkSession) -> None:
-    """Rows go to Python two thousand at a time, so that long texts don't fill an executor beside its heap."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-
-
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted to be toxic go; null and empty texts, repeated rows and further columns are as in ``without_toxic``."""
-    _small_batches(spark)
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,7 +24,6 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id stays; null, empty and blank texts all stay."""
-    _small_batches(spark)
     return ngram_join.one_of_each(docs)
 
 
@@ -41,7 +34,6 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row (doc_id, n_tokens, ids_sha256, decoded_sha256) for each document of the mix; null counts as empty, an empty table gives no rows."""
-    _small_batches(spark)
     import public_tokenizers
 
     return sentencepieces.round_trip(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -60,6 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each held before the next one reads it; the rows of the last one.
+
+    Null and empty texts, repeated rows and further columns are as each stage says; no documents give no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
