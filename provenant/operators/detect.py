@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provenant.functions import markup
+from provenant.operators.extract import scanned
 
 FLOOR = 200  # bytes of visible text below which a page is blocked
 
@@ -44,33 +44,28 @@ SOFT_404 = (
 
 
 def signatures(base: tuple[Signature, ...], own: tuple[Signature, ...] = (), replace: bool = False) -> tuple[Signature, ...]:
-    """A source's own signatures after the base ones, or in their place; ids must differ."""
+    """A source's own signatures after the base ones, or in their place; ids must differ, and patterns must be ones."""
     out = own if replace else base + own
     if len({s.id for s in out}) < len(out):
         raise ValueError("signature ids must be unique")
+    for s in out:
+        if s.kind == "regex":
+            try:
+                re.compile(s.pattern)
+            except re.error as wrong:
+                raise ValueError(f"signature {s.id}: {wrong}") from wrong
+        elif s.kind == "css":
+            markup.Automaton([s.pattern])
+        else:
+            raise ValueError(f"signature {s.id}: {s.kind} is no kind")
+        if s.scope not in ("body", "title", "header"):
+            raise ValueError(f"signature {s.id}: {s.scope} is no scope")
     return out
 
 
-def with_page_facts(pages: DataFrame, selectors: tuple[str, ...], html: str = "html") -> DataFrame:
-    """``pages`` with ``facts``: title, bytes of visible text, whether a refresh leads to a consent page, and which selectors match.
-
-    The one place where a page is parsed; everything else is expressions over it.
-    """
-
-    @F.pandas_udf("struct<title string, visible int, consent boolean, matches array<string>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for page in batch:
-                root = markup.parse(page)
-                titles = markup.select(root, "title")
-                body = (markup.select(root, "body") or [root])[0]
-                visible = " ".join("".join(body.texts(frozenset({"script", "style", "noscript", "head"}))).split())
-                refresh = [n.attrs.get("content", "").lower() for n in markup.select(root, "meta") if n.attrs.get("http-equiv", "").lower() == "refresh"]
-                rows.append(((titles[0].text() or "") if titles else "", len(visible.encode()), any("consent" in r or "cookie" in r for r in refresh), [s for s in selectors if markup.select(root, s)]))
-            yield pd.DataFrame(rows, columns=["title", "visible", "consent", "matches"])
-
-    return pages.withColumn("facts", run(html))
+def facts_ask(blocks: tuple[Signature, ...] = BLOCKS, soft: tuple[Signature, ...] = SOFT_404) -> markup.Facts:
+    """What ``detected`` asks of a page."""
+    return markup.Facts(tuple(s.pattern for s in blocks + soft if s.kind == "css"))
 
 
 def _hit(s: Signature, html: Column, headers: Column) -> Column:
@@ -80,13 +75,17 @@ def _hit(s: Signature, html: Column, headers: Column) -> Column:
 
 
 def detect(pages: DataFrame, blocks: tuple[Signature, ...] = BLOCKS, soft: tuple[Signature, ...] = SOFT_404, html: str = "html", headers: str | None = None, status: str = "http_status") -> DataFrame:
-    """``pages`` with ``block`` and ``soft_404``: the id of the first signature that holds, or null.
+    """``detected`` after a pass over the pages that asks for nothing else."""
+    return detected(scanned(pages, {"facts": facts_ask(blocks, soft)}, html), blocks, soft, html, headers, status).drop("facts")
+
+
+def detected(pages: DataFrame, blocks: tuple[Signature, ...] = BLOCKS, soft: tuple[Signature, ...] = SOFT_404, html: str = "html", headers: str | None = None, status: str = "http_status") -> DataFrame:
+    """``pages`` (html, facts, ...) with ``block`` and ``soft_404``: the id of the first signature that holds, or null.
 
     After the list of blocks come a refresh to a consent page and too little visible text. Only pages with status
     200 can be soft errors. ``headers`` is a map; its lines are looked at in lower case.
     """
     lines = F.lower(F.array_join(F.transform(F.map_entries(headers), lambda e: F.concat_ws(": ", e["key"], e["value"])), "\n")) if headers else F.lit("")
-    out = with_page_facts(pages, tuple(s.pattern for s in blocks + soft if s.kind == "css"), html)
     block = F.coalesce(*[F.when(_hit(s, F.col(html), lines), s.id) for s in blocks], F.when(F.col("facts.consent"), "meta_refresh_consent"), F.when(F.col("facts.visible") < FLOOR, "text_floor"))
     error = F.when(F.col(status) == 200, F.coalesce(*[F.when(_hit(s, F.col(html), lines), s.id) for s in soft]))
-    return out.withColumns({"block": block, "soft_404": error}).drop("facts")
+    return pages.withColumns({"block": block, "soft_404": error})

@@ -2,94 +2,93 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable, Iterator
 from functools import reduce
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provenant.functions import markup
+from provenant.functions import json_paths, markup
 from provenant.functions.scalars import UNIT, apply_transforms
 
-_ROWS = "array<map<string,string>>"
+_KINDS = {
+    markup.Rows: ("array<map<string,string>>", pa.list_(pa.map_(pa.string(), pa.string()))),
+    markup.Custom: ("array<map<string,string>>", pa.list_(pa.map_(pa.string(), pa.string()))),
+    markup.Texts: ("array<string>", pa.list_(pa.string())),
+    markup.Values: ("array<string>", pa.list_(pa.string())),
+    markup.Facts: ("struct<title:string,visible:int,consent:boolean,matches:array<string>>", pa.struct([("title", pa.string()), ("visible", pa.int32()), ("consent", pa.bool_()), ("matches", pa.list_(pa.string()))])),
+}
 
 
-def _text(x: object) -> str | None:
-    return None if x is None else x if isinstance(x, str) else json.dumps(x, ensure_ascii=False) if isinstance(x, (dict, list)) else str(x)
+def scanned(pages: DataFrame, asks: dict[str, markup.Ask], html: str = "html") -> DataFrame:
+    """``pages`` with a column for each of ``asks``; a page is read once for all of them. A null page is an empty one."""
+    scan = markup.Scan(list(asks.values()))
+    kinds = [_KINDS[type(a)] for a in asks.values()]
 
+    @F.arrow_udf("struct<" + ",".join(f"c{i}:{kind}" for i, (kind, _) in enumerate(kinds)) + ">")
+    def run(page: pa.Array) -> pa.Array:
+        columns: list[list] = [[] for _ in kinds]
+        for x in page:
+            for column, ask, got in zip(columns, scan.asks, scan(x.as_py()), strict=True):
+                column.append([[(k, None if v is None else str(v)) for k, v in r.items()] for r in got] if isinstance(ask, markup.Rows | markup.Custom) else got)
+        return pa.StructArray.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, kinds, strict=True)], names=[f"c{i}" for i in range(len(kinds))])
 
-def _per_page(pages: DataFrame, html: str, to: str, rows: Callable[[str | None], list[dict[str, object]]]) -> DataFrame:
-    """``pages`` with an array of maps made from each page; pages go through Python in Arrow batches."""
-
-    @F.pandas_udf(_ROWS)
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([[{k: _text(v) for k, v in r.items()} for r in rows(page)] for page in batch])
-
-    return pages.withColumn(to, run(html))
+    return pages.withColumn("_scan", run(html)).withColumns({name: F.col(f"_scan.c{i}") for i, name in enumerate(asks)}).drop("_scan")
 
 
 def css(pages: DataFrame, fields: dict[str, str], row_selector: str | None = None, html: str = "html", to: str = "rows") -> DataFrame:
     """A row for each match of ``row_selector``, or one for the page; a field is ``selector`` or ``selector@attribute``."""
+    return scanned(pages, {to: markup.Rows(fields, row_selector)}, html)
 
-    def rows(page: str | None) -> list[dict[str, object]]:
-        root = markup.parse(page)
-        out = []
-        for base in markup.select(root, row_selector) if row_selector else [root]:
-            row: dict[str, object] = {}
-            for name, what in fields.items():
-                selector, _, attribute = what.partition("@")
-                found = markup.select(base, selector)
-                row[name] = None if not found else found[0].attrs.get(attribute) if attribute else found[0].text()
-            out.append(row)
-        return out
 
-    return _per_page(pages, html, to, rows)
+LINKED = markup.Texts('script[type="application/ld+json"]')
 
 
-def linked_data(pages: DataFrame, kind: str, fields: dict[str, str], html: str = "html", to: str = "rows") -> DataFrame:
-    """At most one row: the first JSON-LD object of a type."""
+def linked_rows(scripts: Column, kind: str, fields: dict[str, str]) -> Column:
+    """At most one row from the texts of JSON-LD scripts: the first object of a type."""
+    found = json_paths.first_of_type(scripts, kind)
+    return F.transform(F.filter(F.array(found), lambda x: x.isNotNull()), lambda x: json_paths.mapped(x, fields))
 
-    def rows(page: str | None) -> list[dict[str, object]]:
-        found = markup.linked_data(markup.parse(page), kind)
-        return [] if found is None else [markup.mapped(found, fields)]
 
-    return _per_page(pages, html, to, rows)
+def linked_data(pages: DataFrame, kind: str, fields: dict[str, str], html: str = "html", to: str = "rows") -> DataFrame:
+    """At most one row: the first JSON-LD object of a type."""
+    return scanned(pages, {"_linked": LINKED}, html).withColumn(to, linked_rows(F.col("_linked"), kind, fields)).drop("_linked")
 
 
-def embedded_json(pages: DataFrame, fields: dict[str, str], root: str = "$", script_id: str | None = None, variable: str | None = None, html: str = "html", to: str = "rows") -> DataFrame:
-    """Rows from JSON in a script with an id (none if there is no such script) or a variable (an error if there is none)."""
+def script_ask(script_id: str | None, variable: str | None) -> markup.Ask:
+    """The texts that an embedded source reads: a script with an id, or all scripts."""
     if (script_id is None) == (variable is None):
         raise ValueError("exactly one of script_id and variable")
+    return markup.Texts(f"script#{script_id}" if script_id else "script")
 
-    def rows(page: str | None) -> list[dict[str, object]]:
-        value = markup.script_json(markup.parse(page), script_id) if script_id else markup.variable_json(page or "", variable)
-        found = markup.at_path(value, root)
-        found = found[0] if len(found) == 1 else found
-        return [markup.mapped(r, fields) for r in (found if isinstance(found, list) else [found]) if isinstance(r, dict)]
 
-    return _per_page(pages, html, to, rows)
+def script_rows(scripts: Column, fields: dict[str, str], root: str = "$", variable: str | None = None) -> Column:
+    """Rows from the first script's JSON, none if there is no script; with ``variable`` from what is assigned to it, which must be there."""
+    if variable is None:
+        return F.when(F.size(scripts) == 0, F.array().cast("array<map<string,string>>")).otherwise(json_paths.rows(F.parse_json(F.get(scripts, F.lit(0))), root, fields))
+
+    @F.arrow_udf("string")
+    def cut(texts: pa.Array) -> pa.Array:
+        return pa.array([markup.assigned(x.as_py() or [], variable) for x in texts], pa.string())
+
+    text = cut(scripts)
+    return json_paths.rows(F.parse_json(F.coalesce(text, F.raise_error(F.lit(f"no variable {variable}")).cast("string"))), root, fields)
+
+
+def embedded_json(pages: DataFrame, fields: dict[str, str], root: str = "$", script_id: str | None = None, variable: str | None = None, html: str = "html", to: str = "rows") -> DataFrame:
+    """Rows from JSON in a script with an id (none if there is no such script) or a variable (an error if there is none)."""
+    return scanned(pages, {"_scripts": script_ask(script_id, variable)}, html).withColumn(to, script_rows(F.col("_scripts"), fields, root, variable)).drop("_scripts")
 
 
 def json_responses(pages: DataFrame, responses: DataFrame, endpoint: Column, fields: dict[str, str], root: str, url: str = "url", to: str = "rows") -> DataFrame:
     """Rows from the JSON responses of each page's ``endpoint``; refused, failed and other answers give none."""
     from provenant.operators.responses import is_json
 
-    def rows(body: str | None) -> list[dict[str, object]]:
-        try:
-            found = markup.at_path(json.loads(body or ""), root)
-        except ValueError:
-            return []
-        found = found[0] if len(found) == 1 else found
-        return [markup.mapped(r, fields) for r in (found if isinstance(found, list) else [found]) if isinstance(r, dict)]
-
     good = responses.filter((F.col("http_status") == 200) & is_json(F.col("content_type"))).select(F.col("url").alias("_endpoint"), F.col("body").alias("_body"))
     j = pages.withColumn("_endpoint", endpoint).join(good, "_endpoint", "left")
-    return _per_page(j, "_body", to, rows).drop("_endpoint", "_body")
+    return j.withColumn(to, json_paths.rows(F.try_parse_json("_body"), root, fields)).drop("_endpoint", "_body")
 
 
 def endpoint(url: Column, template: str, params: dict[str, str] | None = None) -> Column:
@@ -133,15 +132,11 @@ def derived(parts: list[Column], transform: str) -> Column:
     return apply_transforms(parts[0] if len(parts) == 1 else F.concat_ws(UNIT, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), [transform])
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _links(url: pd.Series, html: pd.Series, selector: pd.Series) -> pd.Series:
-    out = []
-    for u, page, s in zip(url, html, selector, strict=True):
-        found = [n.attrs["href"] for n in markup.select(markup.parse(page), s) if n.attrs.get("href")]
-        out.append([urljoin(u or "", h) for h in found])
-    return pd.Series(out)
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _joined(url: pa.Array, found: pa.Array) -> pa.Array:
+    return pa.array([[urljoin(u.as_py() or "", h) for h in x.as_py() or []] for u, x in zip(url, found, strict=True)], pa.list_(pa.string()))
 
 
-def links(url: Column, html: Column, selector: str) -> Column:
-    """Absolute links of a page, in its order."""
-    return _links(url, html, F.lit(selector))
+def with_links(pages: DataFrame, selector: str, to: str = "links", url: str = "url", html: str = "html") -> DataFrame:
+    """``pages`` with the absolute links of each, in its order."""
+    return scanned(pages, {"_hrefs": markup.Values(selector, "href")}, html).withColumn(to, _joined(url, "_hrefs")).drop("_hrefs")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenant.functions import scalars
+from provenant.functions import markup, scalars
 from provenant.operators import detect, discovery, extract, responses
 from provenant.plans.runs import table
 
@@ -35,9 +35,8 @@ def css_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def extract_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fields from an advertisement, if a page has one, else from its heading; with what made them."""
-    pages = extract.css(table(spark, sf_dir, "pages"), {"text": "div.promo"}, to="promo")
-    pages = extract.css(pages, {"text": "article h1", "lang": "html@lang"}, to="page")
+    """Fields from the sixth link of a menu, if a page has one, else from its heading; with what made them."""
+    pages = extract.scanned(table(spark, sf_dir, "pages"), {"promo": markup.Rows({"text": "nav ul > li:nth-child(6) a"}), "page": markup.Rows({"text": "article h1", "lang": "html@lang"})})
     rows = extract.one_row_each(pages, ["promo", "page"], ["page_id"])
     return extract.chain(rows, ["promo", "page"], {"text": ["strip"], "lang": []}, ["page_id", "row_ix"])
 
@@ -103,11 +102,13 @@ first AS (SELECT url, n, pos FROM l QUALIFY row_number() OVER (PARTITION BY url
 ends AS (SELECT min(n) AS stop FROM (SELECT page_id AS n FROM pages WHERE page_id NOT IN (SELECT n FROM first) UNION ALL SELECT page_id + 1 FROM pages WHERE page_id + 1 NOT IN (SELECT page_id FROM pages)))
 SELECT url, n, pos::INT AS pos FROM first, ends WHERE n < stop""",
     "css_fields": """SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS title, trim(regexp_replace(regexp_replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""",
-    "extract_chain": """SELECT page_id, 0 AS row_ix, nullif(h1, '') AS text, CASE WHEN h1 <> '' THEN 'page' END AS text_source, nullif(lang, '') AS lang, CASE WHEN lang <> '' THEN 'page' END AS lang_source
-FROM (SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages)""",
+    "extract_chain": """WITH p AS (
+  SELECT page_id, trim(regexp_replace(regexp_replace(regexp_extract(html, '<article><h1>(.*?)</h1>', 1), '&quot;?', '"', 'g'), '&amp;?', '&', 'g')) AS h1, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang,
+    regexp_extract(regexp_extract(html, '<nav>(.*?)</nav>', 1), '^<ul>(?:<li>.*?</li>){5}<li><a href="[^"]*">(.*?)</a>', 1) AS sixth FROM pages)
+SELECT page_id, 0 AS row_ix, coalesce(nullif(sixth, ''), nullif(h1, '')) AS text, CASE WHEN sixth <> '' THEN 'promo' WHEN h1 <> '' THEN 'page' END AS text_source, nullif(lang, '') AS lang, CASE WHEN lang <> '' THEN 'page' END AS lang_source FROM p""",
     "css_rows": """SELECT page_id, i - 1 AS pos, regexp_extract(m[i], 'href="([^"]*)"', 1) AS href, regexp_extract(m[i], '>([^<]*)</a>', 1) AS text
 FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a .*?</a></li>') AS m FROM pages))""",
-    "inline_json_rows": """SELECT page_id, 0 AS pos, 'a; b ]' AS text, 'p' || page_id AS author, '["x", "y"]' AS tags FROM pages UNION ALL SELECT page_id, 1, 'c', 'z', NULL FROM pages""",
+    "inline_json_rows": """SELECT page_id, 0 AS pos, 'a; b ]' AS text, 'p' || page_id AS author, '["x","y"]' AS tags FROM pages UNION ALL SELECT page_id, 1, 'c', 'z', NULL FROM pages""",
     "jsonld_first": "SELECT page_id, 'p' || page_id AS name, '9.5' AS price FROM pages",
     "block_detect": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'onetrust_cmp' WHEN 1 THEN 'cloudflare_just_a_moment' ELSE 'reference_id' END AS block FROM pages WHERE page_id % 6 IN (0, 1, 2)",
     "soft_404": "SELECT page_id, CASE page_id % 6 WHEN 4 THEN 'soft_404_error_container' ELSE 'soft_404_body_not_found' END AS soft_404 FROM pages WHERE page_id % 6 IN (4, 5) AND page_id % 12 <> 4",

@@ -7,7 +7,9 @@ from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
 
+from provenant.functions import markup
 from provenant.functions.scalars import check_chain
+from provenant.operators import registry
 from provenant.operators.contract import Contract, Field
 
 # Sites that no pack may name, and keys that hold secrets.
@@ -60,6 +62,29 @@ def _compliance(answers: Any) -> list[str]:
     return wrong
 
 
+def _labels(domain: str) -> list[str]:
+    """The labels of a domain as DNS has them; one that has no such form is taken as it is."""
+    out = []
+    for label in domain.lower().split("."):
+        try:
+            out.append(label.encode("idna").decode())
+        except UnicodeError:
+            out.append(label)
+    return out
+
+
+def _selectors(source: dict[str, Any]) -> list[str]:
+    """Selectors of a css source that can't be read."""
+    wrong = []
+    what = {n: w if isinstance(w, str) else w.get("selector", "") for n, w in source.get("fields", {}).items()} | ({"row_selector": source["row_selector"]} if source.get("row_selector") else {})
+    for name, selector in what.items():
+        try:
+            markup.Automaton([selector.partition("@")[0]])
+        except ValueError:
+            wrong.append(f"{name}:selector")
+    return wrong
+
+
 def css_fields(document: dict[str, Any]) -> set[str]:
     """Names of all fields that any css source of a pack document has."""
     return {name for s in document.get("extract", {}).get("sources", []) if s.get("kind") == "css" for name in s.get("fields", {})}
@@ -70,8 +95,7 @@ def check(document: dict[str, Any]) -> list[str]:
     wrong = _secrets(document) + _compliance(document.get("compliance"))
     if "respect_robots" in document.get("fetch", {}):
         wrong.append("fetch:respect_robots")  # robots can't be switched off
-    labels = str(document.get("domain", "")).lower().encode("idna").decode().split(".")
-    wrong += [f"denied:{x}" for x in labels if x in DENIED]
+    wrong += [f"denied:{x}" for x in _labels(str(document.get("domain", ""))) if x in DENIED]
     found = document.get("discovery", {})
     needs = {"sitemap": ["sitemap_url"], "pagination": ["url_template"], "seed_list": ["seeds"]}.get(found.get("strategy"), [])
     wrong += [f"discovery_needs:{n}" for n in needs if not found.get(n)]
@@ -82,6 +106,12 @@ def check(document: dict[str, Any]) -> list[str]:
     except re.error:
         wrong.append("url_pattern")
     for source in document.get("extract", {}).get("sources", []):
+        if not registry.known(source.get("kind")) and source.get("kind") not in registry.STUBS:
+            wrong.append(f"source:{source.get('kind')}")
+        if source.get("kind") == "xhr" and str(source.get("method", "GET")).upper() != "GET":
+            wrong.append("xhr:method")
+        if source.get("kind") == "css":
+            wrong += _selectors(source)
         if source.get("kind") == "embedded_json" and bool(source.get("script_id")) == bool(source.get("var_name")):
             wrong.append("embedded_json:script_id_or_var_name")
         for name, what in source.get("fields", {}).items():

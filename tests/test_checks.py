@@ -15,7 +15,7 @@ from provenant.operators.contract import Contract, Field
 from provenant.plans import checks
 from provenant.sources import fixtures, packs
 
-from test_lifecycle import BOOK
+from test_lifecycle import BIKE
 
 
 def test_p95_is_exact(spark):
@@ -78,13 +78,21 @@ def test_values_as_json(spark):
     [({}, []), ({"tos_verdict": "forbids"}, ["compliance:tos_verdict"]), ({"personal_data": True, "legal_basis": " "}, ["compliance:legal_basis"]), ({"personal_data": True, "legal_basis": "contract"}, []), ({"reviewed_by": ""}, ["compliance:reviewed_by"])],
 )
 def test_answers_of_a_pack(change, wrong):
-    assert packs.check({**BOOK, "compliance": {**BOOK["compliance"], **change}}) == wrong
+    assert packs.check({**BIKE, "compliance": {**BIKE["compliance"], **change}}) == wrong
 
 
 def test_a_pack_must_answer_and_heed_robots():
-    assert packs.check({k: v for k, v in BOOK.items() if k != "compliance"}) == ["compliance"]
-    assert packs.check({**BOOK, "fetch": {"respect_robots": False}}) == ["fetch:respect_robots"]
-    assert packs.css_fields(BOOK) == {"title", "price", "upc"}
+    assert packs.check({k: v for k, v in BIKE.items() if k != "compliance"}) == ["compliance"]
+    assert packs.check({**BIKE, "fetch": {"respect_robots": False}}) == ["fetch:respect_robots"]
+    assert packs.css_fields(BIKE) == {"model", "deposit", "frame"}
+
+
+def test_sources_and_domains_of_a_pack():
+    sources = lambda *x: packs.check({**BIKE, "extract": {"sources": list(x)}})
+    assert packs.check({**BIKE, "domain": "a..b"}) == [] and packs.check({**BIKE, "domain": "a..Amazon." + "x" * 70}) == ["denied:amazon"]
+    assert sources({"kind": "xhr", "method": "post", "fields": {}}) == ["xhr:method"] and sources({"kind": "xhr", "fields": {}}) == []
+    assert sources({"kind": "ftp", "fields": {}}) == ["source:ftp"]
+    assert sources({"kind": "css", "row_selector": "a:hover", "fields": {"x": "b > c@d", "y": {"selector": "p["}}}) == ["y:selector", "row_selector:selector"]
 
 
 @pytest.mark.parametrize("name", sorted(checks.QUERIES))
