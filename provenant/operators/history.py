@@ -48,13 +48,15 @@ def qualifying_runs(runs: DataFrame, packs: DataFrame, since: Column) -> DataFra
 
 
 def row_medians(qualifying: DataFrame, rows: str = "rows_extracted", least: int = 3) -> DataFrame:
-    """(domain, entity, runs, median_rows, insufficient_baseline), medians rounded half to even."""
+    """(domain, entity, runs, median_rows, insufficient_baseline), medians rounded half to even; fewer than ``least`` runs have none."""
     out = qualifying.groupBy("domain", "entity").agg(F.count(F.lit(1)).alias("runs"), F.expr(f"bround(percentile_cont(0.5) WITHIN GROUP (ORDER BY {rows}), 0)").cast("bigint").alias("median_rows"))
-    return out.withColumn("insufficient_baseline", F.col("runs") < least)
+    return out.withColumn("median_rows", F.when(F.col("runs") >= least, F.col("median_rows"))).withColumn("insufficient_baseline", F.col("runs") < least)
 
 
-def rate_medians(qualifying: DataFrame, metrics: str = "metrics") -> DataFrame:
-    """(domain, entity, field, median) of the fill rates in the metrics (JSON) of each run."""
+def rate_medians(qualifying: DataFrame, metrics: str = "metrics", least: int = 3) -> DataFrame:
+    """(domain, entity, field, median) of the fill rates in the metrics (JSON) of each run; fewer than ``least`` runs, whether they have rates or not, have none."""
+    enough = qualifying.groupBy("domain", "entity").agg(F.count(F.lit(1)).alias("_runs")).filter(F.col("_runs") >= least).select("domain", "entity")
+    qualifying = qualifying.join(enough, ["domain", "entity"], "left_semi")
     rates = F.from_json(F.get_json_object(metrics, "$.quality.fill_rate"), "map<string,double>")
     each = qualifying.select("domain", "entity", F.explode(rates).alias("field", "rate"))
     return each.groupBy("domain", "entity", "field").agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY rate)").alias("median"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,13 +35,15 @@ def profile(rows: DataFrame, contract: Contract, run: str, unchanged: str | None
 
 
 def with_baseline(profiles: DataFrame, contract: Contract, run: str, days: int = 14, count: str = "rows_considered") -> DataFrame:
-    """Each run with the median of the runs of the ``days`` before it, and its deviation; ``run`` is a date, one run each.
+    """Each run with the median of the runs of the ``days`` before it, and its deviation; ``run`` is a date, one run each. Fewer
+    runs than ``baseline_runs`` of the contract have no median.
 
     A run is carried to the days that it is history for, so that the look back is a plain grouping.
     """
     history = profiles.select(F.explode(F.sequence(F.date_add(run, 1), F.date_add(run, days))).alias(run), F.col(count).alias("c"))
     history = history.groupBy(run).agg(F.count(F.lit(1)).alias("baseline_runs"), F.expr("bround(percentile_cont(0.5) WITHIN GROUP (ORDER BY c), 0)").cast("bigint").alias("median_14d"))
     out = profiles.join(history, run, "left").withColumn("baseline_runs", F.coalesce("baseline_runs", F.lit(0)))
+    out = out.withColumn("median_14d", F.when(F.col("baseline_runs") >= contract.baseline_runs, F.col("median_14d")))
     deviation = F.when(F.col("median_14d") != 0, (F.col(count) - F.col("median_14d")) / F.col("median_14d"))
     return out.withColumn("deviation", deviation).withColumn("insufficient_baseline", F.col("baseline_runs") < contract.baseline_runs)
 
@@ -81,10 +83,10 @@ def triggers(profiles: DataFrame, contract: Contract, run: str, medians: DataFra
 
 
 def field_medians(profiles: DataFrame, contract: Contract, run: str, days: int = 14) -> DataFrame:
-    """(run, field, median): the median fill rate of each field over the runs of the ``days`` before."""
+    """(run, field, median): the median fill rate of each field over the runs of the ``days`` before, if they are enough for a baseline."""
     pairs = F.map_from_arrays(F.array(*[F.lit(f.name) for f in contract.fields]), F.array(*[F.col(f"fill_rate_{f.name}") for f in contract.fields]))
     carried = profiles.select(F.explode(F.sequence(F.date_add(run, 1), F.date_add(run, days))).alias(run), pairs.alias("rates"))
-    return carried.select(run, F.explode("rates").alias("field", "rate")).groupBy(run, "field").agg(F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY rate)").alias("median"))
+    return carried.select(run, F.explode("rates").alias("field", "rate")).groupBy(run, "field").agg(F.count("rate").alias("_n"), F.expr("percentile_cont(0.5) WITHIN GROUP (ORDER BY rate)").alias("median")).filter(F.col("_n") >= contract.baseline_runs).drop("_n")
 
 
 def frame_checks(rows: DataFrame, contract: Contract, median: float | None = None) -> DataFrame:
@@ -142,15 +144,23 @@ def strict_profiles(runs: DataFrame, kinds: dict[str, str], metrics: str = "metr
     return runs.withColumn("profile", F.when(drift, F.raise_error(F.concat(F.lit("a stored profile is not of its schema: "), F.coalesce(block, F.lit("none"))))).otherwise(typed))
 
 
-def metric_rows(profiles: DataFrame, contract: Contract, run: str) -> DataFrame:
-    """(run, name, label, value): a run's metrics for export; the deviation only where its baseline is sufficient."""
-    rows = [("fill_rate", f.name, F.col(f"fill_rate_{f.name}")) for f in contract.fields]
-    rows += [("range_violation_rate", f.name, F.col(f"range_rate_{f.name}")) for f in contract.fields if f"range_rate_{f.name}" in profiles.columns]
-    rows += [("enum_violations", f.name, F.col(f"enum_{f.name}")) for f in contract.fields if f.enum]
-    rows += [("rows_considered", "", F.col("rows_considered")), ("duplicate_rate", "", F.col("duplicate_rate")), ("natural_key_missing", "", F.col("natural_key_missing"))]
-    rows += [("row_count_deviation", "", F.when(~F.col("insufficient_baseline"), F.col("deviation")))]
-    made = [F.when(v.isNotNull(), F.struct(F.lit(n).alias("name"), F.lit(x).alias("label"), v.cast("double").alias("value"))) for n, x, v in rows]
-    return profiles.select(run, F.inline(F.array_compact(F.array(*made))))
+def metric_rows(profiles: DataFrame, contract: Contract, run: str, domain: str, entity: str, status: str = "status", seconds: str = "seconds", http: str = "http", fetcher: str = "httpx") -> DataFrame:
+    """(run, name, labels, value): the seven families of a run's metrics for export; ``labels`` is a map.
+
+    Fill rates and counts of range violations (those above 0) by field, the deviation where the baseline is sufficient, the duplicate
+    rate, rows, duration by ``status``, and pages by HTTP status (``http``: a map). A null value, and a null map, give no row.
+    """
+    of = {"domain": F.lit(domain), "entity": F.lit(entity)}
+
+    def row(name: str, value, labels: dict[str, Column]):
+        pairs = F.create_map(*[c for k, v in labels.items() for c in (F.lit(k), v.cast("string"))])
+        return F.struct(F.lit(name).alias("name"), pairs.alias("labels"), value.cast("double").alias("value"))
+
+    made = [row("field_fill_rate", F.col(f"fill_rate_{f.name}"), {**of, "field": F.lit(f.name)}) for f in contract.fields]
+    made += [row("range_violations_total", F.nullif(F.col(f"range_{f.name}"), F.lit(0)), {**of, "field": F.lit(f.name)}) for f in contract.fields if f"range_{f.name}" in profiles.columns]
+    made += [row("row_count_deviation", F.when(~F.col("insufficient_baseline"), F.col("deviation")), of), row("duplicate_rate", F.col("duplicate_rate"), of), row("rows_extracted_total", F.col("rows_considered"), of), row("run_duration_seconds", F.col(seconds), {**of, "status": F.col(status)})]
+    pages = F.transform(F.map_entries(http), lambda e: row("pages_fetched_total", e["value"], {"domain": F.lit(domain), "fetcher": F.lit(fetcher), "http_status": e["key"]}))
+    return profiles.select(run, F.inline(F.concat(F.array(*made), F.coalesce(pages, F.array().cast("array<struct<name:string,labels:map<string,string>,value:double>>"))))).filter("value is not null")
 
 
 def p95_nearest_rank(rows: DataFrame, key: str, value: str) -> DataFrame:

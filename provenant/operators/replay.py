@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def replay(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(fixture, compared, differing, passed) for each fixture of ``expected`` (fixture, row_ix, field, value, required).
 
     ``actual`` has (fixture, row_ix, field, value). Every required value must be the same, nulls included, and
-    there must be as many rows. A fixture whose one expected row has no field (all nulls) expects no rows: rows that
-    validation rejects (``valid`` is false, if there is such a column) don't count there.
+    there must be as many valid rows: those that validation rejects (``valid`` is false, if there is such a column) don't
+    count. A fixture whose one expected row has no field (all nulls) expects no rows. The order of keys is ``key_order``'s.
     """
     counts = F.col("valid") if "valid" in actual.columns else F.lit(True)
     keys = ["fixture", "row_ix", "field"]
@@ -21,19 +22,41 @@ def replay(expected: DataFrame, actual: DataFrame) -> DataFrame:
         F.count_if(F.col("required") & ~F.col("value").eqNullSafe(F.col("_got"))).alias("differing"),
         F.count_distinct(F.when(F.col("field").isNotNull(), F.col("row_ix"))).alias("_rows"),
     )
-    rows = actual.groupBy("fixture").agg(F.count_distinct("row_ix").alias("_got_rows"), F.count_distinct(F.when(counts, F.col("row_ix"))).alias("_valid_rows"))
+    rows = actual.groupBy("fixture").agg(F.count_distinct(F.when(counts, F.col("row_ix"))).alias("_valid_rows"))
     out = fields.join(rows, "fixture", "left")
-    same = F.col("_rows") == F.coalesce(F.when(F.col("_rows") == 0, F.col("_valid_rows")).otherwise(F.col("_got_rows")), F.lit(0))
+    same = F.col("_rows") == F.coalesce("_valid_rows", F.lit(0))
     return out.select("fixture", "compared", "differing", ((F.col("differing") == 0) & same).alias("passed"))
 
 
+def key_order(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(fixture, keys, got, same, first_difference) of ordered keys: ``expected`` and ``actual`` have (fixture, row_ix, key).
+
+    A side's keys in order are a fingerprint, made of partial sums: how many there are, and two independent hashes
+    of each position and key added up. Positions are those that rows take in the order of ``row_ix``. For a fixture whose
+    fingerprints differ, and for no other, rows are compared: ``first_difference`` is the least position, from 0, at which
+    the keys differ or only one side has any. A null key is a key. Fixtures that only ``actual`` has are left out.
+    """
+    place = Window.partitionBy("fixture").orderBy("row_ix")  # rows of one page
+    numbered = lambda df: df.select("fixture", "key", (F.row_number().over(place) - 1).alias("at"))
+    mix = lambda seed: F.sum(F.xxhash64(F.lit(seed), F.col("at"), F.col("key").isNull(), F.coalesce("key", F.lit(""))).cast("decimal(38,0)"))
+    print_of = lambda df, name: numbered(df).groupBy("fixture").agg(F.count(F.lit(1)).alias(name), F.struct(mix(1).alias("a"), mix(2).alias("b")).alias(f"_{name}"))
+    both = print_of(expected, "keys").join(print_of(actual, "got"), "fixture", "left").withColumn("got", F.coalesce("got", F.lit(0)))
+    both = both.withColumn("same", (F.col("keys") == F.col("got")) & F.coalesce(F.col("_keys") == F.col("_got"), F.lit(False)))
+    odd = both.filter("not same").select("fixture")
+    side = lambda df, name: numbered(df.join(odd, "fixture", "left_semi")).select("fixture", "at", F.struct("key").alias(name))
+    first = side(expected, "x").join(side(actual, "y"), ["fixture", "at"], "full_outer").filter(~F.col("x").eqNullSafe(F.col("y"))).groupBy("fixture").agg(F.min("at").alias("first_difference"))
+    return both.join(first, "fixture", "left").select("fixture", "keys", "got", "same", "first_difference")
+
+
 def optional_counts(actual: DataFrame, required: list[str]) -> DataFrame:
     """(field, n): how many values each optional field has over all fixtures."""
     return actual.filter(~F.col("field").isin(*required)).groupBy("field").agg(F.count("value").alias("n"))
 
 
-def gate(results: DataFrame, counts: DataFrame, baseline: DataFrame | None = None) -> DataFrame:
-    """(passed): every fixture passed, and no optional field has fewer values than in ``baseline`` (field, n)."""
+def gate(results: DataFrame, counts: DataFrame, baseline: DataFrame | None = None, orders: DataFrame | None = None) -> DataFrame:
+    """(passed): every fixture passed, with its keys in order if ``orders`` (of ``key_order``) are given, and no optional field has fewer values than in ``baseline`` (field, n)."""
+    if orders is not None:
+        results = results.select("fixture", "passed").union(orders.select("fixture", F.col("same")))
     ok = results.agg(F.coalesce(F.every("passed"), F.lit(True)).alias("passed"))
     if baseline is None:
         return ok

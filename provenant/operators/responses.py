@@ -39,6 +39,20 @@ def schedule(requests: DataFrame, url: str, seq: str, rps: float, crawl_delay: C
     return requests.withColumn("starts_after", (turn - 1) * interval)
 
 
+def host_intervals(responses: DataFrame, now: Column, rps: float, policies: DataFrame | None = None) -> DataFrame:
+    """(host, interval): seconds between requests to each host after ``responses`` (url, http_status, retry_after).
+
+    The least is 1 / ``rps``; a crawl delay of the host's robots (``policies``: origin, crawl_delay) raises it, and so does the longest
+    wait that a throttled answer asked for.
+    """
+    host = registrable_domain(F.col("url"))
+    wait = F.when(F.col("http_status").isin(403, 429), retry_after(F.col("retry_after"), now))
+    out = responses.groupBy(host.alias("host")).agg(F.max(wait).alias("_wait"))
+    if policies is not None:
+        out = out.join(policies.groupBy(registrable_domain(F.col("origin")).alias("host")).agg(F.max("crawl_delay").alias("_delay")), "host", "left")
+    return out.select("host", F.greatest(F.lit(1 / rps), *[c for c in ("_wait", "_delay") if c in out.columns]).alias("interval"))
+
+
 def media_type(content_type: Column) -> Column:
     return F.lower(F.trim(F.split_part(content_type, F.lit(";"), F.lit(1))))
 
@@ -72,4 +86,4 @@ def decoded(body: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([one(b, n) for b, n in zip(body, name, strict=True)])
 
 
-__all__ = ["decoded", "encoding", "fetch_outcome", "is_json", "last_attempts", "media_type", "retry_after", "schedule"]
+__all__ = ["decoded", "encoding", "fetch_outcome", "host_intervals", "is_json", "last_attempts", "media_type", "retry_after", "schedule"]

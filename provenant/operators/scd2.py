@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from provenant.held import held
+from provenant.operators.integrity import interval_breaks
 
 KEYS = ["entity", "natural_key"]
 
@@ -146,7 +147,9 @@ def point_in_time(history: DataFrame, at: Column) -> DataFrame:
 
 
 def broken_rules(current: DataFrame, closed: DataFrame) -> DataFrame:
-    """(rule, n) of what may not be: two open rows of a key, a closed row that ends before it begins, gaps are the caller's."""
+    """(rule, n) of what may not be: two open rows of a key, a closed row that ends before it begins, intervals of a key that leave gaps or overlap."""
+    rows = current.select(*KEYS, "valid_from", F.lit(None).cast(closed.schema["valid_to"].dataType).alias("valid_to")).union(closed.select(*KEYS, "valid_from", "valid_to"))
     open_twice = current.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("k")).agg(F.count_if(F.col("k") > 1).alias("n")).select(F.lit("one_open_row").alias("rule"), "n")
     ends = closed.agg(F.count_if(F.col("valid_to") <= F.col("valid_from")).alias("n")).select(F.lit("ends_after_begin").alias("rule"), "n")
-    return open_twice.union(ends).filter("n > 0")
+    breaks = interval_breaks(rows, KEYS).groupBy("kind").agg(F.count(F.lit(1)).alias("n")).select(F.col("kind").alias("rule"), "n")
+    return open_twice.union(ends).filter("n > 0").union(breaks)

@@ -9,6 +9,7 @@ from provenant.operators import history
 from provenant.plans.runs import table
 
 _SINCE = "1996-01-01"
+_LATE = "1998-07-15"
 
 
 def packs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,16 +94,27 @@ def metric_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.metric_families(r)
 
 
-QUERIES = {f.__name__: f for f in (qualifying_history, qualifying_rates, keys_of_urls, pack_of_urls, newest_packs, packs_listed, auto_versions, closed_runs, blob_bodies, metric_families)}
+def short_histories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of the last days: most packs have none, one or two, which are no baseline; with the medians of those that have more."""
+    late = history.qualifying_runs(runs(spark, sf_dir), packs(spark, sf_dir), F.lit(_LATE).cast("timestamp"))
+    known = packs(spark, sf_dir).select("domain", "entity").distinct().join(history.row_medians(late), ["domain", "entity"], "left")
+    rates = history.rate_medians(late).filter("field = 'a'").select("domain", "entity", F.col("median").alias("median_a"))
+    return known.join(rates, ["domain", "entity"], "left").select("domain", "entity", F.coalesce("runs", F.lit(0)).alias("runs"), "median_rows", F.coalesce("insufficient_baseline", F.lit(True)).alias("insufficient_baseline"), "median_a")
+
+
+QUERIES = {f.__name__: f for f in (qualifying_history, short_histories, qualifying_rates, keys_of_urls, pack_of_urls, newest_packs, packs_listed, auto_versions, closed_runs, blob_bodies, metric_families)}
 
 _QUALIFYING = f"""q AS (
   SELECT c_nationkey AS domain, c_mktsegment AS entity, o_totalprice::DECIMAL(18, 6) AS price, o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey
   WHERE o_orderdate >= TIMESTAMP '{_SINCE}' AND o_orderstatus <> 'F' AND o_orderkey % 4 < 2
 )"""
 SQL = {
-    "qualifying_history": f"WITH {_QUALIFYING} SELECT domain, entity, count(*) AS runs, round_even(quantile_cont(trunc(price)::INT, 0.5), 0)::BIGINT AS median_rows, count(*) < 3 AS insufficient_baseline FROM q GROUP BY 1, 2",
+    "qualifying_history": f"WITH {_QUALIFYING} SELECT domain, entity, count(*) AS runs, CASE WHEN count(*) >= 3 THEN round_even(quantile_cont(trunc(price)::INT, 0.5), 0)::BIGINT END AS median_rows, count(*) < 3 AS insufficient_baseline FROM q GROUP BY 1, 2",
+    "short_histories": f"""WITH {_QUALIFYING.replace(_SINCE, _LATE)}, packs AS (SELECT DISTINCT c_nationkey AS domain, c_mktsegment AS entity FROM customer)
+SELECT domain, entity, count(o_orderkey) AS runs, CASE WHEN count(o_orderkey) >= 3 THEN round_even(quantile_cont(trunc(price)::INT, 0.5), 0)::BIGINT END AS median_rows, count(o_orderkey) < 3 AS insufficient_baseline,
+  CASE WHEN count(o_orderkey) >= 3 THEN quantile_cont((o_orderkey % 8) / 8, 0.5) END AS median_a FROM packs LEFT JOIN q USING (domain, entity) GROUP BY 1, 2""",
     "qualifying_rates": f"""WITH {_QUALIFYING} SELECT domain, entity, field, quantile_cont(rate, 0.5) AS median FROM (
-  SELECT domain, entity, 'a' AS field, (o_orderkey % 8) / 8 AS rate FROM q UNION ALL SELECT domain, entity, 'b', 0.5::DOUBLE FROM q) GROUP BY 1, 2, 3""",
+  SELECT domain, entity, 'a' AS field, (o_orderkey % 8) / 8 AS rate FROM q UNION ALL SELECT domain, entity, 'b', 0.5::DOUBLE FROM q) GROUP BY 1, 2, 3 HAVING count(*) >= 3""",
     "keys_of_urls": "SELECT DISTINCT l_returnflag AS entity, l_partkey || '-' || l_linenumber AS natural_key FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linestatus <> 'F' AND p_size = 7",
     "pack_of_urls": "SELECT l_returnflag AS entity, p_brand || '/' || p_size AS url, min(l_suppkey) AS pack_id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_linestatus <> 'F' GROUP BY 1, 2",
     "newest_packs": "SELECT c_nationkey AS domain, c_mktsegment AS entity, max(c_custkey) AS version, max(c_custkey) AS pack_id FROM customer GROUP BY 1, 2",

@@ -7,6 +7,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenant.held import held
 from provenant.operators import classify, quality, validate
 from provenant.operators.contract import Contract, Field
 
@@ -46,7 +47,7 @@ PROFILES = (
 ), judged AS (
   SELECT p.*, b.baseline_runs, b.median_14d, CASE WHEN b.median_14d <> 0 THEN (p.rows_considered - b.median_14d) / b.median_14d END AS deviation, b.baseline_runs < 3 AS insufficient_baseline
   FROM profiles p JOIN (
-    SELECT p.day, count(q.day) AS baseline_runs, round_even(quantile_cont(q.rows_considered, 0.5), 0)::BIGINT AS median_14d FROM profiles p LEFT JOIN profiles q ON q.day < p.day AND q.day >= p.day - 14 GROUP BY p.day
+    SELECT p.day, count(q.day) AS baseline_runs, CASE WHEN count(q.day) >= 3 THEN round_even(quantile_cont(q.rows_considered, 0.5), 0)::BIGINT END AS median_14d FROM profiles p LEFT JOIN profiles q ON q.day < p.day AND q.day >= p.day - 14 GROUP BY p.day
   ) b ON b.day = p.day
 ), signals AS (
   SELECT day, 'fill_rate_below_declared' AS trigger, 'k' AS field, false AS escalate_only, fill_rate_k AS observed, 0.9::DOUBLE AS threshold FROM judged WHERE fill_rate_k < 0.9
@@ -63,7 +64,8 @@ PROFILES = (
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.with_baseline(quality.profile(event_rows(spark, sf_dir), EVENTS, "day"), EVENTS, "day")
+    """A row for each day, held: what reads it several times doesn't make it again."""
+    return held(quality.with_baseline(held(quality.profile(event_rows(spark, sf_dir), EVENTS, "day"), "profile"), EVENTS, "day"), "baseline")
 
 
 def daily_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +92,7 @@ def history_count_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = e.agg(F.max("day").alias("end"))
     days = e.groupBy("user_id", "day").agg(F.count(F.lit(1)).alias("n"))
     recent = days.crossJoin(F.broadcast(end)).filter(F.col("day") > F.date_sub("end", 14))  # one row: the last day
-    return recent.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.expr("cast(bround(percentile_cont(0.5) WITHIN GROUP (ORDER BY n), 0) AS bigint)").alias("median_rows"))
+    return recent.groupBy("user_id").agg(F.count(F.lit(1)).alias("runs"), F.expr("CASE WHEN count(1) >= 3 THEN cast(bround(percentile_cont(0.5) WITHIN GROUP (ORDER BY n), 0) AS bigint) END").alias("median_rows"))
 
 
 def history_field_median(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +150,11 @@ def fill_drop_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.metric_rows(profiles(spark, sf_dir), EVENTS, "day")
+    """Each day's metrics; types of events stand for HTTP statuses, tenths of rows for seconds."""
+    http = event_rows(spark, sf_dir).groupBy("day", "event_type").agg(F.count(F.lit(1)).alias("n")).groupBy("day").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("http"))  # a day's types are few
+    p = profiles(spark, sf_dir).join(http, "day").withColumns({"status": F.when(F.col("duplicate_rate") > 0.02, "degraded").otherwise("ok"), "seconds": F.col("rows_considered") / 10})
+    rows = quality.metric_rows(p, EVENTS, "day", "shop", "event")
+    return rows.withColumn("labels", F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat_ws("=", e["key"], e["value"])), ","))
 
 
 def user_days(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -252,7 +258,7 @@ QUERIES = {
 SQL = {
     "daily_profile": DAILY_PROFILE,
     "history_count_median": f"""WITH {EVENT_ROWS}, days AS (SELECT user_id, day, count(*) AS n FROM rows GROUP BY 1, 2)
-SELECT user_id, count(*) AS runs, round_even(quantile_cont(n, 0.5), 0)::BIGINT AS median_rows FROM days WHERE day > (SELECT max(day) FROM rows) - 14 GROUP BY user_id""",
+SELECT user_id, count(*) AS runs, CASE WHEN count(*) >= 3 THEN round_even(quantile_cont(n, 0.5), 0)::BIGINT END AS median_rows FROM days WHERE day > (SELECT max(day) FROM rows) - 14 GROUP BY user_id""",
     "history_field_median": f"""WITH {PROFILES} SELECT field, round(quantile_cont(rate, 0.5), 9) AS median FROM (
   SELECT 'user_id' AS field, fill_rate_user_id AS rate FROM profiles UNION ALL SELECT 'event_type', fill_rate_event_type FROM profiles UNION ALL SELECT 'value', fill_rate_value FROM profiles UNION ALL SELECT 'k', fill_rate_k FROM profiles) GROUP BY field""",
     "p95_nearest_rank": "SELECT event_type, coalesce(quantile_disc(value, 0.95), 0) AS p95 FROM events GROUP BY event_type",
@@ -269,13 +275,14 @@ UNION ALL SELECT 'range_rate', outside / n, outside / n <= 0.05 FROM one UNION A
     "fill_drop_triggers": f"""WITH {PROFILES}, rates AS (
   SELECT day, insufficient_baseline, unnest([('user_id', fill_rate_user_id), ('event_type', fill_rate_event_type), ('value', fill_rate_value), ('k', fill_rate_k)]) AS r FROM judged
 ), flat AS (SELECT day, insufficient_baseline, r[1] AS field, r[2] AS rate FROM rates), medians AS (
-  SELECT p.day, p.field, quantile_cont(q.rate, 0.5) AS median FROM flat p JOIN flat q ON q.field = p.field AND q.day < p.day AND q.day >= p.day - 14 GROUP BY p.day, p.field
+  SELECT p.day, p.field, quantile_cont(q.rate, 0.5) AS median FROM flat p JOIN flat q ON q.field = p.field AND q.day < p.day AND q.day >= p.day - 14 GROUP BY p.day, p.field HAVING count(*) >= 3
 ) SELECT f.day, f.field, round(f.rate, 9) AS observed, round(m.median, 9) AS threshold FROM flat f JOIN medians m USING (day, field) WHERE NOT insufficient_baseline AND f.rate < m.median""",
-    "metric_rows": f"""WITH {PROFILES} SELECT * FROM (
-  SELECT day, 'fill_rate' AS name, 'user_id' AS label, fill_rate_user_id::DOUBLE AS value FROM judged UNION ALL SELECT day, 'fill_rate', 'event_type', fill_rate_event_type FROM judged UNION ALL SELECT day, 'fill_rate', 'value', fill_rate_value FROM judged
-  UNION ALL SELECT day, 'fill_rate', 'k', fill_rate_k FROM judged UNION ALL SELECT day, 'range_violation_rate', 'value', range_rate_value FROM judged UNION ALL SELECT day, 'enum_violations', 'event_type', enum_event_type FROM judged
-  UNION ALL SELECT day, 'rows_considered', '', rows_considered FROM judged UNION ALL SELECT day, 'duplicate_rate', '', duplicate_rate FROM judged UNION ALL SELECT day, 'natural_key_missing', '', natural_key_missing FROM judged
-  UNION ALL SELECT day, 'row_count_deviation', '', CASE WHEN NOT insufficient_baseline THEN deviation END FROM judged) WHERE value IS NOT NULL""",
+    "metric_rows": f"""WITH {PROFILES}, x AS (SELECT j.*, 'domain=shop,entity=event' AS de FROM judged j) SELECT * FROM (
+  SELECT day, 'field_fill_rate' AS name, de || ',field=user_id' AS labels, fill_rate_user_id::DOUBLE AS value FROM x UNION ALL SELECT day, 'field_fill_rate', de || ',field=event_type', fill_rate_event_type FROM x UNION ALL SELECT day, 'field_fill_rate', de || ',field=value', fill_rate_value FROM x
+  UNION ALL SELECT day, 'field_fill_rate', de || ',field=k', fill_rate_k FROM x UNION ALL SELECT day, 'range_violations_total', de || ',field=value', nullif(round(range_rate_value * rows_considered), 0) FROM x
+  UNION ALL SELECT day, 'row_count_deviation', de, CASE WHEN NOT insufficient_baseline THEN deviation END FROM x UNION ALL SELECT day, 'duplicate_rate', de, duplicate_rate FROM x UNION ALL SELECT day, 'rows_extracted_total', de, rows_considered FROM x
+  UNION ALL SELECT day, 'run_duration_seconds', de || ',status=' || CASE WHEN duplicate_rate > 0.02 THEN 'degraded' ELSE 'ok' END, rows_considered / 10 FROM x
+  UNION ALL SELECT day, 'pages_fetched_total', 'domain=shop,fetcher=httpx,http_status=' || event_type, count(*) FROM rows GROUP BY day, event_type) WHERE value IS NOT NULL""",
     "precheck_verdict": f"WITH {USER_DAYS} SELECT user_id, day, verdict FROM verdicts",
     "throttle_verdict": f"WITH {USER_DAYS} SELECT user_id, day, pages > 0 AND 2 * (n429 + n403) > pages AS throttled FROM runs",
     "final_status": f"WITH {USER_DAYS} SELECT user_id, day, CASE WHEN autos > 3 THEN 'failed' WHEN verdict <> 'ok' OR n429 > 0 THEN 'degraded' WHEN valid < 2 THEN 'failed' ELSE 'ok' END AS status FROM verdicts",
