@@ -27,14 +27,17 @@ from provenant.llm.shared import free_name, hold, keep_ids, with_values
 
 #: Words that a line must have to be a chunk by itself, and that a chunk of several lines must have.
 LONG, LEAST = 50, 20
+#: Bytes that count as a word where there are no blanks: some ten characters of Chinese, Japanese or Thai.
+WIDE = 30
 #: Put before a line that begins a chunk; texts have a third character after each first one of their own.
 _SIGN, _OWN, _WRITTEN = "\x01\x02", "\x01", "\x01\x03"
 
 
 def _words(text: Column) -> Column:
-    """Blank-separated words of a line or chunk, about: its blanks and line feeds, and one."""
+    """Blank-separated words of a line or chunk, about: its blanks and line feeds, and one; or as many as ``WIDE`` bytes go into it, if that is more."""
     without = F.replace(F.replace(text, F.lit(" "), F.lit("")), F.lit("\n"), F.lit(""))
-    return F.octet_length(text) - F.octet_length(without) + 1
+    size = F.octet_length(text)
+    return F.greatest(size - F.octet_length(without) + 1, F.floor(size / WIDE).cast("int"))
 
 
 def _has_words(text: Column, least: Column | int) -> Column:
@@ -164,7 +167,7 @@ def passage_dedup(docs: DataFrame) -> DataFrame:
 
 def _row(text: str = "text"):
     """Names a row by doc_id and text; rows that agree in both are one occurrence."""
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit("")))))
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
 
 
 def line_dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:

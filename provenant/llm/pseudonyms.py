@@ -15,16 +15,18 @@ kind   what is taken                                            what changes
 =====  =======================================================  =============================================
 card   13 to 19 digits, in groups of four or 4-6-5, by Luhn      all digits; the last one is the new check digit
 iban   country, check digits, account; right modulo 97          the account; check digits are made anew
-ssn    ddd-dd-dddd with a possible area, group and serial       all digits
+ssn    ddd-dd-dddd with a possible area, group and serial       area, group and serial, each a possible one
 phone  with + and country, with an area in brackets, ddd-ddd-dddd  all digits but the country's
 ip     four octets                                              the octets
 date   yyyy-mm-dd, dd.mm.yyyy, dd/mm/yyyy or mm/dd/yyyy,        the day, within the same two hundred years;
-       1900 to 2099, existing                                   month first: among days that read so
+       1900 to 2099, existing                                   among days of the same kind, see below
 email  name@domain                                              letters and digits of the name
 =====  =======================================================  =============================================
 
-What fails its validation is left as it is. A date with slashes is read day first where that is a day. Those that
-are not are permuted among themselves: days up to the 28th, and the 29th, 30th, 31st and leap days each by itself.
+What fails its validation is left as it is; so is a name of more than 64 characters before an @, which is no address. A
+date with slashes is read day first where that is a day. A day has one pseudonym, however it is written: days up to
+the 12th are permuted among themselves, those up to the 28th, and the 29th, 30th, 31st and leap days each by itself, so
+that a date written month first is never taken for one written day first.
 """
 
 from __future__ import annotations
@@ -53,7 +55,6 @@ PATTERN = "|".join(
 )
 #: A country's calling code, at the start of a number's digits.
 _COUNTRY = "^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
-_DAYS = (17, 4297)  # their product is the number of days from 1900-01-01 to 2099-12-31
 
 
 def _ord(c: Column) -> Column:
@@ -91,9 +92,9 @@ def _month_first(raw: Column) -> Column:
 
 
 def _day_group(day: Column) -> Column:
-    """Days above the 12th in groups, each a rectangle of two numbers."""
+    """Days in groups, each a rectangle of two numbers."""
     d = F.dayofmonth(day)
-    return F.when(d <= 28, "28").when(d == 31, "31").when(d == 30, "30").when(F.month(day) == 2, "leap").otherwise("29")
+    return F.when(d <= 12, "12").when(d <= 28, "28").when(d == 31, "31").when(d == 30, "30").when(F.month(day) == 2, "leap").otherwise("29")
 
 
 def _group_numbers(day: Column) -> tuple[Column, Column]:
@@ -102,17 +103,17 @@ def _group_numbers(day: Column) -> tuple[Column, Column]:
     longs = lambda *x: F.array(*[(v if isinstance(v, Column) else F.lit(v)).cast("long") for v in x])
     at = lambda months: F.array_position(F.array(*[F.lit(m) for m in months]), month) - 1
     leap = F.floor((year - 4) / 4)  # 1904 is the first leap year, and there are 49
-    values = F.when(group == "28", longs(year * 12 + month - 1, d - 13)).when(group == "31", longs(year, at(_LONG_MONTHS))).when(group == "leap", longs(F.floor(leap / 7), leap % 7)).otherwise(longs(year, at(_MONTHS)))
-    radices = F.when(group == "28", longs(2400, 16)).when(group == "31", longs(200, len(_LONG_MONTHS))).when(group == "leap", longs(7, 7)).otherwise(longs(200, len(_MONTHS)))
+    values = F.when(group == "12", longs(year * 12 + month - 1, d - 1)).when(group == "28", longs(year * 12 + month - 1, d - 13)).when(group == "31", longs(year, at(_LONG_MONTHS))).when(group == "leap", longs(F.floor(leap / 7), leap % 7)).otherwise(longs(year, at(_MONTHS)))
+    radices = F.when(group == "12", longs(2400, 12)).when(group == "28", longs(2400, 16)).when(group == "31", longs(200, len(_LONG_MONTHS))).when(group == "leap", longs(7, 7)).otherwise(longs(200, len(_MONTHS)))
     return values, radices
 
 
-def _group_day(group: Column, v: Column) -> Column:
+def _of_group(group: Column, v: Column) -> Column:
     """The day of a group that has these numbers."""
     month = lambda months: F.get(F.array(*[F.lit(m) for m in months]), v[1].cast("int"))
     date = lambda y, m, d: F.make_date(y.cast("int"), m.cast("int"), d.cast("int") if isinstance(d, Column) else F.lit(d))
     return (
-        F.when(group == "28", date(1900 + F.floor(v[0] / 12), v[0] % 12 + 1, v[1] + 13))
+        F.when(group.isin("12", "28"), date(1900 + F.floor(v[0] / 12), v[0] % 12 + 1, v[1] + F.when(group == "12", 1).otherwise(13)))
         .when(group == "31", date(1900 + v[0], month(_LONG_MONTHS), 31))
         .when(group == "leap", date(1904 + 4 * (7 * v[0] + v[1]), F.lit(2), 29))
         .when(group == "30", date(1900 + v[0], month(_MONTHS), 30))
@@ -161,7 +162,7 @@ def _span(raw: Column, kind: Column) -> Column:
 
 def _tweak(raw: Column, kind: Column) -> Column:
     """What stays of a value and tells its permutation from others of its kind."""
-    return F.when(kind == "email", F.concat(F.lit("email:"), F.lower(F.substring_index(raw, "@", -1)))).when(kind == "iban", F.concat(F.lit("iban:"), F.substring(raw, 1, 2))).when((kind == "date") & _month_first(raw), F.concat(F.lit("date:"), _day_group(_iso(raw)))).otherwise(kind)
+    return F.when(kind == "email", F.concat(F.lit("email:"), F.lower(F.substring_index(raw, "@", -1)))).when(kind == "iban", F.concat(F.lit("iban:"), F.substring(raw, 1, 2))).when(kind == "date", F.concat(F.lit("date:"), _day_group(_iso(raw)))).otherwise(kind)
 
 
 def _radix(c: Column) -> Column:
@@ -186,13 +187,13 @@ def _numbers(s: Column) -> Column:
     one, part = F.size(at) == 1, F.floor(F.get(radices, F.lit(0)) / 2)
     first, two = F.get(values, F.lit(0)), F.lit(2).cast("long")
     radices, values = F.when(one, F.array(two, part)).otherwise(radices), F.when(one, F.array(F.floor(first / part), first % part)).otherwise(values)
-    day = F.datediff(_iso(raw), F.lit("1900-01-01").cast("date")).cast("long")
     many = lambda *x: F.array(*[F.lit(v).cast("long") for v in x])
-    in_group = (kind == "date") & _month_first(raw)
+    area, group, serial = (F.substring(raw, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
+    social = F.array(area - F.when(area < 666, 1).otherwise(2), group - 1, serial - 1)
     group_values, group_radices = _group_numbers(_iso(raw))
     return F.struct(
-        F.when(in_group, group_values).when(kind == "date", F.array(F.floor(day / _DAYS[1]), day % _DAYS[1])).when(kind == "ip", F.transform(F.split(raw, r"\."), lambda o: o.cast("long"))).otherwise(values).alias("values"),
-        F.when(in_group, group_radices).when(kind == "date", many(*_DAYS)).when(kind == "ip", many(256, 256, 256, 256)).otherwise(radices).alias("radices"),
+        F.when(kind == "date", group_values).when(kind == "ssn", social).when(kind == "ip", F.transform(F.split(raw, r"\."), lambda o: o.cast("long"))).otherwise(values).alias("values"),
+        F.when(kind == "date", group_radices).when(kind == "ssn", many(898, 99, 9999)).when(kind == "ip", many(256, 256, 256, 256)).otherwise(radices).alias("radices"),
     )
 
 
@@ -238,14 +239,16 @@ def _written(s: Column) -> Column:
     iban = F.concat(F.substring(text, 1, 2), F.lpad(check.cast("string"), 2, "0"), F.substring(text, 5, 60))
     mark = F.substring(raw, 3, 1)
     day_first = ~_month_first(raw)
-    day = F.when(day_first, F.date_add(F.lit("1900-01-01").cast("date"), (v[0] * _DAYS[1] + v[1]).cast("int"))).otherwise(_group_day(_day_group(_iso(raw)), v))
+    day = _of_group(_day_group(_iso(raw)), v)
     date = (
         F.when(F.substring(raw, 5, 1) == "-", F.date_format(day, "yyyy-MM-dd"))
         .when(day_first, F.concat_ws("", F.date_format(day, "dd"), mark, F.date_format(day, "MM"), mark, F.date_format(day, "yyyy")))
         .otherwise(F.concat_ws("", F.date_format(day, "MM"), mark, F.date_format(day, "dd"), mark, F.date_format(day, "yyyy")))
     )
+    number = lambda x, n: F.lpad(x.cast("string"), n, "0")
+    ssn = F.concat_ws("-", number(v[0] + F.when(v[0] < 665, 1).otherwise(2), 3), number(v[1] + 1, 2), number(v[2] + 1, 4))
     ip = F.array_join(F.transform(v, lambda o: o.cast("string")), ".")
-    return F.when(kind == "card", card).when(kind == "iban", iban).when(kind == "date", date).when(kind == "ip", ip).otherwise(text)
+    return F.when(kind == "card", card).when(kind == "iban", iban).when(kind == "date", date).when(kind == "ssn", ssn).when(kind == "ip", ip).otherwise(text)
 
 
 def with_pseudonyms(docs: DataFrame, key: str, text: str = "text", found: str = "found") -> DataFrame:

@@ -138,7 +138,7 @@ FROM placed
 """,
     "op8_line_dedup": r"""
 WITH lines AS (
-  SELECT doc_id, i, x[i] AS line, length(x[i]) - length(translate(x[i], ' ', '')) + 1 >= 50 AS long, md5(x[i]) AS h
+  SELECT doc_id, i, x[i] AS line, greatest(length(x[i]) - length(translate(x[i], ' ', '')) + 1, strlen(x[i]) // 30) >= 50 AS long, md5(x[i]) AS h
   FROM (SELECT doc_id, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))
 ), marked AS (
   SELECT *, CASE WHEN i = 1 OR long OR lag(long) OVER w OR md5(lag(h, 2) OVER w || lag(h) OVER w) < '8' THEN 1 ELSE 0 END AS begins FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY i)
@@ -147,7 +147,7 @@ WITH lines AS (
 ), chunks AS (
   SELECT doc_id, pos, string_agg(line, chr(10) ORDER BY i) AS chunk, count(*) AS n, any_value(long) AS long FROM numbered GROUP BY doc_id, pos
 ), judged AS (
-  SELECT *, ((n > 1 AND length(chunk) - length(translate(chunk, ' ' || chr(10), '')) + 1 >= 20) OR (n = 1 AND long))
+  SELECT *, ((n > 1 AND greatest(length(chunk) - length(translate(chunk, ' ' || chr(10), '')) + 1, strlen(chunk) // 30) >= 20) OR (n = 1 AND long))
     AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS gone FROM chunks
 ), kept AS (
   SELECT doc_id, count(*) FILTER (WHERE gone) AS removed, coalesce(string_agg(chunk, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '') AS t FROM judged GROUP BY doc_id

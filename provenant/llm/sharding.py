@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from provenant.llm.shared import hold
+from provenant.llm.shared import free_name, hold
 
 SHARDS = 8
 _DIGITS = 3  # of the first prefixes: 16**3
@@ -66,7 +66,31 @@ def _stretches(prefix: list[int], low: int, high: int, shards: int) -> set[int]:
 
 
 def boundaries(groups: DataFrame, shards: int = SHARDS) -> tuple[list[str], int]:
-    """The digests at which shards 1, 2, ... begin, and the capacity; ``groups`` is held: (key, weight)."""
+    """The digests at which shards 1, 2, ... begin, and the capacity; ``groups`` is held: (key, weight).
+
+    A group that is heavier than a shard's share is a shard by itself, if what stands before and after it fits into
+    shards of at most its weight: these two stretches are cut by themselves, with the shards that are left.
+    """
+    total, heaviest, key = groups.agg(F.sum("weight"), F.max("weight"), F.max_by("key", F.struct("weight", "key"))).first()
+    if not shards:
+        return [], 0
+    if total and shards > 1 and heaviest * shards > total:
+        sides = [groups.filter(F.col("key") < key), groups.filter(F.col("key") > key)]
+        before, first_after = groups.agg(F.coalesce(F.sum(F.when(F.col("key") < key, F.col("weight"))), F.lit(0)), F.min(F.when(F.col("key") > key, F.col("key")))).first()
+        after = total - heaviest - before
+        rest = shards - 1
+        if rest >= (before > 0) + (after > 0):
+            # the split whose larger share is the smallest; both sides have a shard at least, if they have anything
+            few, most = int(before > 0), rest - int(after > 0)
+            left = min(range(few, most + 1), key=lambda a: max(before / a if a else 0, after / (rest - a) if rest > a else 0))
+            (a, high_a), (b, high_b) = (boundaries(side, n) for side, n in zip(sides, (left, rest - left), strict=True))
+            if max(high_a, high_b) <= heaviest:
+                return [*a, *([key] if before else []), *([first_after] if after else []), *b], heaviest
+    return _plain(groups, shards)
+
+
+def _plain(groups: DataFrame, shards: int) -> tuple[list[str], int]:
+    """``boundaries`` where no group is set apart."""
 
     def weights(rows: DataFrame, digits: int) -> list[tuple[str, int, int]]:
         return [tuple(r) for r in rows.groupBy(F.substring("key", 1, digits).alias("p")).agg(F.sum("weight"), F.count(F.lit(1))).collect()]
@@ -108,8 +132,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs``, by the law ``bytes``.
 
     A size is the text's UTF-8 bytes and 1; null texts count as empty. Equal texts share a shard, so a shard can
-    be no smaller than the largest group of copies, and some shards stay empty if one group is larger than a
-    shard's share. Rows that repeat, and rows without a doc_id, have slots of their own; other columns are ignored;
+    be no smaller than the largest group of copies; the other shards share what is left. Rows that repeat, and rows without a doc_id, have slots of their own; other columns are ignored;
     an empty table gives no rows. Slots number the rows of a shard without gaps, by digest and then doc_id in each of some
     cells, so that neither a shard nor a group of copies has to be sorted in one task.
     """
@@ -133,10 +156,16 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, files: int = 8) -> None:
-    """Writes ``docs`` to folders shard=0, shard=1, ... of up to ``files`` Parquet files each. Rows go where their text's digest says."""
+    """Writes ``docs`` to folders shard=0, shard=1, ... of up to ``files`` Parquet files each. Rows go where their text's digest says.
+
+    Null texts count as empty, repeated rows stay, an empty table writes no folder. A column of the caller's that is
+    called ``shard`` is kept as ``shard_``, with more underscores if that is taken, too.
+    """
     text = F.coalesce("text", F.lit(""))
     groups = hold(docs.select(F.sha2(text, 256).alias("key"), (F.octet_length(text) + 1).cast("long").alias("size")).groupBy("key").agg(F.sum("size").alias("weight")), "op7-groups")
     begins, _ = boundaries(groups, shards)
+    for own in [c for c in docs.columns if c.lower() == "shard"]:
+        docs = docs.withColumnRenamed(own, free_name(docs, "shard"))
+    columns = docs.columns
     dealt = docs.withColumn("shard", _shard(F.sha2(text, 256), begins))
-    columns = [c for c in docs.columns if c != "shard"]
     dealt.select(*columns, "shard").repartition(shards * files, "shard", F.pmod(F.xxhash64(*columns), F.lit(files))).write.partitionBy("shard").parquet(path)
