@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from provenant.held import held
 from provenant.operators import integrity, replay, responses
 from provenant.plans.runs import table
 from provenant.plans.web import _robots
+from provenant.sources import folders
 
 #: The tables of the rules as SQL over the given ones; the same text in both engines. Each rule has rows that break it.
 _TABLES = {
@@ -79,7 +81,16 @@ def host_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.host_intervals(answers, F.lit("2024-02-01 00:00:00").cast("timestamp"), 0.5, policy)
 
 
-QUERIES = {f.__name__: f for f in (integrity_rules, interval_breaks, provenance, key_order, host_intervals)}
+def index_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files in folders of their source and language, indexed twice: in some sources nothing has changed."""
+    d = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang", "doc_id").alias("path"), F.md5("text").alias("digest"), "doc_id", "source")
+    odd = F.col("source").isin("src3", "src7")
+    now = d.filter(~(odd & (F.col("doc_id") % 10 == 1))).withColumn("digest", F.when(odd & (F.col("doc_id") % 10 == 2), "x").otherwise(F.col("digest")))
+    before = d.filter(~(odd & (F.col("doc_id") % 10 == 3)))
+    return folders.descend(held(folders.index(before), "index"), held(folders.index(now), "index"))[0]
+
+
+QUERIES = {f.__name__: f for f in (index_descent, integrity_rules, interval_breaks, provenance, key_order, host_intervals)}
 
 
 def _rules_sql() -> str:
@@ -109,6 +120,9 @@ def _rules_sql() -> str:
 
 _URL = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '')"
 SQL = {
+    "index_descent": """WITH d AS (SELECT source || '/' || lang || '/' || doc_id AS path, md5(text) AS digest, doc_id, source IN ('src3', 'src7') AS odd FROM documents),
+a AS (SELECT path, digest FROM d WHERE NOT (odd AND doc_id % 10 = 3)), b AS (SELECT path, CASE WHEN odd AND doc_id % 10 = 2 THEN 'x' ELSE digest END AS digest FROM d WHERE NOT (odd AND doc_id % 10 = 1))
+SELECT path, CASE WHEN a.digest IS NULL THEN 'added' WHEN b.digest IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (path) WHERE a.digest IS DISTINCT FROM b.digest""",
     "integrity_rules": _rules_sql(),
     "interval_breaks": """WITH i AS (SELECT DISTINCT o_custkey % 400 AS k, o_orderkey // 500 * 500 AS b, CASE WHEN o_orderkey % 97 > 0 THEN ceil((o_orderkey + 1) / 1000)::BIGINT * 1000 END AS e FROM orders),
 s AS (SELECT k, b, max(e) OVER w AS latest, coalesce(max((e IS NULL)::INT) OVER w, 0) AS open FROM i WINDOW w AS (PARTITION BY k ORDER BY b, e NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
