@@ -24,32 +24,25 @@ class Applied:
     counters: DataFrame
 
 
-def classified(current: DataFrame, incoming: DataFrame) -> DataFrame:
-    """``incoming`` (entity, natural_key, seq, payload_hash, ...) with ``change``: inserted, unchanged, versioned or duplicate.
-
-    Of rows with one key the first by ``seq`` counts, of equal ones that with the least payload_hash; the others are
-    duplicates, whatever they hold.
-    """
-    first = F.row_number().over(Window.partitionBy(*KEYS).orderBy("seq", "payload_hash"))
-    before = current.select(*KEYS, F.col("payload_hash").alias("_hash"), F.lit(True).alias("_known"))
-    j = incoming.withColumn("_n", first).join(before, KEYS, "left")
-    change = F.when(F.col("_n") > 1, "duplicate").when(F.col("_known").isNull(), "inserted").when(F.col("_hash").eqNullSafe(F.col("payload_hash")), "unchanged").otherwise("versioned")
-    return j.withColumn("change", change).drop("_n", "_hash", "_known")
-
-
 def apply(current: DataFrame, incoming: DataFrame, at: Column) -> Applied:
-    """Writes ``incoming`` at one time ``at`` over ``current`` (entity, natural_key, payload_hash, snapshot_id, valid_from, last_seen_at).
+    """Writes ``incoming`` (entity, natural_key, seq, payload_hash, snapshot_id) at one time ``at`` over ``current`` (entity, natural_key, payload_hash, snapshot_id, valid_from, last_seen_at).
+
+    Of incoming rows with one key the first by ``seq`` counts, of equal ones that with the least payload_hash; the others are
+    duplicates, whatever they hold. New and changed keys get an open row from ``at``; what they replace is closed at ``at``,
+    so history has no gap. Unchanged rows keep all but ``last_seen_at``. A replaced row that began at or after ``at`` is an error.
 
-    New and changed keys get an open row from ``at``; what they replace is closed at ``at``, so history has no
-    gap. Unchanged rows keep all but ``last_seen_at``. A replaced row that began at or after ``at`` is an error.
+    The first row of a key is a partial minimum, so a key that comes very often is no large group. Each key is joined
+    once with its open row, and the outcome is held: all parts of the result are read from it.
     """
-    rows = classified(current, incoming)
-    changes = rows.filter("change <> 'duplicate'").select(*KEYS, "change", "payload_hash", "snapshot_id")
-    kept = current.join(changes.filter("change <> 'inserted'").select(*KEYS, "change"), KEYS, "left")
-    stay = kept.filter("change is null or change = 'unchanged'").withColumn("last_seen_at", F.when(F.col("change") == "unchanged", at).otherwise(F.col("last_seen_at"))).drop("change")
-    fresh = changes.filter("change in ('inserted', 'versioned')").select(*KEYS, "payload_hash", "snapshot_id", at.alias("valid_from"), at.alias("last_seen_at"))
-    closed = kept.filter("change = 'versioned'").drop("change").withColumn("valid_to", F.when(at > F.col("valid_from"), at).otherwise(F.raise_error(F.lit("a version must end after it begins"))))
-    counters = rows.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
+    first = incoming.groupBy(*KEYS).agg(F.min(F.struct("seq", "payload_hash", "snapshot_id")).alias("_new"), F.count(F.lit(1)).alias("_rows"))
+    j = current.withColumn("_known", F.lit(True)).join(first, KEYS, "full_outer")
+    change = F.when(F.col("_new").isNull(), None).when(F.col("_known").isNull(), "inserted").when(F.col("payload_hash").eqNullSafe(F.col("_new.payload_hash")), "unchanged").otherwise("versioned")
+    rows = held(j.withColumn("change", change), "scd2")
+    stay = rows.filter("change is null or change = 'unchanged'").withColumn("last_seen_at", F.when(F.col("change") == "unchanged", at).otherwise(F.col("last_seen_at"))).select(*current.columns)
+    fresh = rows.filter("change in ('inserted', 'versioned')").select(*KEYS, "_new.payload_hash", "_new.snapshot_id", at.alias("valid_from"), at.alias("last_seen_at"))
+    closed = rows.filter("change = 'versioned'").select(*current.columns).withColumn("valid_to", F.when(at > F.col("valid_from"), at).otherwise(F.raise_error(F.lit("a version must end after it begins"))))
+    kinds = rows.filter("change is not null").select(F.explode(F.array(F.struct("change", F.lit(1).cast("long").alias("k")), F.struct(F.lit("duplicate").alias("change"), (F.col("_rows") - 1).alias("k")))).alias("c"))
+    counters = kinds.groupBy("c.change").agg(F.sum("c.k").alias("n")).filter("n > 0")
     return Applied(stay.unionByName(fresh), closed, counters)
 
 
