@@ -64,6 +64,24 @@ def gate(results: DataFrame, counts: DataFrame, baseline: DataFrame | None = Non
     return ok.crossJoin(fewer).select((F.col("passed") & (F.col("fewer") == 0)).alias("passed"))  # one row each
 
 
+#: Fixtures that a source must have before its labels count.
+FLOOR = 20
+
+
+def edge_coverage(fixtures: DataFrame, required: DataFrame, waived: DataFrame, floor: int = FLOOR) -> DataFrame:
+    """(source, fixtures, missing, verdict) for each source of ``fixtures`` and ``required``; all three tables have (source, label).
+
+    ``missing`` counts the required labels that no fixture has and nobody waived. The verdict is ``insufficient_fixtures``
+    below the floor, else ``missing_labels`` or ``covered``. Null labels are no fixtures; a label that comes twice is two
+    fixtures, and one requirement.
+    """
+    have = fixtures.filter("label is not null")
+    missing = required.distinct().join(have, ["source", "label"], "left_anti").join(waived, ["source", "label"], "left_anti").groupBy("source").agg(F.count(F.lit(1)).alias("missing"))
+    out = have.groupBy("source").agg(F.count(F.lit(1)).alias("fixtures")).join(required.select("source").distinct(), "source", "full_outer").join(missing, "source", "left").fillna(0, ["fixtures", "missing"])
+    verdict = F.when(F.col("fixtures") < floor, "insufficient_fixtures").when(F.col("missing") > 0, "missing_labels").otherwise("covered")
+    return out.select("source", "fixtures", "missing", verdict.alias("verdict"))
+
+
 def missing_labels(required: DataFrame, present: DataFrame, waived: DataFrame) -> DataFrame:
     """Labels that fixtures should have and don't."""
     return required.join(present, "label", "left_anti").join(waived, "label", "left_anti")

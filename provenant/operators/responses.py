@@ -18,6 +18,12 @@ def fetch_outcome(status: Column) -> Column:
     return F.when(status == 304, "not_modified").when(status == 404, "not_found").when(status.isin(403, 429), "rate_limited").when(status.between(200, 399), "ok").otherwise("error")
 
 
+def page_use(status: Column, unchanged: Column, allowed: Column | None = None) -> Column:
+    """What a run does with a page: ``extract``, ``skip`` if it has not changed, ``refused`` by robots, or ``partial_failure`` for any status but 200 and 304."""
+    refused = ~allowed if allowed is not None else F.lit(False)
+    return F.when(refused, "refused").when(~F.coalesce(status.isin(200, 304), F.lit(False)), "partial_failure").when(unchanged, "skip").otherwise("extract")
+
+
 def retry_after(header: Column, now: Column) -> Column:
     """Seconds to wait: digits, or an HTTP date; 1 without a header that can be read, never below 0 or above 300."""
     date = F.try_to_timestamp(F.regexp_replace(F.trim(header), "^[A-Za-z]{3}, ", ""), F.lit("dd MMM yyyy HH:mm:ss zzz"))
@@ -86,4 +92,4 @@ def decoded(body: pd.Series, name: pd.Series) -> pd.Series:
     return pd.Series([one(b, n) for b, n in zip(body, name, strict=True)])
 
 
-__all__ = ["decoded", "encoding", "fetch_outcome", "host_intervals", "is_json", "last_attempts", "media_type", "retry_after", "schedule"]
+__all__ = ["decoded", "encoding", "fetch_outcome", "host_intervals", "is_json", "last_attempts", "media_type", "page_use", "retry_after", "schedule"]

@@ -90,7 +90,24 @@ def index_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folders.descend(held(folders.index(before), "index"), held(folders.index(now), "index"))[0]
 
 
-QUERIES = {f.__name__: f for f in (index_descent, integrity_rules, interval_breaks, provenance, key_order, host_intervals)}
+def edge_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of cheap parts as fixtures of their brand, which should have each type's sizes; those of one type are waived."""
+    p = table(spark, sf_dir, "part")
+    label = F.concat_ws(":", "p_type", F.col("p_size") % 9).alias("label")
+    fixtures = p.filter("p_retailprice < 950").select(F.col("p_brand").alias("source"), label)
+    required = p.select(F.col("p_brand").alias("source"), label)
+    waived = p.filter("p_type = 'PROMO' or p_brand = 'Brand#3'").select(F.col("p_brand").alias("source"), label).distinct()
+    return replay.edge_coverage(fixtures, required, waived, floor=30)
+
+
+def page_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order keys as pages of many statuses, unchanged or not, refused or not."""
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*[F.lit(s) for s in (200, 304, 404, 500, None, 206, 200)]), (k % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", responses.page_use(status, k % 3 == 0, k % 11 != 0).alias("use"))
+
+
+QUERIES = {f.__name__: f for f in (edge_coverage, page_uses, index_descent, integrity_rules, interval_breaks, provenance, key_order, host_intervals)}
 
 
 def _rules_sql() -> str:
@@ -120,6 +137,11 @@ def _rules_sql() -> str:
 
 _URL = "regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1)), '^www\\.', '')"
 SQL = {
+    "edge_coverage": """WITH p AS (SELECT p_brand AS source, p_type || ':' || (p_size % 9) AS label, p_type, p_retailprice FROM part), f AS (SELECT * FROM p WHERE p_retailprice < 950),
+m AS (SELECT DISTINCT source, label FROM p WHERE p_type <> 'PROMO' AND source <> 'Brand#3' AND (source, label) NOT IN (SELECT (source, label) FROM p WHERE p_type = 'PROMO') AND (source, label) NOT IN (SELECT (source, label) FROM f)),
+c AS (SELECT source, (SELECT count(*) FROM f WHERE f.source = s.source) AS fixtures, (SELECT count(*) FROM m WHERE m.source = s.source) AS missing FROM (SELECT DISTINCT source FROM p) s)
+SELECT *, CASE WHEN fixtures < 30 THEN 'insufficient_fixtures' WHEN missing > 0 THEN 'missing_labels' ELSE 'covered' END AS verdict FROM c""",
+    "page_uses": """SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'refused' WHEN o_orderkey % 7 IN (2, 3, 4, 5) THEN 'partial_failure' WHEN o_orderkey % 3 = 0 THEN 'skip' ELSE 'extract' END AS use FROM orders""",
     "index_descent": """WITH d AS (SELECT source || '/' || lang || '/' || doc_id AS path, md5(text) AS digest, doc_id, source IN ('src3', 'src7') AS odd FROM documents),
 a AS (SELECT path, digest FROM d WHERE NOT (odd AND doc_id % 10 = 3)), b AS (SELECT path, CASE WHEN odd AND doc_id % 10 = 2 THEN 'x' ELSE digest END AS digest FROM d WHERE NOT (odd AND doc_id % 10 = 1))
 SELECT path, CASE WHEN a.digest IS NULL THEN 'added' WHEN b.digest IS NULL THEN 'removed' ELSE 'changed' END AS change FROM a FULL JOIN b USING (path) WHERE a.digest IS DISTINCT FROM b.digest""",

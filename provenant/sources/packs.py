@@ -40,7 +40,8 @@ class Pack:
         out: dict[str, list[str]] = {}
         for source in self.sources:
             for name, what in source.get("fields", {}).items():
-                out.setdefault(name, list(what.get("transform", [])) if isinstance(what, dict) else [])
+                chain = what.get("transform", []) if isinstance(what, dict) else []
+                out.setdefault(name, list(chain or source.get("transforms", {}).get(name, [])))
         return out
 
 
@@ -85,6 +86,22 @@ def _selectors(source: dict[str, Any]) -> list[str]:
     return wrong
 
 
+#: The least fill rate that a required field may be content with.
+LEAST_FILL = 0.5
+
+
+def _contract(document: dict[str, Any], fields: dict[str, Any]) -> list[str]:
+    """Fields that nothing gives, keys that may be empty, and required fields that may mostly be.
+
+    A source that is no css source may give any field.
+    """
+    given = css_fields(document)
+    open_ended = any(s.get("kind") != "css" for s in document.get("extract", {}).get("sources", []))
+    wrong = [f"unsourced:{name}" for name, f in fields.items() if not (open_ended or name in given or f.get("derived_from"))]
+    wrong += [f"natural_key_optional:{k}" for k in document.get("schema", {}).get("natural_key", []) if k in fields and not fields[k].get("required")]
+    return wrong + [f"min_fill_rate:{name}" for name, f in fields.items() if f.get("required") and f.get("min_fill_rate") is not None and f["min_fill_rate"] < LEAST_FILL]
+
+
 def css_fields(document: dict[str, Any]) -> set[str]:
     """Names of all fields that any css source of a pack document has."""
     return {name for s in document.get("extract", {}).get("sources", []) if s.get("kind") == "css" for name in s.get("fields", {})}
@@ -116,9 +133,12 @@ def check(document: dict[str, Any]) -> list[str]:
             wrong.append("embedded_json:script_id_or_var_name")
         for name, what in source.get("fields", {}).items():
             wrong += [f"{name}:{x}" for x in check_chain(what.get("transform", []))] if isinstance(what, dict) else []
+        for name, chain in source.get("transforms", {}).items():
+            wrong += [f"{name}:{x}" for x in check_chain(chain)]
     declared = document.get("schema", {})
     names = set(declared.get("fields", {}))
     wrong += [f"natural_key:{k}" for k in declared.get("natural_key", []) if k not in names]
+    wrong += _contract(document, declared.get("fields", {}))
     wrong += ["natural_key"] * (not declared.get("natural_key"))
     return wrong
 

@@ -88,13 +88,28 @@ def test_a_pack_must_answer_and_heed_robots():
 
 
 def test_sources_and_domains_of_a_pack():
-    sources = lambda *x: packs.check({**BIKE, "extract": {"sources": list(x)}})
+    sources = lambda *x: [w for w in packs.check({**BIKE, "extract": {"sources": list(x)}}) if not w.startswith("unsourced")]
     assert packs.check({**BIKE, "domain": "a..b"}) == [] and packs.check({**BIKE, "domain": "a..Amazon." + "x" * 70}) == ["denied:amazon"]
     assert sources({"kind": "xhr", "method": "post", "fields": {}}) == ["xhr:method"] and sources({"kind": "xhr", "fields": {}}) == []
     assert sources({"kind": "ftp", "fields": {}}) == ["source:ftp"]
     assert sources({"kind": "css", "row_selector": "a:hover", "fields": {"x": "b > c@d", "y": {"selector": "p["}}}) == ["y:selector", "row_selector:selector"]
 
 
+def test_what_a_contract_must_have():
+    css = {"kind": "css", "fields": {"frame": "td", "model": "h2"}}
+    only = lambda **f: {**BIKE, "extract": {"sources": [css]}, "schema": {"natural_key": ["frame"], "fields": {"frame": {"type": "string", "required": True}, **f}}}
+    assert packs.check(only()) == [] and packs.check(only(gears={"type": "integer"})) == ["unsourced:gears"]
+    assert packs.check(only(gears={"type": "integer", "derived_from": {"source": "model", "transform": "int_from_text"}})) == []
+    assert packs.check(only(model={"type": "string", "required": True, "min_fill_rate": 0.4})) == ["min_fill_rate:model"]
+    assert packs.check(only(frame={"type": "string"})) == ["natural_key_optional:frame"]
+    linked = {"kind": "jsonld", "type": "P", "fields": {"gears": "gears"}, "transforms": {"gears": ["parse_currency", "strip"]}}
+    document = only(gears={"type": "integer"})
+    document["extract"] = {"sources": [css, linked]}
+    assert packs.check(document) == ["gears:transform_type_mismatch:strip"]
+    linked["transforms"]["gears"] = ["strip"]
+    assert packs.pack(document).transforms() == {"frame": [], "model": [], "gears": ["strip"]}
+
+
 @pytest.mark.parametrize("name", sorted(checks.QUERIES))
 def test_checks_agree_with_their_sql(spark, name):
     import duckdb

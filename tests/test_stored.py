@@ -197,3 +197,11 @@ def test_an_index_is_built_verified_and_compared_only_where_folders_differ(spark
     t = lambda d: folders.index(spark.createDataFrame(list(d.items()), "path string, digest string"))
     got = dict(map(tuple, folders.descend(t(old), t(new))[0].collect()))
     assert got == {p: "added" if p not in old else "removed" if p not in new else "changed" for p in paths if old.get(p) != new.get(p)}
+
+
+def test_labels_count_only_from_the_floor_on(spark):
+    t = lambda *rows: spark.createDataFrame(list(rows), "source string, label string")
+    fixtures = t(*[("a", f"l{i}") for i in range(3)], ("a", None), ("b", "l0"), ("c", "x"), ("c", "x"), ("c", "y"))
+    required = t(("a", "l0"), ("a", "l1"), ("a", "l1"), ("b", "l9"), ("c", "x"), ("c", "z"), ("c", "z"), ("c", "w"), ("d", "q"))
+    got = {r.source: tuple(r)[1:] for r in replay.edge_coverage(fixtures, required, t(("c", "w"), ("b", "l9")), floor=3).collect()}
+    assert got == {"a": (3, 0, "covered"), "b": (1, 0, "insufficient_fixtures"), "c": (3, 1, "missing_labels"), "d": (0, 1, "insufficient_fixtures")}
