@@ -182,5 +182,7 @@ def p95_nearest_rank(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def first_of_each(rows: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """The first row of each key in the order of ``seq``; ``duplicate_of_key`` marks none of them."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(seq))).filter("_n = 1").drop("_n")
+    """The first row of each key in the order of ``seq``, null first; a partial minimum, so a very common key is no large group."""
+    rest = [c for c in rows.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(seq)).alias("_first"))
+    return one.select(*[F.col(c) if c in keys else F.col(f"_first.{c}") for c in rows.columns])
