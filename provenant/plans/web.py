@@ -202,7 +202,10 @@ SELECT label, url, decision = 'allowed' AS admitted, CASE WHEN decision = 'disal
     "retry_waits": """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN least(300, o_orderkey % 500) WHEN 1 THEN greatest(0, least(300, o_orderkey % 700 - 200)) ELSE 1 END::DOUBLE AS seconds FROM orders""",
     "charsets": """SELECT page_id, ['utf-8', 'utf-16', 'iso-8859-1', 'windows-1252', 'utf-8', 'x-none'][(page_id % 6)::INT + 1] AS encoding, md5(CASE WHEN page_id % 6 = 3 THEN '<META charset=''Windows-1252''>' ELSE '' END || '<p>é ' || url) AS digest FROM pages""",
     "json_kinds": """SELECT o_orderkey, ['application/json', 'text/json', 'application/ld+json', 'text/html', 'application/jsonp', NULL][(o_orderkey % 6)::INT + 1] AS kind, o_orderkey % 6 < 3 AS is_json FROM orders""",
-    "script_rows": "SELECT page_id, (i - 1)::INT AS pos, i::VARCHAR AS n, url FROM (SELECT page_id, url, unnest(range(1, page_id % 4 + 1)) AS i FROM pages WHERE page_id % 3 > 0)",
+    "script_rows": """WITH p AS (
+  SELECT page_id, '{"list":{"items":[' || coalesce(array_to_string(list_transform(range(1, page_id % 4 + 1), lambda i: '{"n":' || i || ',"of":{"url":"' || url || '"}}'), ','), '') || ']}}' AS j FROM pages WHERE page_id % 3 > 0
+), r AS (SELECT page_id, unnest(json_extract(j, '$.list.items[*]')) AS r, generate_subscripts(json_extract(j, '$.list.items[*]'), 1) - 1 AS pos FROM p)
+SELECT page_id, pos::INT AS pos, json_extract_string(r, '$.n') AS n, json_extract_string(r, '$.of.url') AS url FROM r""",
     "json_answers": """SELECT s_suppkey, pos::INT AS pos, CASE WHEN pos = 0 THEN s_nationkey::VARCHAR END AS id FROM supplier, (VALUES (0), (1)) v(pos) WHERE s_nationkey % 6 NOT IN (2, 3, 4)""",
     "snapshot_plan": """WITH old AS (
   SELECT user_id, ts, event_id, sha256(event_type) AS hash, 'k' || event_id AS key, CASE WHEN event_id % 2 = 0 THEN 'e' || event_id END AS etag FROM events WHERE ts < TIMESTAMP '2024-01-16'
@@ -224,7 +227,9 @@ SELECT p_partkey, row_ix, CASE WHEN in_a THEN first WHEN in_b THEN p_type END AS
   CASE WHEN priced THEN p_size WHEN in_b THEN p_size + 1 END::DOUBLE AS amount, CASE WHEN priced THEN 'EUR' WHEN in_b THEN 'USD' END AS currency, CASE WHEN priced THEN 'a' WHEN in_b THEN 'b' END AS price_source,
   substring(sha256(trim(p_brand || ' ' || coalesce(CASE WHEN in_a THEN first WHEN in_b THEN p_type END, ''))), 1, 16) AS key FROM c""",
     "optional_counts": "SELECT 'type' AS field, count(*) FILTER (p_partkey % 7 > 0 AND p_type IS NOT NULL) AS n FROM part UNION ALL SELECT 'size', count(p_size) FROM part",
-    "gate_verdict": "SELECT 'fixtures' AS what, true AS passed UNION ALL SELECT 'baseline', count(*) FILTER (p_partkey % 7 = 0 AND p_type IS NOT NULL) = 0 FROM part",
+    "gate_verdict": """WITH e AS (SELECT p_brand AS fixture, p_partkey AS ix, unnest([{'f': 'name', 'v': p_name}, {'f': 'type', 'v': CASE WHEN p_partkey % 7 > 0 THEN p_type END}, {'f': 'size', 'v': p_size::VARCHAR}], recursive := true) FROM part),
+ok AS (SELECT count(*) FILTER (e.f = 'name' AND e.v IS DISTINCT FROM a.v) = 0 AS passed FROM e LEFT JOIN e a ON a.fixture = e.fixture AND a.ix = e.ix AND a.f = e.f)
+SELECT 'fixtures' AS what, passed FROM ok UNION ALL SELECT 'baseline', passed AND (SELECT count(v) FROM e WHERE f = 'type') >= (SELECT count(p_type) FROM part) FROM ok""",
     "labels_missing": """SELECT label, replace(label, ':', '__') AS folder FROM (SELECT p_brand || ':' || p_size AS label FROM part WHERE p_brand <> 'Brand#1' EXCEPT SELECT p_brand || ':' || p_size FROM part WHERE p_retailprice > 1500)""",
     "safe_keys": "SELECT p_partkey, p_partkey % 8 IN (0, 5) AS safe FROM part",
 }
