@@ -132,9 +132,10 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) for each row of ``docs``, by the law ``bytes``.
 
     A size is the text's UTF-8 bytes and 1; null texts count as empty. Equal texts share a shard, so a shard can
-    be no smaller than the largest group of copies; the other shards share what is left. Rows that repeat, and rows without a doc_id, have slots of their own; other columns are ignored;
-    an empty table gives no rows. Slots number the rows of a shard without gaps, by digest and then doc_id in each of some
-    cells, so that neither a shard nor a group of copies has to be sorted in one task.
+    be no smaller than the largest group of copies; the other shards share what is left. Rows that repeat, and rows without a
+    doc_id, have slots of their own; other columns are ignored; an empty table gives no rows. Slots number the rows of a shard
+    without gaps, by digest and then doc_id in each of some cells, so that neither a shard nor a group of copies has to be
+    sorted in one task.
     """
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.sha2(text, 256).alias("key"))
