@@ -94,6 +94,13 @@ def endpoint_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (seed_list_urls, paginate_links, css_fields, css_rows, extract_chain, inline_json_rows, jsonld_first, block_detect, soft_404, strip_text, fetch_outcome, retry_attempts, endpoint_urls)}
 
+#: The pages of ``_augmented`` once more.
+_PAGES = """a AS (
+  SELECT page_id, CASE WHEN page_id % 12 = 4 THEN 404 ELSE 200 END AS status,
+    '<script>var data = [{"text":"a; b ]","author":{"name":"p' || page_id || '"},"tags":["x","y"]},{"text":"c","author":{"name":"z"}}]; f();</script>' AS script,
+    '<script type="application/ld+json">{bad</script><script type="application/ld+json">{"@graph":[{"@type":"Thing"},{"@type":"Product","name":"p' || page_id || '","offers":{"price":"9.5"}}]}</script>' AS linked,
+    html, ['<div id="onetrust-consent-sdk"></div>', '<p>Just a moment...</p>', 'Reference #7', '', '<div class="x error-404"></div>', 'the page could not be found'][(page_id % 6)::INT + 1] AS marks FROM pages
+), p AS (SELECT *, html || script || linked || marks AS whole FROM a)"""
 SQL = {
     "seed_list_urls": """SELECT url, min(page_id) AS seq FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages) WHERE regexp_matches(url, '^https?://[^/]+/(en|fr)/') GROUP BY url""",
     "paginate_links": """WITH m AS (SELECT page_id, url, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<a href="([^"]+)"', 1) AS x FROM pages),
@@ -108,10 +115,20 @@ SELECT url, n, pos::INT AS pos FROM first, ends WHERE n < stop""",
 SELECT page_id, 0 AS row_ix, coalesce(nullif(sixth, ''), nullif(h1, '')) AS text, CASE WHEN sixth <> '' THEN 'promo' WHEN h1 <> '' THEN 'page' END AS text_source, nullif(lang, '') AS lang, CASE WHEN lang <> '' THEN 'page' END AS lang_source FROM p""",
     "css_rows": """SELECT page_id, i - 1 AS pos, regexp_extract(m[i], 'href="([^"]*)"', 1) AS href, regexp_extract(m[i], '>([^<]*)</a>', 1) AS text
 FROM (SELECT page_id, m, unnest(range(1, len(m) + 1)) AS i FROM (SELECT page_id, regexp_extract_all(regexp_extract(html, '<nav>(.*?)</nav>', 1), '<li><a .*?</a></li>') AS m FROM pages))""",
-    "inline_json_rows": """SELECT page_id, 0 AS pos, 'a; b ]' AS text, 'p' || page_id AS author, '["x","y"]' AS tags FROM pages UNION ALL SELECT page_id, 1, 'c', 'z', NULL FROM pages""",
-    "jsonld_first": "SELECT page_id, 'p' || page_id AS name, '9.5' AS price FROM pages",
-    "block_detect": "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'onetrust_cmp' WHEN 1 THEN 'cloudflare_just_a_moment' ELSE 'reference_id' END AS block FROM pages WHERE page_id % 6 IN (0, 1, 2)",
-    "soft_404": "SELECT page_id, CASE page_id % 6 WHEN 4 THEN 'soft_404_error_container' ELSE 'soft_404_body_not_found' END AS soft_404 FROM pages WHERE page_id % 6 IN (4, 5) AND page_id % 12 <> 4",
+    "inline_json_rows": f"""WITH {_PAGES}, r AS (SELECT page_id, json_extract(regexp_extract(whole, '<script>[^<]*var data = (\\[.*\\]); f', 1), '$[*]') AS r FROM p), e AS (SELECT page_id, unnest(r) AS x, generate_subscripts(r, 1) - 1 AS pos FROM r)
+SELECT page_id, pos::INT AS pos, json_extract_string(x, '$.text') AS text, json_extract_string(x, '$.author.name') AS author, json_extract(x, '$.tags')::VARCHAR AS tags FROM e""",
+    "jsonld_first": f"""WITH {_PAGES}, s AS (SELECT page_id, unnest(regexp_extract_all(whole, '<script type="application/ld\\+json">(.*?)</script>', 1)) AS j FROM p),
+o AS (SELECT page_id, list_filter(json_extract(j, '$."@graph"[*]'), lambda x: json_extract_string(x, '$."@type"') = 'Product')[1] AS x FROM s WHERE json_valid(j))
+SELECT page_id, json_extract_string(x, '$.name') AS name, json_extract_string(x, '$.offers.price') AS price FROM o WHERE x IS NOT NULL""",
+    "block_detect": f"""WITH {_PAGES}, h AS (
+  SELECT page_id, CASE WHEN contains(whole, 'id="onetrust-consent-sdk"') THEN 'onetrust_cmp' WHEN contains(whole, 'id="usercentrics-root"') THEN 'usercentrics_cmp' WHEN contains(whole, 'id="didomi-host"') THEN 'didomi_cmp' WHEN regexp_matches(whole, 'class="([^"]* )?cmp-container[ "]') THEN 'generic_cmp'
+    WHEN contains(whole, 'cf-browser-verification') THEN 'cloudflare_challenge' WHEN contains(whole, 'Just a moment...') THEN 'cloudflare_just_a_moment' WHEN contains(whole, '_Incapsula_Resource') THEN 'incapsula' WHEN regexp_matches(whole, 'Reference #[0-9]') THEN 'reference_id'
+    WHEN contains(whole, 'hcaptcha.com') THEN 'hcaptcha' WHEN contains(whole, 'google.com/recaptcha') THEN 'recaptcha' END AS block FROM p
+) SELECT * FROM h WHERE block IS NOT NULL""",
+    "soft_404": f"""WITH {_PAGES}, h AS (
+  SELECT page_id, CASE WHEN regexp_matches(regexp_extract(whole, '<title>(.*?)</title>', 1), '(?i)\\b404\\b|not found|page not found') THEN 'soft_404_title'
+    WHEN regexp_matches(whole, '(?i)page (you requested |you were looking for )?(could not|couldn''t|cannot|can''t) be found') THEN 'soft_404_body_not_found' WHEN regexp_matches(whole, 'class="([^"]* )?error-404[ "]') THEN 'soft_404_error_container' END AS soft_404 FROM p WHERE status = 200
+) SELECT * FROM h WHERE soft_404 IS NOT NULL""",
     "fetch_outcome": "SELECT o_orderkey, CASE o_orderkey % 9 WHEN 3 THEN 'not_modified' WHEN 4 THEN 'rate_limited' WHEN 5 THEN 'not_found' WHEN 6 THEN 'rate_limited' WHEN 7 THEN 'error' WHEN 8 THEN 'error' ELSE 'ok' END AS outcome FROM orders",
     "retry_attempts": """WITH a AS (SELECT l_orderkey AS request_id, l_linenumber AS attempt, max(l_quantity) AS q FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2),
 s AS (SELECT *, CASE WHEN q > 30 THEN 503 WHEN q > 25 THEN NULL WHEN q > 20 THEN 404 ELSE 200 END AS http_status, q > 25 AS passing FROM a)

@@ -206,7 +206,11 @@ SELECT label, url, decision = 'allowed' AS admitted, CASE WHEN decision = 'disal
   SELECT page_id, '{"list":{"items":[' || coalesce(array_to_string(list_transform(range(1, page_id % 4 + 1), lambda i: '{"n":' || i || ',"of":{"url":"' || url || '"}}'), ','), '') || ']}}' AS j FROM pages WHERE page_id % 3 > 0
 ), r AS (SELECT page_id, unnest(json_extract(j, '$.list.items[*]')) AS r, generate_subscripts(json_extract(j, '$.list.items[*]'), 1) - 1 AS pos FROM p)
 SELECT page_id, pos::INT AS pos, json_extract_string(r, '$.n') AS n, json_extract_string(r, '$.of.url') AS url FROM r""",
-    "json_answers": """SELECT s_suppkey, pos::INT AS pos, CASE WHEN pos = 0 THEN s_nationkey::VARCHAR END AS id FROM supplier, (VALUES (0), (1)) v(pos) WHERE s_nationkey % 6 NOT IN (2, 3, 4)""",
+    "json_answers": """WITH a AS (
+  SELECT n_nationkey AS k, CASE WHEN k % 6 = 2 THEN 503 ELSE 200 END AS status, CASE WHEN k % 6 = 3 THEN 'text/html' ELSE 'application/json' END AS kind, '{"items":[{"id":' || k || '},{"id":null},7]' || CASE WHEN k % 6 = 4 THEN '' ELSE '}' END AS body FROM nation
+), i AS (SELECT k, list_filter(json_extract(body, '$.items[*]'), lambda x: json_type(x) = 'OBJECT') AS r FROM a WHERE status = 200 AND kind LIKE '%json' AND json_valid(body)),
+e AS (SELECT k, unnest(r) AS x, generate_subscripts(r, 1) - 1 AS pos FROM i)
+SELECT s_suppkey, pos::INT AS pos, json_extract_string(x, '$.id') AS id FROM supplier JOIN e ON k = s_nationkey""",
     "snapshot_plan": """WITH old AS (
   SELECT user_id, ts, event_id, sha256(event_type) AS hash, 'k' || event_id AS key, CASE WHEN event_id % 2 = 0 THEN 'e' || event_id END AS etag FROM events WHERE ts < TIMESTAMP '2024-01-16'
 ), good AS (SELECT * FROM old WHERE event_id % 3 < 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, hash DESC, key DESC, etag DESC NULLS LAST) = 1),
