@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from provenant.llm.shared import with_field
 
 MARK = "▁"
-#: Entries of a generation of a worker's cache of chunks, or of pairs (some 15 MB). When it is full, it becomes the
+#: Entries of a generation of a worker's cache of chunks, or of pairs (some 30 MB). When it is full, it becomes the
 #: old one and the old one goes; what is found in the old one moves to the young one, so frequent chunks stay.
-CACHE = 60_000
+CACHE = 150_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
 
