@@ -1,7 +1,7 @@
 """Column functions: text, money, numbers, keys and hashes.
 
 All are built from Spark's own functions but ``strip_text`` and ``nfc``: Spark has no HTML unescaping and no
-Unicode normalisation, so these two are Arrow-batched UDFs.
+Unicode normalisation, so these two run Arrow-batched UDFs, which hold a few texts at a time.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import unicodedata
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,22 +25,35 @@ SPACE_CLASS = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 UNIT = "\x1f"
 
 
-@F.pandas_udf(T.StringType())
-def strip_text(texts: pd.Series) -> pd.Series:
-    """Entities resolved, NFKC, all runs of white space one space, trimmed; null if nothing is left."""
-    special = str.maketrans(dict.fromkeys(NO_BREAK, " "))
+#: Texts that a worker holds as Python's at once; all else of a batch stays in Arrow's memory.
+_PIECE = 64
 
-    def one(t: str | None) -> str | None:
-        if t is None:
-            return None
-        return re.sub(r"\s+", " ", unicodedata.normalize("NFKC", html.unescape(t)).translate(special)).strip() or None
 
-    return texts.map(one, na_action=None)
+def _each(change: Callable[[str], str | None]) -> Callable[[pa.Array], pa.Array]:
+    """A batch with each text changed, nulls kept. Pieces of which nothing changes are the batch's own memory."""
 
+    def texts_of(texts: pa.Array) -> pa.Array:
+        parts, same = [], True
+        for at in range(0, len(texts), _PIECE):
+            part = texts.slice(at, _PIECE)
+            old = part.to_pylist()
+            new = [None if t is None else change(t) for t in old]
+            parts.append(part if new == old else pa.array(new, texts.type))
+            same = same and parts[-1] is part
+        return texts if same else pa.concat_arrays(parts)
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t), na_action=None)
+    return texts_of
+
+
+_PLAIN = str.maketrans(dict.fromkeys(NO_BREAK, " "))
+#: Entities resolved, NFKC, all runs of white space one space, trimmed; null if nothing is left.
+strip_text = F.arrow_udf(_each(lambda t: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", html.unescape(t)).translate(_PLAIN)).strip() or None), T.StringType())
+_composed = F.arrow_udf(_each(lambda t: unicodedata.normalize("NFC", t)), T.StringType())
+
+
+def nfc(x: Column) -> Column:
+    """A text in NFC. Python sees only texts with a character from U+0300 on: those before neither change nor combine."""
+    return F.coalesce(_composed(F.when(x.rlike(r"[^\x00-\x{2ff}]"), x)), x)
 
 
 def _separated(x: Column) -> Column:

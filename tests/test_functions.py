@@ -1,7 +1,10 @@
 """Column functions, by cases."""
 
+import tracemalloc
+import unicodedata
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -31,6 +34,35 @@ def test_texts_and_numbers(spark):
     assert column(spark, [quote], scalars.natural_key_16) == ["807ae6c9c533e229"]
 
 
+def test_nfc_sends_only_what_may_change_to_python(spark):
+    assert all(unicodedata.normalize("NFC", a := chr(c)) == a and not unicodedata.combining(a) for c in range(0x300))
+    second = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    assert all(len(d) != 2 or d[0].startswith("<") or int(d[1], 16) >= 0x300 for d in second)
+    texts = ["plain \u02ff", "cafe\u0301", "\u212b", "\u1100\u1161\u11a8", "q\u0307\u0323", "\U0001d15e", "\u201cq\u201d", "", None, "a\x00b"]
+    want = [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert column(spark, texts, scalars.nfc) == want
+    sent = spark.createDataFrame([(t,) for t in texts], "x string").select(scalars.nfc(F.col("x")))
+    assert "CASE WHEN RLIKE(x" in sent._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("change", [str.upper, str.lower])
+def test_texts_of_a_batch_are_held_in_pieces(change):
+    texts, held, most = pa.array([*(f"t{i}" * 2_000 for i in range(1_000)), None, ""]), 0, 0
+
+    def counted(t):
+        nonlocal held, most
+        held += 1
+        most = max(most, tracemalloc.get_traced_memory()[0])
+        return change(t)
+
+    tracemalloc.start()
+    got = scalars._each(counted)(texts)
+    tracemalloc.stop()
+    assert got.to_pylist() == [None if t is None else change(t) for t in texts.to_pylist()]
+    assert held == 1_001 and most < 3_000_000  # the batch has 8 MB
+    assert (got is texts) == (change is str.lower)  # nothing is copied where nothing changes
+
+
 def test_natural_keys(spark):
     t = spark.createDataFrame([("a|b\\", "c"), (" ", "c"), (None, "c"), ("a", " c ")], "x string, y string")
     assert [r[0] for r in t.select(scalars.encode_natural_key(F.col("x"), F.col("y"))).collect()] == ["a\\|b\\\\|c", None, None, "a|c"]
