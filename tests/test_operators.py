@@ -1,6 +1,8 @@
 """Histories, incidents, validation, detection and the queries against their SQL."""
 
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.errors import PySparkException
@@ -101,6 +103,31 @@ def test_replay_gate(spark):
     assert not replay.gate(got.filter("passed"), counts, spark.createDataFrame([("b", 2)], "field string, n int")).first().passed
 
 
+@pytest.mark.parametrize("per_task", [replay.TASK_ROWS, 7])
+def test_replay_deals_rows_by_their_number(spark, monkeypatch, per_task):
+    monkeypatch.setattr(replay, "TASK_ROWS", per_task)
+    draw = random.Random(5)
+    key = lambda names: (draw.choice(names), draw.choice([0, 1, 2, 2**40, None]), draw.choice(["x", "y", None]))
+    value = lambda: draw.choice(["1", "1", "1", None])
+    want = [(*key(["a", "b", "c", None]), value(), draw.random() < 0.4) for _ in range(40)] + [("d", i, "x", "1", True) for i in range(30)] + [("e", 0, None, None, False)]
+    got = [(*key(["a", "b", "z", None]), value(), draw.choice([True, True, False, None])) for _ in range(40)] + [("d", i, "x", "1", True) for i in range(30)]
+    left = [(w, g) for w in want for g in [g for g in got if None not in w[:3] and g[:3] == w[:3]] or [None]]
+    fixtures = {}
+    for name in {w[0] for w in want}:
+        pairs = [(w, g) for w, g in left if w[0] == name]
+        wrong = sum(w[4] and w[3] != (g[3] if g else None) for w, g in pairs)
+        rows = {w[1] for w, _ in pairs if w[2] is not None} - {None}
+        valid = {g[1] for g in got if name is not None and g[0] == name and g[4]} - {None}
+        fixtures[name] = (sum(w[2] is not None for w, _ in pairs), wrong, wrong == 0 and len(rows) == len(valid))
+    columns = "fixture string, row_ix bigint, field string, value string"
+    out = replay.replay(spark.createDataFrame(want, f"{columns}, required boolean"), spark.createDataFrame(got, f"{columns}, valid boolean"))
+    assert {r.fixture: (r.compared, r.differing, r.passed) for r in out.collect()} == fixtures
+    assert fixtures["d"] == (30, 0, True) and fixtures["e"] == (0, 0, True)
+    # no size of files or shuffles decides how many rows a task gets
+    dealt = re.findall(r"hashpartitioning\(fixture#\d+, row_ix#\d+L?(?:, field#\d+)?, (\d+)\), REPARTITION_BY_NUM", out._jdf.queryExecution().executedPlan().toString())
+    assert per_task > 7 or len(dealt) >= 3 and min(map(int, dealt)) == 1 + (len(want) + len(got)) // 7
+
+
 def test_verdicts(spark):
     t = spark.createDataFrame([(True, True, 0), (False, True, 0), (False, False, 3), (False, False, 0)], "u boolean, b boolean, autos int")
     no = F.lit(False)
